@@ -67,7 +67,7 @@ def close_pairs(fps: DataFrame) -> DataFrame:
         x.alias("l").join(x.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp")) & (distance <= 2))
         for x in whole
     ]
-    bit = F.shiftright(F.col("seg"), F.col("wild")).bitwiseAND(F.lit(1))
+    bit = F.expr("shiftright(seg, wild) & 1")
     variants = (
         fps.select("fp", "node", _half(F.col("fp"), True).alias("seg"))
         .withColumn("wild", F.explode(F.sequence(F.lit(0), F.lit(31))))
