@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barloom.llm import exact_dedup, simhash
-from barloom.llm.common import table
+from barloom.llm import bpe, exact_dedup, packing, simhash
+from barloom.llm.common import table, text_or_empty
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +20,28 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = bpe.ByteBpe(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    docs = table(spark, sf_dir, "documents")
+    return (
+        docs.select("doc_id", codec.encode(text_or_empty("text")).alias("ids"))
+        .select("doc_id", "ids", codec.decode(F.col("ids")).alias("decoded"))
+        .select(
+            "doc_id",
+            (F.length("ids") / 4).cast("long").alias("n_tokens"),
+            F.sha2("ids", 256).alias("ids_sha256"),
+            F.sha2("decoded", 256).alias("decoded_sha256"),
+        )
+    )
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 OP1_SQL = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
@@ -27,7 +51,12 @@ FROM t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_simhash": op2_simhash}
+    return {
+        "op1_exact_dedup": op1_exact_dedup,
+        "op2_simhash": op2_simhash,
+        "op5_byte_bpe": op5_byte_bpe,
+        "op8_packing": op8_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
