@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, exact_dedup, langid, packing, secrets, simhash
+from barloom.llm import bpe, exact_dedup, html_text, langid, packing, secrets, simhash, vectors
 from barloom.llm.common import table, text_or_empty
 
 
@@ -47,6 +47,15 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select(
@@ -75,6 +84,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": op2_simhash,
         "op4_secrets": op4_secrets,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_main_text": op6_main_text,
+        "op7_near_vectors": op7_near_vectors,
         "op8_packing": op8_packing,
         "op9_language_id": op9_language_id,
     }
