@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, exact_dedup, html_text, langid, packing, secrets, simhash, vectors
+from barloom.llm import bpe, exact_dedup, html_text, katz, langid, packing, secrets, simhash, vectors
 from barloom.llm.common import table, text_or_empty
 
 
@@ -70,6 +70,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~held_out).alias("train"))
+    return katz.score(docs).select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 OP1_SQL = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
@@ -88,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_near_vectors": op7_near_vectors,
         "op8_packing": op8_packing,
         "op9_language_id": op9_language_id,
+        "op10_katz": op10_katz,
     }
 
 
