@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, exact_dedup, html_text, katz, langid, packing, secrets, simhash, vectors
+from barloom.llm import bpe, exact_dedup, html_text, katz, langid, packing, quotes, secrets, simhash, vectors
 from barloom.llm.common import table, text_or_empty
 
 
@@ -20,6 +20,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_order(table(spark, sf_dir, "conversations"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("spans")
@@ -90,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_simhash": op2_simhash,
+        "op3_quotes": op3_quotes,
         "op4_secrets": op4_secrets,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_main_text": op6_main_text,
