@@ -33,3 +33,14 @@ def text_or_empty(col: Column | str) -> Column:
 
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
+
+
+def rows_kept(docs: DataFrame, kept: DataFrame, key: str, mark: Column) -> DataFrame:
+    """One row of ``docs`` for each ``id`` and ``mark`` of ``kept`` (distinct); ``mark`` is computed from a row."""
+    kept = checkpoint(kept.select(F.col("id").alias("_kept_id"), F.col("mark").alias("_kept_mark")))
+    rows = docs.withColumn("_mark", mark)
+    found = rows.join(kept, same(rows[key], kept["_kept_id"]) & (rows["_mark"] == kept["_kept_mark"]), "left_semi")
+    repeated = docs.select(F.col(key).alias("id"), mark.alias("mark")).groupBy("id", "mark").count().where("count > 1")
+    if not repeated.isEmpty():
+        found = found.dropDuplicates([key, "_mark"])
+    return found.drop("_mark")

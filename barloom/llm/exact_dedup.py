@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import checkpoint, same, text_or_empty
+from barloom.llm.common import checkpoint, rows_kept, same, text_or_empty
 
 CHUNK = 1 << 15
 #: (modulus, base) of the two hashes; moduli below 2**31 keep a chunk's sum of products in 64 bits.
@@ -143,7 +143,5 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", modul
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts; all columns as they were."""
-    kept = exact_groups(docs, key, text).where("kept").select(F.col(key).alias("kept_id"), "text_sha256").distinct()
-    rows = docs.withColumn("_sha", F.sha2(normalised(text), 256))
-    on = same(rows[key], kept["kept_id"]) & (rows["_sha"] == kept["text_sha256"])
-    return rows.join(kept, on, "left_semi").drop("_sha")
+    kept = exact_groups(docs, key, text).where("kept").select(F.col(key).alias("id"), F.col("text_sha256").alias("mark"))
+    return rows_kept(docs, kept.distinct(), key, F.sha2(normalised(text), 256))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import checkpoint, text_or_empty
+from barloom.llm.common import checkpoint, rows_kept, text_or_empty
 from barloom.llm.components import connected_components
 
 BLOCK = 1 << 16
@@ -80,6 +80,19 @@ def close_pairs(fps: DataFrame) -> DataFrame:
     return pairs[0].unionAll(pairs[1]).unionAll(pairs[2])
 
 
+def _labelled(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``id``, ``mark`` (a hash of the text), ``fp`` and ``component_id`` of each row."""
+    body = text_or_empty(text)
+    rows = checkpoint(docs.select(F.col(key).alias("id"), F.xxhash64(body).alias("mark"), simhash_of(body).alias("fp")))
+    fps = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("least_id")).withColumn("node", F.col("fp")))
+    parts = connected_components(close_pairs(fps), "a", "b")
+    labelled = checkpoint(
+        fps.join(parts, "node", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
+    )
+    least = checkpoint(labelled.groupBy("component").agg(F.min("least_id").alias("component_id")))
+    return rows.join(labelled.join(least, "component").select("fp", "component_id"), "fp")
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``key``, ``fingerprint`` (16 hex digits) and ``component_id``.
 
@@ -88,21 +101,16 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     of null keys alone has a null id. Links are made between distinct fingerprints only, so exact copies
     cost nothing. An empty table gives no rows.
     """
-    rows = checkpoint(docs.select(F.col(key).alias("id"), simhash_of(text_or_empty(text)).alias("fp")))
-    fps = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("least_id")).withColumn("node", F.col("fp")))
-    parts = connected_components(close_pairs(fps), "a", "b")
-    labelled = checkpoint(
-        fps.join(parts, "node", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
-    )
-    least = checkpoint(labelled.groupBy("component").agg(F.min("least_id").alias("component_id")))
-    ids = labelled.join(least, "component").select("fp", "component_id")
-    return rows.join(ids, "fp").select(
+    return _labelled(docs, key, text).select(
         F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the row of smallest key of each component; all columns as they were."""
-    groups = near_groups(docs, key, text)
-    kept = groups.where(groups[key].eqNullSafe(F.col("component_id"))).select(F.col(key).alias("kept_id")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(kept["kept_id"]), "left_semi")
+    """``docs`` with one row of each component, that of the smallest key; all columns as they were.
+
+    Of several rows with that key (null keys too), the one whose text has the smallest hash stays.
+    """
+    least = _labelled(docs, key, text).where(F.col("id").eqNullSafe(F.col("component_id")))
+    kept = least.groupBy("component_id", F.coalesce("component_id", "fp").alias("part")).agg(F.min("mark").alias("mark"))
+    return rows_kept(docs, kept.select(F.col("component_id").alias("id"), "mark"), key, F.xxhash64(text_or_empty(text)))
