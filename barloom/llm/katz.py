@@ -31,7 +31,7 @@ from barloom.llm.common import checkpoint, text_or_empty
 KATZ = 5
 ADD = 0.1
 #: Tokens of a block, and hashes of one partition of a table, about.
-BLOCK_TOKENS, PART_ROWS = 3_000_000, 2_000_000
+BLOCK_TOKENS, PART_ROWS = 4_500_000, 2_000_000
 END, START = 0, 1  # their numbers in each block's list of words
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -54,7 +54,7 @@ def words_of(text: str) -> list[bytes]:
 def squeeze(a: np.ndarray) -> bytes:
     """An array's bytes, first bytes first, compressed."""
     a = np.ascontiguousarray(a)
-    return zstandard.compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes(), 1)
+    return zstandard.compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes(), 3)
 
 
 def loosen(data: bytes, kind: str) -> np.ndarray:
@@ -112,7 +112,7 @@ class Block:
 
     def __init__(self, row: dict):
         self.hashes = loosen(row["words"], "<u8")
-        self.codes = loosen(row["codes"], "<u4").astype(np.int64)
+        self.codes = loosen(row["codes"], "<u4").view(np.int32)
         self.lengths = np.array(row["lengths"], dtype=np.int64)
         self.train = np.array(row["train"], dtype=bool)
         self.before = np.roll(self.codes, 1)
@@ -127,7 +127,13 @@ class Block:
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of the distinct pairs in order, the first place and the pair's number of each token."""
-        return np.unique(pair_hash(self.hashes[self.before], self.hashes[self.codes]), return_index=True, return_inverse=True)
+        found = pair_hash(self.hashes[self.before], self.hashes[self.codes])
+        order = np.argsort(found)
+        found = found[order]
+        new = np.concatenate([[True], found[1:] != found[:-1]])
+        number = np.empty(len(order), dtype=np.int32)
+        number[order] = np.cumsum(new, dtype=np.int32) - 1
+        return found[new], order[new], number
 
 
 ENCODED = "block long, words binary, codes binary, n_words long, n_tokens long, lengths array<long>, train array<boolean>"
@@ -275,6 +281,7 @@ def _score(row: dict, answers: pa.Table, model: Model, parts: int) -> pa.Table:
         logs = np.where(seen, np.log10(np.maximum(model.discounted(pair_count, model.two), 1e-300) / np.maximum(1, count_as_context[ctx])), np.log10(one[word]))
     starts = np.cumsum(block.lengths) - block.lengths
     doc = np.add.reduceat(logs[number], starts)
+    del logs
     known = np.add.reduceat((count[block.codes] > 0).astype(np.int64), starts)
     base = np.log10((count + ADD) / (model.tokens + ADD * (model.distinct + 1)))
     base = np.add.reduceat(base[block.codes], starts)
@@ -285,15 +292,17 @@ def _score(row: dict, answers: pa.Table, model: Model, parts: int) -> pa.Table:
     rare[ctx[seen & (pair_count <= KATZ)]] = True
     unseen, unsure = ~seen & (count_as_context[ctx] > 0), seen & ~rare[ctx]
     of_doc = np.repeat(np.arange(len(starts)), block.lengths)
-    wanted = (unseen | unsure)[number]
+    wanted = np.nonzero((unseen | unsure)[number])[0]
     key, times = np.unique((of_doc[wanted] * size + block.before[wanted]) * 2 + unsure[number][wanted], return_counts=True)
     needs_doc, needs_ctx, needs_kind = key // (2 * size), key // 2 % size, key % 2
 
     own = owned & seen
-    sums = [np.bincount(ctx[own], x[own], size) for x in (pair_count, model.discounted(pair_count, model.two), one[word])]
+    total, likely = (np.bincount(ctx[own], x[own], size) for x in (pair_count, one[word]))
+    # How many pairs of each small count a context has tells what its discounts leave.
+    small = [np.bincount(ctx[own & (pair_count == r)], minlength=size) for r in range(1, KATZ + 1)]
     needed = np.zeros(size, dtype=bool)
     needed[needs_ctx] = True
-    used = np.nonzero((sums[0] > 0) | needed)[0]
+    used = np.nonzero((total > 0) | needed)[0]
     used = used[np.argsort(block.hashes[used])]
     place = np.cumsum(needed[used]) - 1
     rank = np.zeros(size, dtype=np.int64)
@@ -304,19 +313,20 @@ def _score(row: dict, answers: pa.Table, model: Model, parts: int) -> pa.Table:
     for part, (a, b) in enumerate(zip(at, at[1:])):
         if a < b:
             k = used[a:b]
-            whole = np.stack([sums[1][k], sums[2][k]]).ravel()
-            out.append({"kind": "context", "part": part, "block": row["block"], "a": squeeze_sorted(hashes[a:b]), "b": squeeze(sums[0][k].astype("<u8")), "c": squeeze(whole), "d": squeeze(np.packbits(needed[k]))})
+            whole = np.concatenate([total[k], *(n[k] for n in small)]).astype("<u8")
+            out.append({"kind": "context", "part": part, "block": row["block"], "a": squeeze_sorted(hashes[a:b]), "b": squeeze(whole), "c": squeeze(likely[k]), "d": squeeze(np.packbits(needed[k]))})
     return pa.Table.from_pylist(out, _arrow(SCORED))
 
 
-def _weigh(rows: pa.Table) -> pa.Table:
+def _weigh(rows: pa.Table, model: Model) -> pa.Table:
     """Backoff weights of one partition's contexts, as logarithms, for the blocks that need them."""
     rows = sorted(rows.select(["part", "block", "a", "b", "c", "d"]).to_pylist(), key=lambda r: r["block"])
     hashes = [loosen_sorted(r["a"]) for r in rows]
     _, number = np.unique(np.concatenate(hashes), return_inverse=True)
-    pairs = [loosen(r["c"], "<f8").reshape(2, -1) for r in rows]
-    total = np.bincount(number, np.concatenate([loosen(r["b"], "<u8").astype(float) for r in rows]))
-    discounted, one = (np.bincount(number, np.concatenate([p[k] for p in pairs])) for k in (0, 1))
+    counts = np.concatenate([loosen(r["b"], "<u8").reshape(KATZ + 1, -1) for r in rows], axis=1).astype(float)
+    total, *small = (np.bincount(number, c) for c in counts)
+    one = np.bincount(number, np.concatenate([loosen(r["c"], "<f8") for r in rows]))
+    discounted = total - sum(r * n * (1 - model.two[r]) for r, n in enumerate(small, 1))
     spent = total - discounted <= 1e-9 * total
     total_ = np.where(spent, total + 1, total)
     backoff = np.log10(np.maximum((total_ - discounted) / np.maximum(total_, 1), 1e-300) / np.maximum(1 - one, 1e-300))
@@ -361,7 +371,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train: str =
     found = checkpoint(
         blocks.drop("ids").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, SCORED)
     )
-    weights = found.where("kind = 'context'").groupBy("part").applyInArrow(_weigh, WEIGHED)
+
+    def weigh(rows: pa.Table) -> pa.Table:
+        return _weigh(rows, model)
+
+    weights = found.where("kind = 'context'").groupBy("part").applyInArrow(weigh, WEIGHED)
     id_kind = docs.schema[key].dataType
     result = T.StructType([T.StructField("id", id_kind), *T.StructType.fromDDL("train boolean, n_tokens long, n_known long, base_score double, score double").fields])
 
