@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import checkpoint, text_or_empty
+from barloom.llm.common import bucketed, checkpoint, text_or_empty
 
 #: Counts above this are not discounted.
 KATZ = 5
@@ -353,7 +353,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train: str =
     training rows every text scores zero. An empty table gives no rows.
     """
     rows = docs.select(F.col(key).alias("id"), text_or_empty(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    blocks = checkpoint(encoded(rows, block_tokens))
+    blocks = bucketed(encoded(rows, block_tokens), "block")
     sizes = blocks.agg(F.sum("n_words").alias("words"), F.sum("n_tokens").alias("tokens")).first()
     parts = _parts(sizes["words"], part_rows), _parts(sizes["tokens"], part_rows)
     counted = checkpoint(_asked(blocks, parts).groupBy("ngram", "part").applyInArrow(_count, ANSWERED))
