@@ -9,6 +9,7 @@ O(n log n), however long it is.
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -19,8 +20,8 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 NONE = 1 << 62
-#: Pieces that a worker remembers, and the longest piece it does so for.
-REMEMBERED, REMEMBERED_LENGTH = 1 << 18, 64
+#: Pieces of one generation that a worker remembers, and the longest piece it does so for.
+REMEMBERED, REMEMBERED_LENGTH = 3 << 17, 64
 #: Longer texts are cut into pieces one by one, not at once.
 LONG_TEXT = 1 << 22
 
@@ -35,32 +36,15 @@ def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
     if piece in ranks:
         return [ranks[piece]]
     n = len(piece)
-    after = list(range(1, n + 2))  # start of the next live part, by start
-    before = list(range(-1, n))
+    get = ranks.get
+    after = list(range(1, n + 3))  # start of the next live part, by start
+    before = list(range(-1, n + 1))
     size = 1 << max(1, (n - 1).bit_length())
     tree = [NONE] * (2 * size)
-
-    def pair(i: int) -> int:
-        j = after[i]
-        if j >= n or after[j] - i > longest:
-            return NONE
-        return ranks.get(piece[i : after[j]], NONE)
-
-    for i in range(n - 1):
-        tree[size + i] = pair(i)
+    tree[size : size + n - 1] = [get(piece[i : i + 2], NONE) for i in range(n - 1)]
     for k in range(size - 1, 0, -1):
-        tree[k] = min(tree[2 * k], tree[2 * k + 1])
-
-    def update(i: int, rank: int) -> None:
-        k = size + i
-        tree[k] = rank
-        k >>= 1
-        while k:
-            least = min(tree[2 * k], tree[2 * k + 1])
-            if tree[k] == least:
-                break
-            tree[k] = least
-            k >>= 1
+        a, b = tree[2 * k], tree[2 * k + 1]
+        tree[k] = a if a <= b else b
 
     while (lowest := tree[1]) != NONE:
         k = 1
@@ -70,13 +54,25 @@ def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
                 k += 1
         i = k - size
         j = after[i]
-        after[i] = after[j]
-        if after[j] <= n:
-            before[after[j]] = i
-        update(j, NONE)
-        update(i, pair(i))
-        if before[i] >= 0:
-            update(before[i], pair(before[i]))
+        end = after[i] = after[j]
+        before[end] = i
+        last = after[end] if end < n else 0
+        changed = [(j, NONE), (i, get(piece[i:last], NONE) if last and last - i <= longest else NONE)]
+        if i:
+            h = before[i]
+            changed.append((h, get(piece[h:end], NONE) if end - h <= longest else NONE))
+        for at, rank in changed:  # each updates its leaf and the spans above it
+            k = size + at
+            tree[k] = rank
+            k >>= 1
+            while k:
+                a, b = tree[2 * k], tree[2 * k + 1]
+                if b < a:
+                    a = b
+                if tree[k] == a:
+                    break
+                tree[k] = a
+                k >>= 1
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
@@ -85,20 +81,28 @@ def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
 
 
 class Encoder:
-    """Encodes texts by ranks and the pattern whose matches are the pieces; remembers short pieces."""
+    """Encodes texts by ranks and the pattern whose matches are the pieces; remembers short pieces.
+
+    Memory of pieces has two generations: when the young one is full it becomes the old one, and an old piece
+    that is met again is young again. So pieces in use stay known.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.tokens = {b: a for a, b in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
-        self.known: dict[str, list[int]] = {}
-
-    def piece(self, piece: str) -> list[int]:
-        ids = merge(piece.encode(), self.ranks, self.longest)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def piece(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            found = merge(piece.encode(), self.ranks, self.longest)
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= REMEMBERED_LENGTH:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[piece] = ids
+            if len(self.young) >= REMEMBERED:
+                self.old, self.young = self.young, {}
+            self.young[piece] = ids
         return ids
 
     def pieces(self, text: str) -> Iterable[str]:
@@ -108,12 +112,8 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        out: list[int] = []
-        known = self.known
-        for p in self.pieces(text):
-            ids = known.get(p)
-            out += self.piece(p) if ids is None else ids
-        return np.array(out, dtype="<u4").tobytes()
+        piece = self.piece
+        return b"".join([self.young.get(p) or piece(p) for p in self.pieces(text)])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
