@@ -8,7 +8,7 @@ exact gradient of the log-likelihood. Decoding runs over many sequences at once.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
 
@@ -16,7 +16,7 @@ import numpy as np
 class Channel:
     """Features of types and their weights. Features unknown to the fit weigh nothing."""
 
-    def __init__(self, features: Callable[[str], Iterable[str]], labels: int):
+    def __init__(self, features: Callable[[str], list[str]], labels: int):
         self.features, self.labels = features, labels
         self.index: dict[str, int] = {}
         self.weights = np.zeros((0, labels))
@@ -28,10 +28,14 @@ class Channel:
 
     def rows(self, types: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Feature numbers of all types, one after another, and the type each belongs to."""
-        get, features = self.index.get, self.features
-        found = [[i for f in features(t) if (i := get(f)) is not None] for t in types]
-        of = np.repeat(np.arange(len(types)), [len(x) for x in found])
-        return np.array([i for x in found for i in x], dtype=np.int64), of
+        get, found, sizes = self.index.get, [], []
+        for t in types:
+            features = self.features(t)
+            found += map(get, features)
+            sizes.append(len(features))
+        columns = np.array([-1 if i is None else i for i in found], dtype=np.int64)
+        known = columns >= 0
+        return columns[known], np.repeat(np.arange(len(types)), sizes)[known]
 
     def emissions(self, types: list[str]) -> np.ndarray:
         columns, of = self.rows(types)

@@ -41,10 +41,9 @@ def bare(word: str) -> str:
 
 def word_features(word: str) -> list[str]:
     w = f"^{word[:40]}$"
-    out = [w]
-    for n in (1, 2, 3):
-        out += [w[i : i + n] for i in range(1 if n == 1 else 0, len(w) - n + (0 if n == 1 else 1))]
-    return out + [w[:5], w[-5:]]
+    pairs = map("".join, zip(w, w[1:]))
+    triples = map("".join, zip(w, w[1:], w[2:]))
+    return [w, *w[1:-1], *pairs, *triples, w[:5], w[-5:]]
 
 
 def fit(texts: list[tuple[str, str]], seed: int = 7) -> Crf | None:
@@ -82,44 +81,43 @@ class Predictor:
 
     def __init__(self, crf: Crf):
         self.crf = crf
-        self.forget()
-
-    def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.table = np.zeros((0, len(self.crf.labels)))
-
-    def learn(self, words: list[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.number]
-        cores = [bare(w) for w in new]
-        lettered = [c for c in cores if c]
-        rows = iter(range(len(self.table), len(self.table) + len(lettered)))
-        self.number |= {w: next(rows) if c else -1 for w, c in zip(new, cores)}
-        self.table = np.concatenate([self.table, self.crf.channels[0].emissions(lettered)])
+        self.forget(set())
+
+    def forget(self, but: set[str]) -> None:
+        """Keep the numbers of the words of ``but`` alone; words without a letter have none."""
+        old = getattr(self, "number", {})
+        kept = {w: old[w] for w in but if w in old}
+        rows = sorted({n for n in kept.values() if n >= 0})
+        new = {n: i for i, n in enumerate(rows)}
+        self.table = self.table[rows] if rows else np.zeros((0, len(self.crf.labels)))
+        self.number = {w: new.get(n, -1) for w, n in kept.items()}
+
+    def learn(self, words: set[str]) -> None:
+        """Give numbers to new words; words of one core share it."""
+        if len(self.number) + len(words) > REMEMBERED:
+            self.forget(words)
+        cores = {w: bare(w) for w in words if w not in self.number}
+        lettered = sorted({c for c in cores.values() if c})
+        rows = {c: i for i, c in enumerate(lettered, len(self.table))} | {"": -1}
+        self.number |= {w: rows[c] for w, c in cores.items()}
+        if lettered:
+            self.table = np.concatenate([self.table, self.crf.channels[0].emissions(lettered)])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        batch: list[tuple[int, np.ndarray]] = []
+        batch: list[tuple[int, list[str]]] = []
         size = 0
         for i, text in enumerate(texts):
             words = (text or "").split()
-            if len(self.number) > REMEMBERED:
-                self._run(batch, labels, scores)
-                batch, size = [], 0
-                self.forget()
-            try:
-                ids = [self.number[w] for w in words]
-            except KeyError:
-                self.learn(words)
-                ids = [self.number[w] for w in words]
-            row = np.array(ids, dtype=np.int64)
-            row = row[row >= 0]
-            if len(row):
-                batch.append((i, row))
-                size += len(row)
-            if size > WORDS_AT_ONCE:
-                self._run(batch, labels, scores)
+            batch.append((i, words))
+            size += len(words)
+            if size > WORDS_AT_ONCE or i == len(texts) - 1:
+                self.learn(set().union(*(w for _, w in batch)))
+                get = self.number.__getitem__
+                rows = [(k, np.fromiter(map(get, w), dtype=np.int64, count=len(w))) for k, w in batch]
+                rows = [(k, r[r >= 0]) for k, r in rows]
+                self._run([(k, r) for k, r in rows if len(r)], labels, scores)
                 batch, size = [], 0
-        self._run(batch, labels, scores)
         return labels, scores
 
     def _run(self, batch: list[tuple[int, np.ndarray]], labels: list[str], scores: list[float]) -> None:
