@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 NONE = 1 << 62
 #: Pieces of one generation that a worker remembers, and the longest piece it does so for.
-REMEMBERED, REMEMBERED_LENGTH = 3 << 17, 64
+REMEMBERED, REMEMBERED_LENGTH = 1 << 19, 64
 #: Longer texts are cut into pieces one by one, not at once.
 LONG_TEXT = 1 << 22
 
@@ -57,22 +57,20 @@ def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
         end = after[i] = after[j]
         before[end] = i
         last = after[end] if end < n else 0
-        changed = [(j, NONE), (i, get(piece[i:last], NONE) if last and last - i <= longest else NONE)]
+        tree[size + j] = NONE
+        tree[size + i] = get(piece[i:last], NONE) if last and last - i <= longest else NONE
+        h = before[i] if i else i
         if i:
-            h = before[i]
-            changed.append((h, get(piece[h:end], NONE) if end - h <= longest else NONE))
-        for at, rank in changed:  # each updates its leaf and the spans above it
-            k = size + at
-            tree[k] = rank
-            k >>= 1
-            while k:
+            tree[size + h] = get(piece[h:end], NONE) if end - h <= longest else NONE
+        for k in (size + j, size + i, size + h):  # the spans above each changed place
+            while k > 1:
+                k >>= 1
                 a, b = tree[2 * k], tree[2 * k + 1]
                 if b < a:
                     a = b
                 if tree[k] == a:
                     break
                 tree[k] = a
-                k >>= 1
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
