@@ -24,12 +24,17 @@ from barloom.llm.common import text_or_empty
 LENGTH = 2048
 #: Characters of text that a group holds, about (documents are dealt at random).
 GROUP_CHARS = 4_000_000
-REMEMBERED, REMEMBERED_LENGTH = 1 << 18, 64
+#: Words that a worker remembers, words of texts that are worked on at once, and new words at once.
+REMEMBERED, WORDS_AT_ONCE, AT_ONCE = 3 << 18, 400_000, 20_000
+MARKS, LATIN = ".,;:!?", "\xff"
+#: Byte-level tokenizers write bytes that are no visible character as the characters from 256 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer that drops white space, word by word, with short words remembered."""
+    """Ids of texts by a tokenizer that drops white space, word by word, with words remembered."""
 
     def __init__(self, data: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -40,28 +45,49 @@ class WordTokenizer:
         self.kind = "<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {"": b""}
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        words = [w for w in words if w not in self.known]
-        got = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        new = {w: np.array(x.ids, dtype=self.kind).tobytes() for w, x in zip(words, got)}
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {"": b""}
-        self.known |= {w: x for w, x in new.items() if len(w) <= REMEMBERED_LENGTH}
-        return new
-
-    def encode(self, text: str, end: bytes) -> bytes:
-        # The tokenizer drops spaces and line ends and merges nothing across them.
-        words = text.replace("\n", " ").split(" ")
+    def learn(self, texts: list[list[str]]) -> None:
+        """Know all words of ``texts``; if too many are known, the others are forgotten."""
         known = self.known
-        try:
-            return b"".join([known[w] for w in words]) + end
-        except KeyError:
-            new = self.learn(set(words))
-            table = self.known
-            return b"".join([x if (x := table.get(w)) is not None else new.get(w) or self.once(w) for w in words]) + end
-
-    def once(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        new = {w for words in texts for w in words if w not in known}
+        if len(known) + len(new) > REMEMBERED:
+            used = set().union(*texts)
+            known = self.known = {w: ids for w, ids in known.items() if w in used} | {"": b""}
+        # Letters and marks are never merged with each other, and letters are lowered: the parts make the whole.
+        parts: dict[str, tuple[str, str]] = {}
+        for w in new:
+            core = w.rstrip(MARKS)
+            if core and core[-1].isalnum():
+                parts[w] = (core.lower() if max(core) <= LATIN else core, w[len(core) :])
+            else:
+                parts[w] = (w, "")
+        needed = [w for w in {x for both in parts.values() for x in both} if w not in known]
+        # Letters alone need no splitting, nor normal forms if they are Latin-1: the model's merges will do.
+        plain = [w for w in needed if w.isalpha() and max(w) <= LATIN and w == w.lower()]
+        merges = self.tokenizer.model.tokenize
+        fresh = {w: np.array([x.id for x in merges(w.encode().decode("latin-1").translate(BYTES))], dtype=self.kind).tobytes() for w in plain}
+        needed = [w for w in needed if w not in fresh]
+        for at in range(0, len(needed), AT_ONCE):
+            some = needed[at : at + AT_ONCE]
+            got = self.tokenizer.encode_batch(some, add_special_tokens=False)
+            fresh |= {w: np.array(x.ids, dtype=self.kind).tobytes() for w, x in zip(some, got)}
+        known |= fresh
+        known |= {w: known[a] + known[b] for w, (a, b) in parts.items()}
+
+    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
+        """The ids of each text and ``end``."""
+        out: list[bytes] = []
+        split: list[list[str]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            # The tokenizer drops spaces and line ends and merges nothing across them.
+            split.append(text.replace("\n", " ").split(" "))
+            size += len(split[-1])
+            if size > WORDS_AT_ONCE or i == len(texts) - 1:
+                self.learn(split)
+                known = self.known.__getitem__
+                out += [b"".join(map(known, words)) + end for words in split]
+                split, size = [], 0
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -117,7 +143,7 @@ def token_ids(spark: SparkSession, tokenizer_file: str, text: Column, end_id: in
     def ids(texts: pd.Series) -> pd.Series:
         tokenizer = _tokenizer(data.value)
         end = np.array([end_id], dtype=tokenizer.kind).tobytes()
-        return pd.Series([tokenizer.encode(t, end) for t in texts], dtype=object)
+        return pd.Series(tokenizer.encode(list(texts), end), dtype=object)
 
     return ids(text), kind
 
