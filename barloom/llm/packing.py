@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -57,19 +58,22 @@ class WordTokenizer:
         for w in new:
             core = w.rstrip(MARKS)
             if core and core[-1].isalnum():
-                parts[w] = (core.lower() if max(core) <= LATIN else core, w[len(core) :])
+                parts[w] = (core.lower() if core.isascii() or max(core) <= LATIN else core, w[len(core) :])
             else:
                 parts[w] = (w, "")
         needed = [w for w in {x for both in parts.values() for x in both} if w not in known]
         # Letters alone need no splitting, nor normal forms if they are Latin-1: the model's merges will do.
-        plain = [w for w in needed if w.isalpha() and max(w) <= LATIN and w == w.lower()]
-        merges = self.tokenizer.model.tokenize
-        fresh = {w: np.array([x.id for x in merges(w.encode().decode("latin-1").translate(BYTES))], dtype=self.kind).tobytes() for w in plain}
+        merges, code = self.tokenizer.model.tokenize, "HI"[self.kind == "<u4"]
+        fresh = {}
+        for w in needed:
+            if w.isalpha() and w == w.lower() and (w.isascii() or max(w) <= LATIN):
+                raw = w if w.isascii() else w.encode().decode("latin-1").translate(BYTES)
+                fresh[w] = array(code, [x.id for x in merges(raw)]).tobytes()
         needed = [w for w in needed if w not in fresh]
         for at in range(0, len(needed), AT_ONCE):
             some = needed[at : at + AT_ONCE]
             got = self.tokenizer.encode_batch(some, add_special_tokens=False)
-            fresh |= {w: np.array(x.ids, dtype=self.kind).tobytes() for w, x in zip(some, got)}
+            fresh |= {w: array(code, x.ids).tobytes() for w, x in zip(some, got)}
         known |= fresh
         known |= {w: known[a] + known[b] for w, (a, b) in parts.items()}
 
