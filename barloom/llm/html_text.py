@@ -29,7 +29,7 @@ INLINE = frozenset(
 )
 #: Blocks of running text, which may stand at any depth below their container.
 TEXTUAL = frozenset(
-    "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption hgroup address center details summary".split()
+    "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption header hgroup address center details summary".split()
 )
 #: Start tags that end an open paragraph.
 ENDS_P = frozenset(
