@@ -142,7 +142,7 @@ def _predicates(bars: DataFrame) -> DataFrame:
     high, low = F.col("high"), F.col("low")
     return bars.select(
         "symbol", "x", predicates.direction(high, low, by_x()).alias("dir"), predicates.gap_to_next(high, low, by_x()).alias("gap"),
-        F.coalesce(predicates.containment(F.lag("high").over(by_x()), F.lag("low").over(by_x()), high, low), F.lit("first")).alias("stands"),
+        F.when(F.col("x") == 0, "first").otherwise(predicates.containment(F.lag("high").over(by_x()), F.lag("low").over(by_x()), high, low)).alias("stands"),
     )
 
 
