@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterable
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,6 +18,8 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.llm.common import held
+
 NONE = 1 << 62
 #: Pieces of one generation that a worker remembers, and the longest piece it does so for.
 REMEMBERED, REMEMBERED_LENGTH = 1 << 19, 64
@@ -117,9 +118,8 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-@lru_cache(maxsize=4)
 def _encoder(data: bytes, pattern: str) -> Encoder:
-    return Encoder(parse_ranks(data), pattern)
+    return held(("bytes", hash(data), pattern), lambda: Encoder(parse_ranks(data), pattern))
 
 
 class ByteBpe:

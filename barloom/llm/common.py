@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,17 @@ def bucketed(df: DataFrame, column: str) -> DataFrame:
     return spark.table(name)
 
 
+_held: dict = {}
+
+
+def held(mark, make: Callable):
+    """What ``make`` gives, made once per mark in a Python worker; whatever was held for another mark goes first."""
+    if mark not in _held:
+        _held.clear()
+        _held[mark] = make()
+    return _held[mark]
+
+
 def text_or_empty(col: Column | str) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

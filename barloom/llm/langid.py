@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import held
 from barloom.llm.crf import Channel, Crf, blocks, windows_of
 
 UNKNOWN = "und"
@@ -144,9 +145,6 @@ def sample(docs: DataFrame, key: str, text: str, lang: str, most: int = SAMPLE_D
     return sorted((r[0], r[1]) for r in rows)
 
 
-_predictor: dict[str, Predictor | None] = {}
-
-
 def predict(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; ``train`` gives the labelled texts to learn from.
 
@@ -158,11 +156,8 @@ def predict(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str =
 
     @F.pandas_udf("lang_pred string, score double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if mark not in _predictor:
-            _predictor.clear()
-            _predictor[mark] = Predictor(model.value) if model.value else None
+        p = held(mark, lambda: Predictor(model.value) if model.value else None)
         for texts in batches:
-            p = _predictor[mark]
             pred, score = p.predict(list(texts)) if p else ([UNKNOWN] * len(texts), [0.0] * len(texts))
             yield pd.DataFrame({"lang_pred": pred, "score": score})
 

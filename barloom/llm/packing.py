@@ -11,7 +11,6 @@ from __future__ import annotations
 import math
 import os
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import text_or_empty
+from barloom.llm.common import held, text_or_empty
 
 LENGTH = 2048
 #: Characters of text that a group holds, about (documents are dealt at random).
@@ -94,9 +93,8 @@ class WordTokenizer:
         return out
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(data: str) -> WordTokenizer:
-    return WordTokenizer(data)
+    return held(("words", hash(data)), lambda: WordTokenizer(data))
 
 
 def assign(lengths: list[int], capacity: int = LENGTH) -> list[list[tuple[int, int, int, int]]]:

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import held
 from barloom.llm.crf import Channel, Crf, blocks, windows_of
 
 # Kinds in the order of their listing, and their patterns.
@@ -335,9 +336,6 @@ def sample(docs: DataFrame, key: str, text: str) -> list[str]:
     return sorted(r[0] for r in usable.where(F.col(key).isin(ids)).select(text).limit(2 * SAMPLE_DOCS).collect()) if ids else []
 
 
-_scanner: dict[str, Scanner] = {}
-
-
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", mask: bool = False) -> DataFrame:
     """``docs`` with ``spans``, an array of ``kind``, ``start`` and ``end`` (code points, end exclusive) in order
     of start and kind, and with ``mask`` also ``masked``, the text with each span replaced.
@@ -351,12 +349,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", mask: bool =
 
     @F.pandas_udf(kind)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if mark not in _scanner:
-            _scanner.clear()
-            _scanner[mark] = Scanner(model.value)
+        scanner = held(mark, lambda: Scanner(model.value))
         for texts in batches:
             texts = list(texts)
-            found = _scanner[mark].scan(texts)
+            found = scanner.scan(texts)
             out = pd.DataFrame({"spans": [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in s] for s in found]})
             if mask:
                 out["masked"] = [t if not s else masked(t, s) for t, s in zip(texts, found)]
