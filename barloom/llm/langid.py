@@ -1,5 +1,7 @@
 """Language ID by a linear-chain conditional random field over the words of a text.
 
+A position is a word, or a piece of one that is long: of text without spaces all is seen, at bounded work a position.
+
 Word features are affixes, character n-grams and the word itself (the lexicon); transitions are learned
 from windows that switch between languages. Forward-backward gives each word's probability of each
 language; a text's language is the one with the largest mean.
@@ -28,6 +30,8 @@ WINDOW, ROUNDS, RATE, L2 = 16, 60, 0.15, 1e-5
 #: Words of a sequence; longer texts are cut into several.
 SEQUENCE = 1024
 WORDS_AT_ONCE = 400_000
+#: Characters of a position; a longer word is several.
+LONGEST = 40
 REMEMBERED = 1 << 19
 #: Texts below this share of their language are rejected.
 LEAST_SCORE = 0.5
@@ -40,8 +44,16 @@ def bare(word: str) -> str:
     return word if word and any(map(str.isalpha, word)) else ""
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text; those over ``LONGEST`` characters, as of scripts without spaces, in consecutive pieces."""
+    words = text.split()
+    if len(text) <= LONGEST or max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+
+
 def word_features(word: str) -> list[str]:
-    w = f"^{word[:40]}$"
+    w = f"^{word}$"
     pairs = map("".join, zip(w, w[1:]))
     triples = map("".join, zip(w, w[1:], w[2:]))
     return [w, *w[1:-1], *pairs, *triples, w[:5], w[-5:]]
@@ -57,7 +69,7 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Crf | None:
     per_label: dict[int, list[int]] = {i: [] for i in range(len(labels))}
     counts: Counter = Counter()
     for text, lang in texts:
-        words = [b for w in text.split() if (b := bare(w))]
+        words = [b for w in words_of(text) if (b := bare(w))]
         counts.update(words)
         per_label[labels.index(lang)] += [numbers.setdefault(w, len(numbers)) for w in words]
     names: Counter = Counter()
@@ -109,7 +121,7 @@ class Predictor:
         batch: list[tuple[int, list[str]]] = []
         size = 0
         for i, text in enumerate(texts):
-            words = (text or "").split()
+            words = words_of(text or "")
             batch.append((i, words))
             size += len(words)
             if size > WORDS_AT_ONCE or i == len(texts) - 1:
