@@ -2,7 +2,8 @@
 
 Lines marked by ``>`` are quotations, one level for each mark. Runs of lines of one level are passages. A passage
 is normalised and hashed and joined to the latest earlier message of the conversation that has it: as its
-whole text, as one of its paragraphs, or as consecutive lines of it. All of it is SQL.
+whole text, as one of its paragraphs, or as consecutive lines of it; if none has, as consecutive words of it, so
+that a part of a line or a rewrapped part is found too. All of it is SQL.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from barloom.llm.common import checkpoint, text_or_empty
 
 #: Turns of one conversation that a window takes together; the blocks before are summed up first.
 SPAN = 4096
+#: First words of a passage that a place in a message must have before the whole passage is compared there.
+LEAD = 4
 _WHITE = r"[\x20\x09-\x0D]+"
 _MARKS = r"^(?:[\x20\x09]*>)+"
 
@@ -43,9 +46,9 @@ def _joined(lines: Column) -> Column:
 
 def parsed(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     """``conv``, ``turn``, ``role``, ``own`` (the text without quotations), ``own_lines`` (normalised, none empty),
-    ``units`` (the text's and its paragraphs' hashes), ``passages`` (``level``, ``hash``, ``n_lines``) and ``spoken``.
+    ``units`` (the text's and its paragraphs' hashes), ``passages`` (``level``, ``hash``, ``n_lines``, ``n_words``, ``lead``).
 
-    The line that introduces a quotation (ending in ``wrote:``) goes with it.
+    The line that introduces a quotation (ending in ``wrote:``, with a line of a higher level next) goes with it, at any level.
     """
     raw = F.split(F.regexp_replace(text_or_empty(text), "\r\n?", "\n"), "\n", -1)
     level = lambda x: F.length(F.regexp_replace(F.regexp_extract(x, _MARKS, 0), "[^>]", ""))
@@ -53,9 +56,10 @@ def parsed(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> D
     lines = messages.select(
         F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.transform(raw, line).alias("lines")
     )
+    introduces = lambda x, i: F.rtrim(x["body"]).endswith("wrote:") & (F.get("lines", i + 1)["level"] > x["level"])
+    lines = lines.withColumn("lines", F.filter("lines", lambda x, i: ~F.coalesce(introduces(x, i), F.lit(False))))
     quoted = F.exists("lines", lambda x: x["level"] > 0)
-    introduces = lambda x, i: (x["level"] == 0) & F.rtrim(x["body"]).endswith("wrote:") & (F.get("lines", i + 1)["level"] > 0)
-    own = F.filter("lines", lambda x, i: (x["level"] == 0) & ~F.coalesce(introduces(x, i), F.lit(False)))
+    own = F.filter("lines", lambda x: x["level"] == 0)
     blank = lambda x: F.trim(F.regexp_replace(x["body"], _WHITE, " ")) == ""
     runs = lines.select("*", own.alias("mine")).select(
         "*",
@@ -68,7 +72,10 @@ def parsed(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> D
         _joined(part(F.col("lines"), r)).alias("text"),
         F.size(F.filter(part(F.col("lines"), r), lambda x: ~blank(x))).alias("n_lines"),
     )
-    hashed = lambda p: F.struct(p["level"].alias("level"), _hash(p["text"]).alias("hash"), p["n_lines"].alias("n_lines"))
+    hashed = lambda p: F.struct(
+        p["level"].alias("level"), _hash(p["text"]).alias("hash"), p["n_lines"].alias("n_lines"),
+        F.size(F.split(p["text"], " ")).alias("n_words"), F.xxhash64(F.substring_index(p["text"], " ", LEAD)).alias("lead"),
+    )
     passages = F.filter(F.transform(F.filter("runs", lambda r: F.get("lines", r["start"])["level"] > 0), passage), lambda p: p["text"] != "")
     units = F.concat(
         F.array(_joined(F.col("mine"))), F.coalesce(F.transform("paragraphs", lambda r: _joined(part(F.col("mine"), r))), F.array().cast("array<string>"))
@@ -79,7 +86,7 @@ def parsed(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> D
         F.regexp_replace(F.array_join(F.transform("mine", lambda x: x["body"]), "\n"), trim, "").alias("own"),
         F.transform(F.filter("mine", lambda x: ~blank(x)), lambda x: normalised(x["body"])).alias("own_lines"),
         F.transform(F.filter(F.array_distinct(units), lambda u: u != ""), _hash).alias("units"),
-        F.coalesce(F.transform(passages, hashed), F.array().cast("array<struct<level:int,hash:string,n_lines:int>>")).alias("passages"),
+        F.coalesce(F.transform(passages, hashed), F.array().cast("array<struct<level:int,hash:string,n_lines:int,n_words:int,lead:bigint>>")).alias("passages"),
     )
 
 
@@ -116,15 +123,38 @@ def _origins(rows: DataFrame, lengths: DataFrame) -> DataFrame:
     return units.unionAll(spans).distinct()
 
 
+def _places(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Hashes of the word runs of messages that have the first words (``lead``) and number of words of a passage of
+    ``asked`` (``conv``, ``lead``, ``n_words``, distinct): ``conv``, ``hash``, ``turn``."""
+    per_conv = asked.groupBy("conv").agg(F.collect_set(F.least("n_words", F.lit(LEAD))).alias("leads"))
+    said = F.array_join("own_lines", " ")
+    said = rows.where(F.size("own_lines") > 0).select("conv", "turn", said.alias("said")).distinct().join(per_conv, "conv")
+    said = checkpoint(said.select("conv", "turn", F.xxhash64("said").alias("mark"), F.split("said", " ").alias("words"), "leads"))
+    n = F.size("words")
+    starts = (
+        said.withColumn("n_lead", F.explode(F.filter("leads", lambda k: k <= n)))
+        .withColumn("at", F.explode(F.sequence(F.lit(1), n - F.col("n_lead") + 1)))
+        .select("conv", "turn", "mark", "at", n.alias("size"), F.xxhash64(F.array_join(F.slice("words", F.col("at"), F.col("n_lead")), " ")).alias("lead"))
+    )
+    found = starts.join(asked, ["conv", "lead"]).where("at + n_words - 1 <= size").select("conv", "turn", "mark", "at", "n_words").distinct()
+    run = F.array_join(F.slice("words", F.col("at"), F.col("n_words")), " ")
+    return found.join(said, ["conv", "turn", "mark"]).select("conv", _hash(run).alias("hash"), "turn").distinct()
+
+
 def linked(rows: DataFrame) -> DataFrame:
     """Passages of ``rows`` (of :func:`parsed`) with their origin: ``conv``, ``turn``, ``level``, ``hash``, ``origin``."""
     passages = rows.select("conv", "turn", F.explode("passages").alias("p")).select("conv", "turn", "p.*").distinct()
     asks = passages.select("conv", "hash", "turn").distinct()
     origins = _origins(rows, passages.select("conv", "n_lines").distinct())
     origins = origins.join(asks.select("conv", "hash").distinct(), ["conv", "hash"], "left_semi")
-    found = latest_before(asks, origins, ["conv", "hash"])
+    found = checkpoint(latest_before(asks, origins, ["conv", "hash"]))
+    missing = found.where("found IS NULL").select("conv", "hash", "turn")
+    asked = passages.join(missing, ["conv", "hash", "turn"], "left_semi").select("conv", "lead", "n_words").distinct()
+    places = _places(rows, checkpoint(asked)).join(missing.select("conv", "hash").distinct(), ["conv", "hash"], "left_semi")
+    inside = latest_before(missing, places, ["conv", "hash"]).withColumnRenamed("found", "inside")
+    found = found.join(inside, ["conv", "hash", "turn"], "left")
     return passages.groupBy("conv", "turn", "level", "hash").count().drop("count").join(found, ["conv", "hash", "turn"]).select(
-        "conv", "turn", "level", "hash", F.col("found").alias("origin")
+        "conv", "turn", "level", "hash", F.coalesce("found", "inside").alias("origin")
     )
 
 
