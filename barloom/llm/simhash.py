@@ -81,7 +81,7 @@ def close_pairs(fps: DataFrame) -> DataFrame:
 
 
 def _labelled(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``id``, ``mark`` (a hash of the text), ``fp`` and ``component_id`` of each row."""
+    """``id``, ``mark`` (a hash of the text), ``fp``, ``component`` (its least fingerprint) and ``component_id`` of each row."""
     body = text_or_empty(text)
     rows = checkpoint(docs.select(F.col(key).alias("id"), F.xxhash64(body).alias("mark"), simhash_of(body).alias("fp")))
     fps = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("least_id")).withColumn("node", F.col("fp")))
@@ -90,7 +90,7 @@ def _labelled(docs: DataFrame, key: str, text: str) -> DataFrame:
         fps.join(parts, "node", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
     )
     least = checkpoint(labelled.groupBy("component").agg(F.min("least_id").alias("component_id")))
-    return rows.join(labelled.join(least, "component").select("fp", "component_id"), "fp")
+    return rows.join(labelled.join(least, "component").select("fp", "component", "component_id"), "fp")
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -111,6 +111,6 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
     Of several rows with that key (null keys too), the one whose text has the smallest hash stays.
     """
-    least = _labelled(docs, key, text).where(F.col("id").eqNullSafe(F.col("component_id")))
-    kept = least.groupBy("component_id", F.coalesce("component_id", "fp").alias("part")).agg(F.min("mark").alias("mark"))
-    return rows_kept(docs, kept.select(F.col("component_id").alias("id"), "mark"), key, F.xxhash64(text_or_empty(text)))
+    least = F.min(F.struct(F.col("id").isNull(), "id", "mark"))
+    kept = _labelled(docs, key, text).groupBy("component").agg(least.alias("r")).select("r.id", "r.mark")
+    return rows_kept(docs, kept, key, F.xxhash64(text_or_empty(text)))
