@@ -11,9 +11,10 @@ from __future__ import annotations
 import math
 import os
 from array import array
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ from pyspark.sql import types as T
 from barloom.llm.common import held, text_or_empty
 
 LENGTH = 2048
-#: Characters of text that a group holds, about (documents are dealt at random).
-GROUP_CHARS = 4_000_000
+#: Bytes of text that a group holds, about (documents are dealt by hash), and rows equal in key and text that go together.
+GROUP_CHARS, EQUAL_ROWS = 4_000_000, 16
 #: Words that a worker remembers, words of texts that are worked on at once, and new words at once.
 REMEMBERED, WORDS_AT_ONCE, AT_ONCE = 3 << 18, 400_000, 20_000
 MARKS, LATIN = ".,;:!?", "\xff"
@@ -34,47 +35,59 @@ LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer that drops white space, word by word, with words remembered."""
+    """Ids of texts by a tokenizer that drops white space, word by word, with words remembered.
+
+    Special tokens that are written in a text have their own ids, as in the library's plain call.
+    """
 
     def __init__(self, data: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(data)
-        self.tokenizer.encode_special_tokens = True
         self.kind = "<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {"": b""}
 
     def learn(self, texts: list[list[str]]) -> None:
         """Know all words of ``texts``; if too many are known, the others are forgotten."""
         known = self.known
-        new = {w for words in texts for w in words if w not in known}
+        used = set().union(*texts)
+        new = used.difference(known)
         if len(known) + len(new) > REMEMBERED:
-            used = set().union(*texts)
             known = self.known = {w: ids for w, ids in known.items() if w in used} | {"": b""}
-        # Letters and marks are never merged with each other, and letters are lowered: the parts make the whole.
+        # Marks after a Latin-1 letter or digit are never merged with it, nor changed by it: the parts make the whole.
         parts: dict[str, tuple[str, str]] = {}
+        plain: set[str] = set()
+        others: set[str] = set()
         for w in new:
             core = w.rstrip(MARKS)
-            if core and core[-1].isalnum():
-                parts[w] = (core.lower() if core.isascii() or max(core) <= LATIN else core, w[len(core) :])
+            if core and core[-1] <= LATIN and core[-1].isalnum():
+                # Latin-1 letters alone need no splitting and are in normal form once lowered: the model's merges will do.
+                if core.isalpha() and (core.isascii() or max(core) <= LATIN):
+                    core_ = core.lower()
+                    if core_ not in known:
+                        plain.add(core_)
+                else:
+                    core_ = core
+                    if core not in known:
+                        others.add(core)
+                if core_ != w:
+                    marks = w[len(core) :]
+                    parts[w] = core_, marks
+                    if marks not in known:
+                        others.add(marks)
             else:
-                parts[w] = (w, "")
-        needed = [w for w in {x for both in parts.values() for x in both} if w not in known]
-        # Letters alone need no splitting, nor normal forms if they are Latin-1: the model's merges will do.
+                others.add(w)
         merges, code = self.tokenizer.model.tokenize, "HI"[self.kind == "<u4"]
-        fresh = {}
-        for w in needed:
-            if w.isalpha() and w == w.lower() and (w.isascii() or max(w) <= LATIN):
-                raw = w if w.isascii() else w.encode().decode("latin-1").translate(BYTES)
-                fresh[w] = array(code, [x.id for x in merges(raw)]).tobytes()
-        needed = [w for w in needed if w not in fresh]
-        for at in range(0, len(needed), AT_ONCE):
-            some = needed[at : at + AT_ONCE]
+        for w in plain:
+            raw = w if w.isascii() else w.encode().decode("latin-1").translate(BYTES)
+            known[w] = array(code, [x.id for x in merges(raw)]).tobytes()
+        rest = list(others)
+        for at in range(0, len(rest), AT_ONCE):
+            some = rest[at : at + AT_ONCE]
             got = self.tokenizer.encode_batch(some, add_special_tokens=False)
-            fresh |= {w: array(code, x.ids).tobytes() for w, x in zip(some, got)}
-        known |= fresh
-        known |= {w: known[a] + known[b] for w, (a, b) in parts.items()}
+            known.update((w, array(code, x.ids).tobytes()) for w, x in zip(some, got))
+        known.update([(w, known[a] + known[b]) for w, (a, b) in parts.items()])
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         """The ids of each text and ``end``."""
@@ -135,19 +148,27 @@ def assign(lengths: list[int], capacity: int = LENGTH) -> list[list[tuple[int, i
     return out
 
 
-def token_ids(spark: SparkSession, tokenizer_file: str, text: Column, end_id: int) -> tuple[Column, str]:
-    """Ids of each text and ``end_id`` after them, in a binary of the numpy type that is also returned."""
+def token_ids(spark: SparkSession, tokenizer_file: str, text: Column, row: Column, end_id: int) -> tuple[Column, str]:
+    """A struct of ``ids``, each text's and ``end_id`` after them, in a binary of the numpy type that is also returned,
+    and ``nth``, how many rows of the same number ``row`` its partition had before."""
     with open(tokenizer_file, encoding="utf-8") as f:
         data = spark.sparkContext.broadcast(f.read())
     kind = WordTokenizer(data.value).kind
 
-    @F.pandas_udf("binary")
-    def ids(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("ids binary, nth long")
+    def ids(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         tokenizer = _tokenizer(data.value)
         end = np.array([end_id], dtype=tokenizer.kind).tobytes()
-        return pd.Series(tokenizer.encode(list(texts), end), dtype=object)
+        seen: Counter = Counter()
+        for texts, rows in batches:
+            nth = []
+            for row in rows.to_pylist():
+                nth.append(seen[row])
+                seen[row] += 1
+            found = pa.array(tokenizer.encode(texts.to_pylist(), end), pa.binary())
+            yield pa.StructArray.from_arrays([found, pa.array(nth, pa.int64())], names=["ids", "nth"])
 
-    return ids(text), kind
+    return ids(text, row), kind
 
 
 def pack(
@@ -158,17 +179,22 @@ def pack(
     unsigned 32-bit), ``doc_tokens``, ``sequence_id`` and ``offset`` (its place in the sequence, gapless from 0).
 
     Null and empty texts have the end id alone. Rows count one by one, so repeated rows and null keys are
-    packed like any other. An empty table gives no rows. Sequences are padded to ``capacity`` by whoever reads them.
+    packed like any other. A text of any length is tokenised whole and cut into pieces. An empty table gives no
+    rows. Other columns, whatever their names, are ignored. Sequences are padded to ``capacity`` by whoever reads them.
+
+    A row's group depends on its key, its text, its partition and on how many equal rows the partition has, and
+    not on the order of rows, so a task that is run again deals them alike. Ties in length go by that number.
     """
     spark = docs.sparkSession
-    chars = docs.agg(F.sum(F.length(text)).alias("n"), F.count(F.lit(1)).alias("rows")).first()
-    groups = max(1, math.ceil(((chars["n"] or 0) + chars["rows"]) / group_chars))
-    ids, kind = token_ids(spark, tokenizer_file, F.col("body"), end_id)
-    rows = docs.select(
-        F.col(key).alias("id"),
-        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).alias("grp"),
-        text_or_empty(text).alias("body"),
-    ).select("id", "grp", ids.alias("ids"))
+    sizes = docs.agg(F.sum(F.octet_length(text)).alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    groups = max(1, math.ceil(((sizes["n"] or 0) + sizes["rows"]) / group_chars))
+    ids, kind = token_ids(spark, tokenizer_file, F.col("body"), F.col("row"), end_id)
+    rows = (
+        docs.select(F.col(key).alias("id"), text_or_empty(text).alias("body"), F.xxhash64(key, text, F.spark_partition_id()).alias("row"))
+        .select("id", "row", ids.alias("found"))
+        .select("id", "row", "found.*")
+        .withColumn("grp", F.pmod(F.xxhash64("row", F.floor(F.col("nth") / EQUAL_ROWS)), F.lit(groups)))
+    )
     out = T.StructType(
         [T.StructField("id", docs.schema[key].dataType)]
         + [T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")]
@@ -176,6 +202,7 @@ def pack(
     )
 
     def packed(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("row", "ascending"), ("nth", "ascending")])
         tokens = [np.frombuffer(x, dtype=kind) for x in rows["ids"].to_pylist()]
         base = rows["grp"][0].as_py() << 32
         found = [

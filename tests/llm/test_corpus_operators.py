@@ -238,7 +238,6 @@ def test_packing_round_trip(docs):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     pieces = [r.asDict() for r in packing.pack(docs, path, group_chars=200_000).collect()]
     whole, sequences = Counter(), {}
     for p in pieces:
@@ -259,6 +258,43 @@ def test_packing_round_trip(docs):
         assert whole[k, len(ids)] == len(ids)
 
 
+def test_pieces_balance_costs():
+    rng = random.Random(8)
+    for lengths in ([1], [5, 5, 5], [1200] * 5, [rng.randrange(1, 900) for _ in range(200)], [5000, 2048, 4096, 1, 1]):
+        found = packing.assign(lengths)
+        n = -(-sum(lengths) // packing.LENGTH)
+        spans = sorted((s, offset, size) for pieces in found for _, size, s, offset in pieces)
+        used = Counter()
+        for s, offset, size in spans:
+            assert offset == used[s] and 0 <= s < n
+            used[s] += size
+        for length, pieces in zip(lengths, found):
+            assert [p[0] for p in pieces] == [sum(q[1] for q in pieces[:i]) for i in range(len(pieces))] and sum(p[1] for p in pieces) == length
+        assert max(used.values()) <= packing.LENGTH and n * packing.LENGTH - sum(used.values()) < packing.LENGTH
+    # Descending, each to the sequence of lowest cost that has room.
+    assert [p[0][2:] for p in packing.assign([300, 600, 900, 1000])] == [(0, 1000), (1, 900), (1, 0), (0, 0)]
+
+
+def test_equal_rows_are_dealt_to_several_groups(spark):
+    rows = spark.createDataFrame([(1, "a b c", 2, 3)] * 500, "doc_id long, text string, row int, ids int")
+    found = packing.pack(rows, public_tokenizers.path("word_bpe_49k.json"), group_chars=400).collect()
+    assert len(found) == 500 and len({r.sequence_id for r in found}) > 4
+
+
+def test_random_texts_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    own = packing.WordTokenizer(open(path, encoding="utf-8").read())
+    rng = random.Random(3)
+    atoms = [*"abXZ09 .,;:!?'-_<>|\n\t\r\x0b\x85\xa0\u2003\u3000\u200b\u0301\u0307\u0338\u0130\u0131ÀéßµªºΣς日本ツ각ﬁ\u212b\u037e\u1fef\u0660\U0001f600", "'s", "'LL"]
+    atoms += ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", " word, ", *(chr(rng.randrange(0x80, 0x3000)) for _ in range(300))]
+    texts = ["".join(rng.choices(atoms, k=rng.randrange(14))) for _ in range(25_000)]
+    for text, ids in zip(texts, own.encode(texts, b"")):
+        assert np.frombuffer(ids, own.kind).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_words_by_parts_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
