@@ -15,11 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or where that is unset
-    (a local session, as in tests) a temporary folder of this machine."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset, a local session
+    has a temporary folder; on a cluster it is an error, since executors share no folder of a machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="barloom-"))
     return sc.getCheckpointDir()
 
 
@@ -38,6 +41,41 @@ def bucketed(df: DataFrame, column: str) -> DataFrame:
     return spark.table(name)
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names for new columns, none of which ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def excerpts(docs: DataFrame, text: str, most: int, chars: int, by: str | None = None) -> list[tuple]:
+    """A bounded sample to fit a model on: for each value of ``by``, excerpts of ``most`` different texts, at most.
+
+    Texts are dealt to ``most`` buckets by their hash, and each bucket gives the one of smallest hash, so copies
+    count once and the sample doesn't depend on the order of rows. An excerpt has ``chars`` characters at most,
+    from a place in its text that the hash tells. Null texts and null values of ``by`` are left out.
+    """
+    group = F.col(by) if by else F.lit("")
+    rows = docs.where(F.col(text).isNotNull() & group.isNotNull()).select(group.alias("by"), F.col(text).alias("text"))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    chosen = rows.groupBy("by", F.pmod("hash", F.lit(most)).alias("bucket")).agg(F.min("hash").alias("hash"))
+    wanted = [(r["by"], r["hash"]) for r in chosen.select("by", "hash").collect()]  # at most ``most`` for each value
+    if not wanted:
+        return []
+    room = F.greatest(F.length("text") - chars, F.lit(0)) + 1
+    found = rows.where(F.col("hash").isin([h for _, h in wanted])).select(
+        "by", "hash", F.substring("text", (F.pmod(F.shiftright("hash", 7), room) + 1).cast("int"), F.lit(chars)).alias("text")
+    )
+    got = found.dropDuplicates(["by", "hash"]).collect()
+    keep = set(wanted)
+    return sorted((r["text"], r["by"]) for r in got if (r["by"], r["hash"]) in keep)
+
+
 _held: dict = {}
 
 
@@ -60,9 +98,10 @@ def same(a: Column, b: Column) -> Column:
 def rows_kept(docs: DataFrame, kept: DataFrame, key: str, mark: Column) -> DataFrame:
     """One row of ``docs`` for each ``id`` and ``mark`` of ``kept`` (distinct); ``mark`` is computed from a row."""
     kept = checkpoint(kept.select(F.col("id").alias("_kept_id"), F.col("mark").alias("_kept_mark")))
-    rows = docs.withColumn("_mark", mark)
-    found = rows.join(kept, same(rows[key], kept["_kept_id"]) & (rows["_mark"] == kept["_kept_mark"]), "left_semi")
+    (own,) = fresh(docs, "_mark")
+    rows = docs.withColumn(own, mark)
+    found = rows.join(kept, same(rows[key], kept["_kept_id"]) & (rows[own] == kept["_kept_mark"]), "left_semi")
     repeated = docs.select(F.col(key).alias("id"), mark.alias("mark")).groupBy("id", "mark").count().where("count > 1")
     if not repeated.isEmpty():
-        found = found.dropDuplicates([key, "_mark"])
-    return found.drop("_mark")
+        found = found.dropDuplicates([key, own])
+    return found.drop(own)

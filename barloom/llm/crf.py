@@ -8,7 +8,7 @@ exact gradient of the log-likelihood. Decoding runs over many sequences at once.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -99,62 +99,121 @@ class Crf:
             pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
         return marginal, pairs
 
-    def marginals(self, e: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Forward-backward over sequences of positive lengths that lie one after another in ``e``."""
-        order = np.argsort(-lengths, kind="stable")
-        starts, lengths = starts[order], lengths[order]
-        live = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # with more than t positions
+    def marginals(self, e: np.ndarray, texts: "Cut") -> np.ndarray:
+        """Forward-backward over whole texts that lie one after another in ``e``."""
+        n = len(self.labels)
         x = np.exp(e - e.max(axis=1, keepdims=True))
         move = np.exp(self.moves)
-        alpha, beta = np.empty_like(x), np.ones_like(x)
-        a = x[starts] * np.exp(self.first)
-        alpha[starts] = a / a.sum(1, keepdims=True)
-        for t in range(1, lengths[0]):
-            at = starts[: live[t]] + t
-            a = (alpha[at - 1] @ move) * x[at]
+        enter = np.tile(np.exp(self.first), (len(texts.starts), 1))  # what comes into each sequence from before
+        leave = np.ones((len(texts.starts), n))
+        if len(texts.chained):
+            # A sequence takes what is before it to what is behind it by a product of matrices.
+            through = np.where(texts.opening[:, None, None], np.eye(n), move)
+            for t, at in texts.steps(texts.chained):
+                m = (through[: len(at)] @ move if t else through) * x[at][:, None, :]
+                through[: len(at)] = m / m.sum((1, 2), keepdims=True)
+            matrix = dict(zip(texts.chained.tolist(), through))
+            for run in texts.runs:
+                a = np.exp(self.first) @ matrix[run[0]]
+                for k in run[1:]:
+                    enter[k] = a @ move
+                    a = a @ matrix[k]
+                    a /= a.sum()
+                b = np.ones(n)
+                for k, before in zip(run[:0:-1], run[-2::-1]):
+                    b = matrix[k] @ b
+                    b /= b.sum()
+                    leave[before] = b
+        alpha, beta = np.empty_like(x), np.empty_like(x)
+        for t, at in texts.steps():
+            a = (enter[texts.order[: len(at)]] if t == 0 else alpha[at - 1] @ move) * x[at]
             alpha[at] = a / a.sum(1, keepdims=True)
-        for t in range(lengths[0] - 2, -1, -1):
-            at = starts[: live[t + 1]] + t
-            b = (x[at + 1] * beta[at + 1]) @ move.T
-            beta[at] = b / b.sum(1, keepdims=True)
+        beta[texts.starts + texts.lengths - 1] = leave
+        for t, at in reversed(list(texts.steps())):
+            if t:
+                b = (x[at] * beta[at]) @ move.T
+                beta[at - 1] = b / b.sum(1, keepdims=True)
         alpha *= beta
         return alpha / alpha.sum(1, keepdims=True)
 
-    def viterbi(self, e: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The best labels of sequences of positive lengths that lie one after another in ``e``."""
-        order = np.argsort(-lengths, kind="stable")
-        starts, lengths = starts[order], lengths[order]
-        live = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+    def viterbi(self, e: np.ndarray, texts: "Cut") -> np.ndarray:
+        """The best labels of whole texts that lie one after another in ``e``; of equal ones the first label."""
+        n = len(self.labels)
+        enter = np.tile(self.first, (len(texts.starts), 1))
+        came_in: dict[int, np.ndarray] = {}
+        if len(texts.chained):
+            through = np.where(texts.opening[:, None, None], np.where(np.eye(n, dtype=bool), 0.0, -np.inf), self.moves)
+            for t, at in texts.steps(texts.chained):
+                m = (through[: len(at), :, :, None] + self.moves).max(2) if t else through
+                through[: len(at)] = m + e[at][:, None, :]
+            matrix = dict(zip(texts.chained.tolist(), through))
+            for run in texts.runs:
+                a = (self.first[:, None] + matrix[run[0]]).max(0)
+                for k in run[1:]:
+                    ways = a[:, None] + self.moves
+                    enter[k], came_in[k] = ways.max(0), ways.argmax(0)
+                    a = (a[:, None] + matrix[k]).max(0)
         came = np.zeros(e.shape, dtype=np.int8)
         best = e.copy()
-        best[starts] += self.first
-        for t in range(1, lengths[0]):
-            at = starts[: live[t]] + t
-            ways = best[at - 1][:, :, None] + self.moves
-            came[at] = ways.argmax(1)
-            best[at] += ways.max(1)
+        best[texts.starts] += enter
+        for t, at in texts.steps():
+            if t:
+                ways = best[at - 1][:, :, None] + self.moves
+                came[at] = ways.argmax(1)
+                best[at] += ways.max(1)
+        ends = texts.starts + texts.lengths - 1
+        label = best[ends].argmax(1)
+        # The labels of a sequence's ends, by which the one before it ends.
+        if came_in:
+            first_of = np.tile(np.arange(n), (len(texts.chained), 1))  # a sequence's first label by its last
+            for t, at in reversed(list(texts.steps(texts.chained))):
+                if t:
+                    first_of[: len(at)] = np.take_along_axis(came[at], first_of[: len(at)], axis=1)
+            firsts = dict(zip(texts.chained.tolist(), first_of))
+            for run in texts.runs:
+                for k, before in zip(run[:0:-1], run[-2::-1]):
+                    label[before] = came_in[k][firsts[k][label[k]]]
         out = np.empty(len(e), dtype=np.int8)
-        last = starts + lengths - 1
-        out[last] = best[last].argmax(1)
-        for t in range(lengths[0] - 1, 0, -1):
-            at = starts[: live[t]] + t
-            out[at - 1] = came[at, out[at]]
+        out[ends] = label
+        for t, at in reversed(list(texts.steps())):
+            if t:
+                out[at - 1] = came[at, out[at]]
         return out
 
 
+class Cut:
+    """Texts that lie one after another, those of over ``longest`` positions as a chain of sequences.
+
+    Sequences are worked on side by side, and chains are joined exactly at their seams.
+    """
+
+    def __init__(self, counts: np.ndarray, longest: int):
+        starts, lengths, self.runs = [], [], []
+        at = 0
+        for n in counts.tolist():
+            first = len(starts)
+            for i in range(0, n, longest):
+                starts.append(at + i)
+                lengths.append(min(longest, n - i))
+            if len(starts) - first > 1:
+                self.runs.append(list(range(first, len(starts))))
+            at += n
+        self.starts, self.lengths = np.array(starts, dtype=np.int64), np.array(lengths, dtype=np.int64)
+        self.order = np.argsort(-self.lengths, kind="stable")
+        inner = np.array([k for run in self.runs for k in run], dtype=np.int64)
+        self.chained = inner[np.argsort(-self.lengths[inner], kind="stable")]
+        self.opening = np.isin(self.chained, [run[0] for run in self.runs])
+
+    def steps(self, some: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """For each place, its number and where it is in those sequences that have it, the longest first."""
+        order = self.order if some is None else some
+        starts, lengths = self.starts[order], self.lengths[order]
+        live = np.searchsorted(-lengths, -np.arange(lengths[0] if len(order) else 0), side="left")
+        for t, n in enumerate(live.tolist()):
+            yield t, starts[:n] + t
+
+
 def windows_of(ids: np.ndarray, length: int) -> np.ndarray:
     """Whole windows of a long row of numbers; the rest of fewer than ``length`` is left out."""
     n = len(ids) // length
     return ids[: n * length].reshape(n, length)
-
-
-def blocks(counts: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of sequences that lie one after another, those over ``longest`` cut."""
-    starts, lengths = [], []
-    at = 0
-    for n in counts.tolist():
-        for i in range(0, n, longest):
-            starts.append(at + i)
-            lengths.append(min(longest, n - i))
-        at += n
-    return np.array(starts, dtype=np.int64), np.array(lengths, dtype=np.int64)

@@ -15,20 +15,20 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import held
-from barloom.llm.crf import Channel, Crf, blocks, windows_of
+from barloom.llm.common import excerpts, fresh, held
+from barloom.llm.crf import Channel, Crf, Cut, windows_of
 
 UNKNOWN = "und"
-#: The classifier is fitted on at most so many labelled texts of at most so many characters.
-SAMPLE_DOCS, SAMPLE_CHARS = 1200, 20_000
+#: The classifier is fitted on excerpts of at most so many characters of at most so many different texts of each language.
+SAMPLE_DOCS, SAMPLE_CHARS = 300, 5_000
 FEATURES, LEAST_COUNT = 200_000, 3
 WINDOW, ROUNDS, RATE, L2 = 16, 60, 0.15, 1e-5
-#: Words of a sequence; longer texts are cut into several.
-SEQUENCE = 1024
+#: Words that are worked on in one row; longer texts are several, joined exactly.
+SEQUENCE = 2048
 WORDS_AT_ONCE = 400_000
 #: Characters of a position; a longer word is several.
 LONGEST = 40
@@ -60,7 +60,7 @@ def word_features(word: str) -> list[str]:
 
 
 def fit(texts: list[tuple[str, str]], seed: int = 7) -> Crf | None:
-    """A model of ``(text, language)`` pairs, or None without any."""
+    """A model of ``(text, language)`` pairs, or None without any; of ``FEATURES`` features at most, the most frequent."""
     labels = sorted({lang for _, lang in texts})
     if not labels:
         return None
@@ -137,40 +137,37 @@ class Predictor:
         if not batch:
             return
         counts = np.array([len(r) for _, r in batch])
-        starts, lengths = blocks(counts, SEQUENCE)
-        p = self.crf.marginals(self.table[np.concatenate([r for _, r in batch])], starts, lengths)
+        p = self.crf.marginals(self.table[np.concatenate([r for _, r in batch])], Cut(counts, SEQUENCE))
         mean = np.add.reduceat(p, np.cumsum(counts) - counts) / counts[:, None]
         best = mean.argmax(1)
         for (i, _), k, m in zip(batch, best.tolist(), mean):
             labels[i], scores[i] = self.crf.labels[k], float(min(1.0, max(0.0, m[k])))
 
 
-def has_letter(text: Column) -> Column:
-    return text.rlike(r"\p{L}")
+def predict(
+    docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
+    pred: str = "lang_pred", score: str = "score", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS,
+) -> DataFrame:
+    """``docs`` with ``pred`` and ``score``; ``train`` gives the labelled texts to learn from, every label among them.
 
-
-def sample(docs: DataFrame, key: str, text: str, lang: str, most: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
-    """A fixed sample of labelled texts: those of the smallest hashed keys."""
-    usable = docs.where(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= SAMPLE_CHARS))
-    ids = [r[0] for r in usable.select(key).orderBy(F.xxhash64(key), key).limit(most).collect()]
-    rows = usable.where(F.col(key).isin(ids)).select(text, lang).limit(2 * most).collect() if ids else []
-    return sorted((r[0], r[1]) for r in rows)
-
-
-def predict(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; ``train`` gives the labelled texts to learn from.
-
-    ``und`` with score 0 if the text is null, has no letter, or nothing could be learned. The model is
-    bounded by its sample and its number of features, and sent to the executors once.
+    ``und`` with score 0 if the text is null, has no letter, or nothing could be learned. Of languages that are
+    equally likely the first by name is told. Rows are told one by one, so repeated rows and null keys need no care;
+    texts of any length are read whole. Columns of ``docs`` that are called as the new ones are replaced, others stay
+    as they are. An empty table gives no rows. The model is bounded by its sample and its number of features, and sent
+    to the executors once.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(sample(train, key, text, lang)))
+    sample = excerpts(train, text, sample_docs, sample_chars, by=lang)
+    model = docs.sparkSession.sparkContext.broadcast(fit(sample))
     mark = uuid.uuid4().hex
 
-    @F.pandas_udf("lang_pred string, score double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("pred string, score double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         p = held(mark, lambda: Predictor(model.value) if model.value else None)
         for texts in batches:
-            pred, score = p.predict(list(texts)) if p else ([UNKNOWN] * len(texts), [0.0] * len(texts))
-            yield pd.DataFrame({"lang_pred": pred, "score": score})
+            found = p.predict(texts.to_pylist()) if p else ([UNKNOWN] * len(texts), [0.0] * len(texts))
+            yield pa.StructArray.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.float64())], names=["pred", "score"])
 
-    return docs.withColumn("_lang", of(F.col(text))).select("*", "_lang.*").drop("_lang")
+    (own,) = fresh(docs, "_lang")
+    found = docs.withColumn(own, of(F.col(text)))
+    rest = [F.col(c) for c in docs.columns if c.lower() not in (pred.lower(), score.lower())]
+    return found.select(*rest, F.col(f"{own}.pred").alias(pred), F.col(f"{own}.score").alias(score))

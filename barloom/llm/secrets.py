@@ -16,12 +16,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import held
-from barloom.llm.crf import Channel, Crf, blocks, windows_of
+from barloom.llm.common import excerpts, fresh, held
+from barloom.llm.crf import Channel, Crf, Cut, windows_of
 
 # Kinds in the order of their listing, and their patterns.
 KINDS = ("assign", "access", "hex", "crf")
@@ -33,16 +33,22 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 SENSITIVE = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "auth", "bearer", "credential", "private", "access")
 
+#: The field is fitted on excerpts of at most so many characters of at most so many different texts, cut into windows of
+#: words, of which so many are learned from (those with secrets first), with the most frequent features.
 SAMPLE_DOCS, SAMPLE_CHARS = 1200, 20_000
+WINDOWS, FEATURES = 30_000, 20_000
 WINDOW, ROUNDS, RATE, L2 = 16, 60, 0.15, 1e-5
-FEATURES, WINDOWS = 20_000, 30_000
-SEQUENCE, WORDS_AT_ONCE, REMEMBERED = 1024, 400_000, 1 << 19
+#: Words that are worked on in one row (longer texts are several, joined exactly) and at once, and that are remembered.
+SEQUENCE, WORDS_AT_ONCE, REMEMBERED = 2048, 400_000, 1 << 19
+#: Characters of a position; longer words are cut behind marks that end a value, and then at this length.
+LONGEST = 256
 OUTSIDE, BEGIN, INSIDE = range(3)
 MASK = "[secret]"
 
 Span = tuple[int, int, int]  # start, number of the kind, end
 _HEX_BYTES = bytes(120 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 _WORD = re.compile(r"\S+")
+_VALUE = re.compile(r"""[^"'()\[\]{}<>,;=:&]*["'()\[\]{}<>,;=:&]*""")
 _TRIM = "\"'`,;:()[]{}<>."
 
 
@@ -68,18 +74,17 @@ def shape(word: str) -> str:
     if not core:
         return f"mark{word[:2]}"
     n = len(core)
-    classes = ["9" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else "w" if c.isalpha() else c for c in core[:400]]
+    classes = ["9" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else "w" if c.isalpha() else c for c in core]
     runs = [c for i, c in enumerate(classes) if i == 0 or classes[i - 1] != c]
-    counts = Counter(core[:400])
-    m = min(n, 400)
-    entropy = -sum(k / m * math.log2(k / m) for k in counts.values())
-    digits = sum(c == "9" for c in classes) / m
-    letters = sum(c in "aAw" for c in classes) / m
+    counts = Counter(core)
+    entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
+    digits = sum(c == "9" for c in classes) / n
+    letters = sum(c in "aAw" for c in classes) / n
     out = [
-        f"s{''.join(runs[:10])}", f"n{min(n, 64) // 4}", f"r{min(len(runs), 24) // 3}", f"e{int(2 * entropy)}",
+        f"s{''.join(runs if len(runs) <= 10 else runs[:5] + ['~'] + runs[-5:])}", f"n{min(n, 64) // 4}", f"r{min(len(runs), 24) // 3}", f"e{int(2 * entropy)}",
         f"d{int(4 * digits)}", f"l{int(4 * letters)}", f"er{min(len(runs), 24) // 4}.{int(entropy)}", "mixed",
         "kinds" + "".join(sorted(set(classes) & set("aA9w"))),
-        "marks" + "".join(sorted(set(classes) - set("aA9w")))[:6],
+        "marks" + "".join(sorted(set(classes) - set("aA9w"))),
         f"head{''.join(classes[:3])}",
     ]
     low = core.lower()
@@ -107,8 +112,31 @@ def file_features(kind: str) -> list[str]:
     return kind.split("|")
 
 
+def _pieces(word: str) -> Iterator[tuple[int, int]]:
+    """Where the pieces of a long word begin and end."""
+    for m in _VALUE.finditer(word):
+        for a in range(m.start(), m.end(), LONGEST):
+            yield a, min(a + LONGEST, m.end())
+
+
 def _words(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _WORD.finditer(text)]
+    """Positions of a text: its words, those over ``LONGEST`` characters in pieces."""
+    out: list[tuple[int, int]] = []
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        if b - a <= LONGEST:
+            out.append((a, b))
+        else:
+            out += [(a + x, a + y) for x, y in _pieces(m[0])]
+    return out
+
+
+def _split(text: str) -> list[str]:
+    """The texts of the positions."""
+    words = text.split()
+    if len(text) <= LONGEST or max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [p for w in words for p in ([w] if len(w) <= LONGEST else [w[a:b] for a, b in _pieces(w)])]
 
 
 def gold(words: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[int]:
@@ -267,7 +295,7 @@ class Scanner:
         batch: list[tuple[int, list[int]]] = []
         size = 0
         for i, text in enumerate(texts):
-            numbers = self._numbers((text or "").split())
+            numbers = self._numbers(_split(text or ""))
             if numbers:
                 batch.append((i, numbers))
                 size += len(numbers)
@@ -294,7 +322,7 @@ class Scanner:
                 self.files[kind] = self.crf.channels[3].emissions([kind])[0]
             of_file.append(self.files[kind])
         e += np.repeat(np.stack(of_file), counts, axis=0)
-        found = self.crf.viterbi(e, *blocks(counts, SEQUENCE))
+        found = self.crf.viterbi(e, Cut(counts, SEQUENCE))
         hits = np.add.reduceat((found != OUTSIDE).astype(np.int64), ends - counts)
         for k in np.nonzero(hits)[0].tolist():
             i = batch[k][0]
@@ -330,35 +358,38 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join(out) + text[at:]
 
 
-def sample(docs: DataFrame, key: str, text: str) -> list[str]:
-    usable = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= SAMPLE_CHARS))
-    ids = [r[0] for r in usable.select(key).orderBy(F.xxhash64(key), key).limit(SAMPLE_DOCS).collect()]
-    return sorted(r[0] for r in usable.where(F.col(key).isin(ids)).select(text).limit(2 * SAMPLE_DOCS).collect()) if ids else []
-
-
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", mask: bool = False) -> DataFrame:
+def scan(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", mask: bool = False, spans: str = "spans", masked_text: str = "masked",
+    sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS,
+) -> DataFrame:
     """``docs`` with ``spans``, an array of ``kind``, ``start`` and ``end`` (code points, end exclusive) in order
-    of start and kind, and with ``mask`` also ``masked``, the text with each span replaced.
+    of start and kind, and with ``mask`` also ``masked_text``, the text with each span replaced.
 
     Null and empty texts have no spans; a null text stays null when masked. Spans of the field that overlap
-    one of a pattern are left out.
+    one of a pattern are left out. Of labels that are equally likely Viterbi takes outside before begin before inside.
+    Rows are scanned one by one, so repeated rows and null keys need no care; texts of any length are read whole.
+    Columns of ``docs`` that are called as the new ones are replaced, others stay as they are. An empty table gives no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, key, text)))
+    model = docs.sparkSession.sparkContext.broadcast(fit([t for t, _ in excerpts(docs, text, sample_docs, sample_chars)]))
     mark = uuid.uuid4().hex
-    kind = "spans array<struct<kind:string,start:long,end:long>>" + (", masked string" if mask else "")
 
-    @F.pandas_udf(kind)
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("spans array<struct<kind:string,start:long,end:long>>" + (", masked string" if mask else ""))
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scanner = held(mark, lambda: Scanner(model.value))
-        for texts in batches:
-            texts = list(texts)
+        span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+        for batch in batches:
+            texts = batch.to_pylist()
             found = scanner.scan(texts)
-            out = pd.DataFrame({"spans": [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in s] for s in found]})
+            out = [pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in s] for s in found], span)]
             if mask:
-                out["masked"] = [t if not s else masked(t, s) for t, s in zip(texts, found)]
-            yield out
-
-    return docs.withColumn("_scan", of(F.col(text))).select("*", "_scan.*").drop("_scan")
+                out.append(pa.array([t if not s else masked(t, s) for t, s in zip(texts, found)], pa.string()))
+            yield pa.StructArray.from_arrays(out, names=["spans", "masked"][: len(out)])
+
+    (own,) = fresh(docs, "_scan")
+    found = docs.withColumn(own, of(F.col(text)))
+    new = {spans: "spans"} | ({masked_text: "masked"} if mask else {})
+    rest = [F.col(c) for c in docs.columns if c.lower() not in {n.lower() for n in new}]
+    return found.select(*rest, *(F.col(f"{own}.{field}").alias(name) for name, field in new.items()))
 
 
 def joined(spans: Column) -> Column:

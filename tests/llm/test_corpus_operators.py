@@ -167,7 +167,7 @@ def test_base_secrets_stay(spark):
 def test_crf_decodes_and_sums_exactly():
     from itertools import product
 
-    from barloom.llm.crf import Crf
+    from barloom.llm.crf import Crf, Cut
 
     rng = np.random.default_rng(1)
     crf = Crf(["a", "b", "c"], [])
@@ -175,7 +175,9 @@ def test_crf_decodes_and_sums_exactly():
     lengths = np.array([1, 5, 4])
     e = rng.normal(size=(10, 3))
     starts = np.cumsum(lengths) - lengths
-    marginal, best = crf.marginals(e, starts, lengths), crf.viterbi(e, starts, lengths)
+    marginal, best = crf.marginals(e, Cut(lengths, 9)), crf.viterbi(e, Cut(lengths, 9))
+    for longest in (1, 2, 3):  # chains of sequences are exact
+        assert np.allclose(crf.marginals(e, Cut(lengths, longest)), marginal) and (crf.viterbi(e, Cut(lengths, longest)) == best).all()
     for s, n in zip(starts, lengths):
         paths = list(product(range(3), repeat=n))
         score = [crf.first[p[0]] + sum(e[s + t, y] for t, y in enumerate(p)) + sum(crf.moves[a, b] for a, b in zip(p, p[1:])) for p in paths]
