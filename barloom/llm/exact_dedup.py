@@ -1,15 +1,19 @@
 """Exact deduplication by composable polynomial fingerprints and a chunkwise comparison.
 
 A text's fingerprint is its length in bytes and two polynomial hashes. Hashes of chunks combine by
-length-shifted arithmetic, ``h(ab) = h(a) * base**len(b) + h(b)``, so a long text is hashed chunk by chunk.
+length-shifted arithmetic, ``h(ab) = h(a) * base**len(b) + h(b)``. A huge text is cut into parts that are rows of
+their own and hashed side by side; a part's hash is shifted by the length of what follows it, so the sum over the
+parts is the text's hash, whatever order they come in.
 Texts of equal fingerprint are then compared chunk by chunk with the group's first text; those that differ
 form groups of their own in a further round, so a collision never merges different texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,8 @@ from barloom.llm.common import checkpoint, rows_kept, same, text_or_empty
 CHUNK = 1 << 15
 #: (modulus, base) of the two hashes; moduli below 2**31 keep a chunk's sum of products in 64 bits.
 MODULI = ((2147483647, 911382323), (2147483629, 972663749))
+#: Texts of more bytes are hashed in parts of this many.
+PART = 64 * CHUNK
 #: Members of a group that one key of the comparison holds at most, about.
 SALT_ROWS = 256
 FINGERPRINT = ("fp_len", "fp_a", "fp_b")
@@ -51,17 +57,38 @@ def text_hash(data: bytes, modulus: int, base: int, powers: np.ndarray) -> int:
     return h
 
 
-def fingerprint(text: Column, moduli=MODULI) -> Column:
-    """A struct of ``fp_len``, ``fp_a`` and ``fp_b``."""
+def fingerprint(text: Column, moduli=MODULI, behind: Column | None = None) -> Column:
+    """A struct of ``fp_len``, ``fp_a`` and ``fp_b``; shifted by ``behind`` bytes that follow, if given."""
 
-    @F.pandas_udf("fp_len long, fp_a long, fp_b long")
-    def of(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("fp_len long, fp_a long, fp_b long")
+    def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         tables = [(m, b, _powers(m, b)) for m, b in moduli]
-        raw = [t.encode() for t in texts]
-        a, b = ([text_hash(x, *one) for x in raw] for one in tables)
-        return pd.DataFrame({"fp_len": [len(x) for x in raw], "fp_a": a, "fp_b": b})
+        for texts, shifts in batches:
+            raw = texts.cast(pa.binary()).to_pylist()
+            hashes = [[text_hash(x, *one) * pow(one[1], n, one[0]) % one[0] for x, n in zip(raw, shifts.to_pylist())] for one in tables]
+            yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in ([len(x) for x in raw], *hashes)], names=list(FINGERPRINT))
+
+    return of(text, F.lit(0).cast("long") if behind is None else behind)
+
 
-    return of(text)
+def fingerprints(rows: DataFrame, moduli=MODULI, part: int = PART) -> DataFrame:
+    """``rows`` (``text_sha256``, ``size``, ``body`` and others) with the fingerprint of ``body`` in place of it and ``size``.
+
+    Those of a ``size`` over ``part`` are hashed in parts; it may be any bound of the length in bytes.
+    """
+    short, huge = rows.where(F.col("size") <= part), rows.where(F.col("size") > part).withColumn("fp_len", F.octet_length("body").cast("long"))
+    out = short.select(*(c for c in rows.columns if c not in ("body", "size")), fingerprint(F.col("body"), moduli).alias("fp")).select("*", "fp.*").drop("fp")
+    at = F.col("at").cast("long") * part
+    parts = (
+        huge.select("text_sha256", "fp_len", F.col("body").cast("binary").alias("data"))
+        .withColumn("at", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.col("fp_len") - 1, F.lit(0)) / part).cast("int"))))
+        .select("text_sha256", "fp_len", "at", F.substring("data", (at + 1).cast("int"), F.lit(part)).alias("data"))
+        .repartition("text_sha256", "at")
+        .select("text_sha256", "fp_len", "at", fingerprint(F.col("data"), moduli, F.greatest(F.col("fp_len") - at - part, F.lit(0))).alias("fp"))
+        .groupBy("text_sha256", "fp_len", "at").agg(F.min("fp.fp_a").alias("a"), F.min("fp.fp_b").alias("b"))  # copies count once
+        .groupBy("text_sha256", "fp_len").agg(*((F.sum(c) % moduli[i][0]).alias(f"fp_{c}") for i, c in enumerate("ab")))
+    )
+    return out.unionByName(huge.drop("body").join(parts, ["text_sha256", "fp_len"]).select(out.columns))
 
 
 def normalised(text: Column | str) -> Column:
@@ -71,7 +98,7 @@ def normalised(text: Column | str) -> Column:
 
 def _differing(docs: DataFrame, pending: DataFrame, key: str, text: str) -> DataFrame:
     """Of ``pending``, the rows of groups of several whose text isn't the text of the group's first row."""
-    suspects = pending.where("group_size > 1").select("id", "text_sha256", *FINGERPRINT, "keep_id", "group_size").distinct()
+    suspects = pending.where("group_size > 1").groupBy("id", "text_sha256", *FINGERPRINT).agg(F.min("keep_id").alias("keep_id"), F.min("group_size").alias("group_size"))
     body = normalised(text)
     rows = docs.select(F.col(key).alias("d_id"), body.alias("body"), F.sha2(body, 256).alias("d_sha"))
     on = same(rows["d_id"], suspects["id"]) & (rows["d_sha"] == suspects["text_sha256"])
@@ -105,25 +132,30 @@ def _differing(docs: DataFrame, pending: DataFrame, key: str, text: str) -> Data
     )
 
 
-def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", moduli=MODULI) -> DataFrame:
+def _grouped(pending: DataFrame) -> DataFrame:
+    """``pending`` with ``keep_id`` and ``group_size``; rows of a large group are dealt by ``salt`` all the way."""
+    parts = pending.groupBy(*FINGERPRINT, "salt").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
+    groups = parts.groupBy(*FINGERPRINT).agg(F.min("low").alias("keep_id"), F.sum("n").alias("group_size"))
+    groups = checkpoint(parts.select(*FINGERPRINT, "salt").join(groups, list(FINGERPRINT)))
+    return pending.join(groups, [*FINGERPRINT, "salt"])
+
+
+def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", moduli=MODULI, part: int = PART) -> DataFrame:
     """One row per row of ``docs``: ``key``, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
 
     Null texts count as empty. A null key stands behind all others; if a group has no other, its
     ``keep_id`` is null and its rows are kept. Rows that repeat a key and its text belong to one group
-    and share ``kept``. An empty table gives no rows.
+    and share ``kept``. Texts of any length are hashed and compared whole, chunk by chunk. Other columns are
+    ignored, whatever their names. An empty table gives no rows.
     """
     body = normalised(text)
-    pending = checkpoint(
-        docs.select(F.col(key).alias("id"), body.alias("body"))
-        .select("id", F.sha2("body", 256).alias("text_sha256"), fingerprint(F.col("body"), moduli).alias("fp"))
-        .select("id", "text_sha256", "fp.*")
-    )
+    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = F.coalesce(F.octet_length(text), F.lit(0)).alias("size")
+    rows = docs.select(F.col(key).alias("id"), size, body.alias("body"), F.pmod(F.xxhash64(key, F.spark_partition_id()), F.lit(salts)).alias("salt"))
+    pending = checkpoint(fingerprints(rows.withColumn("text_sha256", F.sha2("body", 256)), moduli, part))
     done: list[DataFrame] = []
     while True:
-        groups = checkpoint(
-            pending.groupBy(*FINGERPRINT).agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        )
-        marked = pending.join(groups, list(FINGERPRINT))
+        marked = _grouped(pending)
         differing = checkpoint(_differing(docs, marked, key, text))
         if differing.isEmpty():
             break
@@ -134,8 +166,8 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", modul
         sizes = agree.groupBy(*FINGERPRINT).agg(F.count(F.lit(1)).alias("group_size"))
         done.append(agree.join(sizes, list(FINGERPRINT)).select(*marked.columns))
         pending = checkpoint(marked.join(differing, on, "left_semi").select(*pending.columns))
-    for part in done:
-        marked = marked.unionByName(part)
+    for part_ in done:
+        marked = marked.unionByName(part_)
     return marked.select(
         F.col("id").alias(key), "keep_id", "group_size", same(F.col("id"), F.col("keep_id")).alias("kept"), "text_sha256"
     )

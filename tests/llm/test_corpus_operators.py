@@ -42,8 +42,8 @@ def least(keys):
     return min((k for k in keys if k is not None), default=None)
 
 
-@pytest.mark.parametrize("moduli", [exact_dedup.MODULI, ((2, 1), (3, 1))])
-def test_exact_groups(docs, moduli):
+@pytest.mark.parametrize("moduli,part", [(exact_dedup.MODULI, exact_dedup.PART), (exact_dedup.MODULI, 3 * exact_dedup.CHUNK + 5), (exact_dedup.MODULI, 4), (((2, 1), (3, 1)), 1000)])
+def test_exact_groups(docs, moduli, part):
     groups = {}
     for k, t in TEXTS:
         groups.setdefault(plain(t), []).append(k)
@@ -51,7 +51,7 @@ def test_exact_groups(docs, moduli):
     for k, t in TEXTS:
         keys = groups[plain(t)]
         want.append((k, least(keys), len(keys), k == least(keys), hashlib.sha256(plain(t).encode()).hexdigest()))
-    got = exact_dedup.exact_groups(docs, moduli=moduli).collect()
+    got = exact_dedup.exact_groups(docs, moduli=moduli, part=part).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
@@ -64,6 +64,13 @@ def test_fingerprints_combine():
         assert exact_dedup.text_hash(data, m, b, exact_dedup._powers(m, b)) == h
 
 
+def test_parts_of_texts_are_hashed_as_the_whole(spark):
+    texts = ["é" * 50_000 + str(i % 3) for i in range(6)] + ["a", ""]
+    rows = spark.createDataFrame([(i, t, 2 * len(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(texts)], "id long, body string, size int, text_sha256 string")
+    one, other = ({r.id: tuple(r[c] for c in exact_dedup.FINGERPRINT) for r in exact_dedup.fingerprints(rows, part=n).collect()} for n in (1 << 30, 999))
+    assert one == other and len(set(one.values())) == 5
+
+
 def test_stages_keep_one_row_of_each_group(docs):
     kept = exact_dedup.keep_first(docs)
     assert kept.columns == docs.columns
