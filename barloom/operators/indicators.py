@@ -36,17 +36,20 @@ def bollinger(bars: DataFrame, n: int = 20) -> DataFrame:
     )
 
 
-def _ema(value: Column, n: int) -> tuple[Column, Column]:
-    return F.lit((n - 1) / (n + 1)), F.when(F.col("x") == 0, value).otherwise(value * 2 / (n + 1))
-
-
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """DIF, DEA and twice their difference; both averages start from the first close, DEA from zero."""
-    (kf, af), (ks, as_) = _ema(F.col("close"), fast), _ema(F.col("close"), slow)
-    rows = recurrences(bars.select("symbol", "x", "close"), {"f": kf, "s": ks}, {"f": af, "s": as_})
-    rows = rows.select("symbol", "x", (F.col("f") - F.col("s")).alias("dif"))
-    k, a = _ema(F.col("dif"), signal)
-    rows = recurrences(rows, {"dea": k}, {"dea": a})
+    """DIF, DEA and twice their difference; both averages start from the first close, DEA from zero.
+
+    An average of an average is a weighted difference of two averages of the closes, so all are folded in one pass.
+    ``fast`` and ``slow`` must differ from ``signal``.
+    """
+    keep = {n: (p - 1) / (p + 1) for n, p in (("f", fast), ("s", slow), ("h", signal), ("g", signal))}
+    close, first = F.col("close"), F.col("x") == 0
+    add = {n: F.when(first, close).otherwise(close * (1 - keep[n])) for n in "fs"}
+    add |= {"h": F.when(first, 0.0).otherwise(close), "g": F.when(first, close).otherwise(0.0)}
+    rows = recurrences(bars.select("symbol", "x", "close"), {n: F.lit(k) for n, k in keep.items()}, add)
+    d = keep["h"]
+    again = lambda n: (keep[n] * F.col(n) - d * (F.col("g") + (1 - keep[n]) * F.col("h"))) / (keep[n] - d)
+    rows = rows.select("symbol", "x", (F.col("f") - F.col("s")).alias("dif"), F.when(F.col("x") == 0, 0.0).otherwise((1 - d) * (again("f") - again("s"))).alias("dea"))
     return rows.select("symbol", "x", "dif", "dea", (2 * (F.col("dif") - F.col("dea"))).alias("hist"))
 
 
@@ -76,3 +79,19 @@ def crossings(lines: DataFrame, a: str, b: str) -> DataFrame:
     now, before = F.col(a) - F.col(b), F.lag(F.col(a) - F.col(b)).over(by_x())
     rows = lines.withColumn("cross", F.when((before <= 0) & (now > 0), "golden").when((before >= 0) & (now < 0), "death"))
     return rows.where("cross IS NOT NULL")
+
+
+def signals(lines: DataFrame) -> DataFrame:
+    """Signals of bars from their ``dif``, ``dea``, ``rsi``, ``close``, ``boll_up`` and ``boll_down``: ``symbol``, ``x``, ``signal``.
+
+    ``golden`` and ``death`` crosses, ``above_zero`` and ``below_zero`` of DIF, ``overbought`` from 70, ``oversold`` to 30,
+    ``touch_up`` and ``touch_down`` of the bands. A line is crossed when it wasn't past it the bar before.
+    """
+    up = lambda a, b: (F.lag(a - b).over(by_x()) <= 0) & (a > b)
+    found = {
+        "golden": up(F.col("dif"), F.col("dea")), "death": up(F.col("dea"), F.col("dif")), "above_zero": up(F.col("dif"), F.lit(0.0)),
+        "below_zero": up(-F.col("dif"), F.lit(0.0)), "overbought": up(F.col("rsi"), F.lit(70.0)), "oversold": up(-F.col("rsi"), F.lit(-30.0)),
+        "touch_up": F.col("close") >= F.col("boll_up"), "touch_down": F.col("close") <= F.col("boll_down"),
+    }
+    names = F.array_compact(F.array(*(F.when(c, n) for n, c in found.items())))
+    return lines.select("symbol", "x", F.explode(names).alias("signal"))

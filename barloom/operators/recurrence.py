@@ -42,7 +42,15 @@ def recurrences(rows: DataFrame, keep: dict[str, Column], add: dict[str, Column]
         return table
 
     folded = inputs.groupBy(by, "_block").applyInArrow(local, parts)
-    ends = folded.groupBy(by, "_block").agg(*(F.max_by(f"{p}{n}", x).alias(f"{p}{n}") for n in names for p in ("_y_", "_p_")))
+    # A block's step alone is an aggregate, so that the rows are folded once.
+    fields = [f"{p}{n}" for n in names for p in ("_k_", "_a_")]
+    steps = F.array_sort(F.collect_list(F.struct(x, *fields)))
+    start = F.struct(*(v.alias(f"{p}{n}") for n in names for p, v in (("y", F.lit(0.0)), ("p", F.lit(1.0)))))
+    step = lambda acc, r: F.struct(
+        *(v.alias(c) for n in names for c, v in ((f"y{n}", r[f"_k_{n}"] * acc[f"y{n}"] + r[f"_a_{n}"]), (f"p{n}", r[f"_k_{n}"] * acc[f"p{n}"])))
+    )
+    ends = inputs.groupBy(by, "_block").agg(F.aggregate(steps, start, step).alias("_e"))
+    ends = ends.select(by, "_block", *(F.col(f"_e.{p}{n}").alias(f"_{p}_{n}") for n in names for p in "yp"))
     carried = T.StructType([rows.schema[by], ends.schema["_block"]] + [T.StructField(f"_c_{n}", T.DoubleType()) for n in names])
 
     def chained(table: pa.Table) -> pa.Table:

@@ -10,7 +10,6 @@ from barloom.operators.folds import ordered_fold
 
 GROUP = "seq long, x1 long, x2 long, high double, low double, dir string, n_units long, born_high double, born_low double, closed boolean"
 PIVOT = "seq long, x1 long, x2 long, zg double, zd double, gg double, dd double, n_members long, is_sure boolean"
-LEG = "idx long, dir int, begin_x long, end_x long, begin_price double, end_price double"
 LEAST_TICK, NOTHING = 0.01, 1e-12
 
 
@@ -60,32 +59,6 @@ def fractals(groups: DataFrame) -> DataFrame:
     return rows.where("fx IS NOT NULL").select("symbol", "seq", "fx", "x1", "x2", "high", "low", "confirm_x")
 
 
-class Legs:
-    """Fractals of alternating kind, each top above the bottom it pairs with; others are passed over."""
-
-    def __init__(self) -> None:
-        self.idx, self.anchor = -1, None
-
-    def add(self, x, fx, high, low) -> list[tuple]:
-        here = (fx, x, high if fx == "top" else low)
-        if self.anchor is None:
-            self.anchor = here
-            return []
-        kind, begin, price = self.anchor
-        if kind == fx or not (here[2] > price if fx == "top" else price > here[2]):
-            return []
-        self.idx, self.anchor = self.idx + 1, here
-        return [(self.idx, 1 if fx == "top" else -1, begin, x, price, here[2])]
-
-    def end(self) -> list[tuple]:
-        return []
-
-
-def legs(fractals_: DataFrame) -> DataFrame:
-    """Legs between fractals, by the places of their first bars."""
-    return ordered_fold(fractals_.withColumn("x", F.col("x1")), Legs, ["x", "fx", "high", "low"], LEG)
-
-
 class Pivots:
     """A bar seeds a pivot, bars that touch it extend it and tighten its edges until it is flat; the first that
     doesn't touch it closes it and seeds the next. A bar that opens and closes at one price seeds a flat pivot."""
@@ -109,6 +82,11 @@ class Pivots:
         return [(*self.open, False)] if self.open else []
 
 
+def numbered_units(lines: DataFrame) -> DataFrame:
+    """Lines as units of pivots: numbered by ``x``."""
+    return lines.select("symbol", F.col("idx").alias("x"), "open", "high", "low", "close")
+
+
 def pivots(bars: DataFrame) -> DataFrame:
     """Pivots over bars; the last is unsure. A pivot no higher than the symbol's tick is flat."""
     span = F.col("high") - F.col("low")

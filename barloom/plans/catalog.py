@@ -10,58 +10,17 @@ from pyspark.sql import functions as F
 from barloom.functions import predicates
 from barloom.operators import indicators, joins, profile, resample, structure
 from barloom.operators.indicators import by_x
+from barloom.plans import level_queries
+from barloom.plans.basis import DIGITS, EVENTS, HOURLY, ORDERS, bars_sql, hourly, rounded, slot_sql
 from barloom.sources.ticks import event_ticks, order_ticks
 
-DIGITS = 6
-
-
-def _rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Doubles rounded, so that sums in another order compare equal."""
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
-
-
-def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.ticks_to_bars(event_ticks(spark, sf_dir), "60m")
-
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars of the event ticks with their five-bar mean."""
     bars = hourly(spark, sf_dir)
-    return _rounded(bars.withColumn("mean", F.avg("close").over(indicators.trailing(5))), 4)
-
-
-_EVENTS = """ticks AS (SELECT event_type AS symbol, ts, event_id AS seq, value AS price,
-  CAST(regexp_extract(props, '"k": *([0-9.]+)', 1) AS DOUBLE) AS qty,
-  CASE user_id % 3 WHEN 0 THEN 'B' WHEN 1 THEN 'S' ELSE '' END AS side FROM events)"""
-_ORDERS = """ticks AS (SELECT o_orderpriority AS symbol, o_orderdate AS ts, o_orderkey AS seq, o_totalprice AS price,
-  1.0::DOUBLE AS qty, '' AS side FROM orders)"""
-_SLOTS = {
-    "day": "date_trunc('day', ts)",
-    "week": "date_trunc('week', ts)",
-    "month": "date_trunc('month', ts)",
-    "9month": "make_date(year(ts), (month(ts) - 1) // 9 * 9 + 1, 1)",
-    "quarter": "make_date(year(ts), (month(ts) - 1) // 3 * 3 + 1, 1)",
-    "year": "make_date(year(ts), 1, 1)",
-    "3year": "make_date(year(ts) // 3 * 3, 1, 1)",
-}
-
-
-def _slot(period: str) -> str:
-    if period in _SLOTS:
-        return f"CAST({_SLOTS[period]} AS TIMESTAMP)"
-    n = int(period[:-1])
-    return f"date_trunc('day', ts) + to_minutes(CAST((hour(ts) * 60 + minute(ts)) // {n} * {n} AS INTEGER))"
-
-
-def _bars(ticks: str, period: str) -> str:
-    stamp = "max(slot) + INTERVAL 15 HOUR" if period == "day" else "max(ts)"
-    return f"""{ticks}, s AS (SELECT *, {_slot(period)} AS slot FROM ticks),
-b AS (SELECT symbol, slot, {stamp} AS ts, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low,
-  arg_max(price, (ts, seq)) AS close, sum(qty) AS volume, sum(price * qty) AS amount, count(*) AS n_ticks FROM s GROUP BY symbol, slot),
-bars AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY slot) - 1 AS x FROM b)"""
+    return rounded(bars.withColumn("mean", F.avg("close").over(indicators.trailing(5))), 4)
 
 
-_HOURLY = _bars(_EVENTS, "60m")
 _BAR = "symbol, slot, ts, open, high, low, close, volume, round(amount, 4) AS amount, n_ticks, x"
 _W = "OVER (PARTITION BY symbol ORDER BY x ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
 
@@ -105,13 +64,13 @@ profile AS (SELECT symbol, CAST(floor(price_key / 10000 / 5.0) AS BIGINT) AS buc
 
 def _resampled(period: str, ticks: Callable = event_ticks) -> Callable:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _rounded(resample.ticks_to_bars(ticks(spark, sf_dir), period), 4)
+        return rounded(resample.ticks_to_bars(ticks(spark, sf_dir), period), 4)
 
     return query
 
 
 def _over_hours(make: Callable[[DataFrame], DataFrame], digits: int = DIGITS) -> Callable:
-    return lambda spark, sf_dir: _rounded(make(hourly(spark, sf_dir)), digits)
+    return lambda spark, sf_dir: rounded(make(hourly(spark, sf_dir)), digits)
 
 
 def _parents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,94 +144,94 @@ def _all() -> dict[str, tuple[Callable, str]]:
     """Name, query and SQL."""
     out: dict[str, tuple[Callable, str]] = {}
     for period in ("1m", "5m", "15m", "60m", "240m", "day", "week"):
-        out[f"bars_{period}"] = _resampled(period), f"WITH {_bars(_EVENTS, period)} SELECT {_BAR} FROM bars"
+        out[f"bars_{period}"] = _resampled(period), f"WITH {bars_sql(EVENTS, period)} SELECT {_BAR} FROM bars"
     for period in ("month", "quarter", "9month", "year", "3year"):
-        out[f"order_bars_{period}"] = _resampled(period, order_ticks), f"WITH {_bars(_ORDERS, period)} SELECT {_BAR} FROM bars"
+        out[f"order_bars_{period}"] = _resampled(period, order_ticks), f"WITH {bars_sql(ORDERS, period)} SELECT {_BAR} FROM bars"
     w5, w20 = _W.format(4), _W.format(19)
     out |= {
-        "bars_with_mean": (flagship, f"WITH {_HOURLY} SELECT {_BAR}, round(avg(close) {w5}, 4) AS mean FROM (SELECT *, amount AS amount FROM bars)"),
+        "bars_with_mean": (flagship, f"WITH {HOURLY} SELECT {_BAR}, round(avg(close) {w5}, 4) AS mean FROM (SELECT *, amount AS amount FROM bars)"),
         "bars_merged_to_day": (
             _over_hours(lambda b: resample.resampled(b, "day"), 4),
-            f"""WITH {_HOURLY} SELECT symbol, slot, ts, open, high, low, close, volume, round(amount, 4) AS amount, n_ticks,
+            f"""WITH {HOURLY} SELECT symbol, slot, ts, open, high, low, close, volume, round(amount, 4) AS amount, n_ticks,
             row_number() OVER (PARTITION BY symbol ORDER BY slot) - 1 AS x FROM (SELECT symbol, date_trunc('day', ts) AS slot, max(ts) AS ts, arg_min(open, x) AS open,
             max(high) AS high, min(low) AS low, arg_max(close, x) AS close, sum(volume) AS volume, sum(amount) AS amount, sum(n_ticks)::BIGINT AS n_ticks FROM bars GROUP BY ALL
 ) """,
         ),
         "bars_by_three": (
             _over_hours(lambda b: resample.chunks(b, 3), 4),
-            f"""WITH {_HOURLY} SELECT symbol, x // 3 AS x, max(ts) AS ts, arg_min(open, x) AS open, max(high) AS high, min(low) AS low, arg_max(close, x) AS close,
+            f"""WITH {HOURLY} SELECT symbol, x // 3 AS x, max(ts) AS ts, arg_min(open, x) AS open, max(high) AS high, min(low) AS low, arg_max(close, x) AS close,
             sum(volume) AS volume, round(sum(amount), 4) AS amount, sum(n_ticks)::BIGINT AS n_ticks FROM bars GROUP BY symbol, x // 3""",
         ),
         "bars_into_quantity": (
             _over_hours(lambda b: resample.into_quantity(b, 50).select("symbol", "x", "open", "high", "low", "close", "volume")),
-            f"""WITH {_HOURLY}, q AS (SELECT *, CASE WHEN n <= 50 THEN x ELSE least(x // greatest(n // 50, 1), 49) END AS place
+            f"""WITH {HOURLY}, q AS (SELECT *, CASE WHEN n <= 50 THEN x ELSE least(x // greatest(n // 50, 1), 49) END AS place
             FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM bars))
             SELECT symbol, place AS x, arg_min(open, q.x) AS open, max(high) AS high, min(low) AS low, arg_max(close, q.x) AS close, sum(volume) AS volume FROM q GROUP BY symbol, place""",
         ),
         "bars_growing": (
             _over_hours(lambda b: resample.growing(b, "day")),
-            f"""WITH {_HOURLY} SELECT symbol, x, date_trunc('day', ts) AS slot, first(open) OVER w AS open, max(high) OVER w AS high, min(low) OVER w AS low, close,
+            f"""WITH {HOURLY} SELECT symbol, x, date_trunc('day', ts) AS slot, first(open) OVER w AS open, max(high) OVER w AS high, min(low) OVER w AS low, close,
             sum(volume) OVER w AS volume FROM bars WINDOW w AS (PARTITION BY symbol, date_trunc('day', ts) ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
         ),
         "ticks_spread": (
             _spread,
-            f"""WITH {_EVENTS} SELECT symbol, seq, date_trunc('minute', ts) + to_milliseconds(CAST((row_number() OVER w - 1) * 60000 // count(*) OVER (PARTITION BY symbol,
+            f"""WITH {EVENTS} SELECT symbol, seq, date_trunc('minute', ts) + to_milliseconds(CAST((row_number() OVER w - 1) * 60000 // count(*) OVER (PARTITION BY symbol,
             date_trunc('minute', ts)) AS BIGINT)) AS ts FROM ticks WINDOW w AS (PARTITION BY symbol, date_trunc('minute', ts) ORDER BY ts, seq)""",
         ),
         "trend": (
             _over_hours(lambda b: indicators.trend(b, 5)),
-            f"WITH {_HOURLY} SELECT symbol, x, round(avg(close) {w5}, 6) AS mean, max(close) {w5} AS channel_max, min(close) {w5} AS channel_min FROM bars",
+            f"WITH {HOURLY} SELECT symbol, x, round(avg(close) {w5}, 6) AS mean, max(close) {w5} AS channel_max, min(close) {w5} AS channel_min FROM bars",
         ),
         "bollinger": (
             _over_hours(indicators.bollinger),
-            f"""WITH {_HOURLY}, m AS (SELECT symbol, x, avg(close) {w20} AS m, stddev_pop(close) {w20} AS t FROM bars) SELECT symbol, x, round(m, 6) AS boll_mid,
+            f"""WITH {HOURLY}, m AS (SELECT symbol, x, avg(close) {w20} AS m, stddev_pop(close) {w20} AS t FROM bars) SELECT symbol, x, round(m, 6) AS boll_mid,
             round(m + 2 * t, 6) AS boll_up, round(CASE WHEN m - 2 * t = 0 THEN 1e-7 ELSE m - 2 * t END, 6) AS boll_down, round(CASE WHEN t = 0 THEN 1e-7 ELSE t END, 6) AS theta FROM m""",
         ),
-        "macd": (_over_hours(indicators.macd), f"WITH RECURSIVE {_HOURLY}, {_MACD} SELECT symbol, x, round(dif, 6) AS dif, round(dea, 6) AS dea, round(hist, 6) AS hist FROM macd"),
+        "macd": (_over_hours(indicators.macd), f"WITH RECURSIVE {HOURLY}, {_MACD} SELECT symbol, x, round(dif, 6) AS dif, round(dea, 6) AS dea, round(hist, 6) AS hist FROM macd"),
         "macd_crossings": (
             lambda s, d: indicators.crossings(indicators.macd(hourly(s, d)), "dif", "dea").select("symbol", "x", "cross"),
-            f"""WITH RECURSIVE {_HOURLY}, {_MACD}, c AS (SELECT symbol, x, dif - dea AS now, lag(dif - dea) OVER (PARTITION BY symbol ORDER BY x) AS before FROM macd)
+            f"""WITH RECURSIVE {HOURLY}, {_MACD}, c AS (SELECT symbol, x, dif - dea AS now, lag(dif - dea) OVER (PARTITION BY symbol ORDER BY x) AS before FROM macd)
             SELECT symbol, x, CASE WHEN before <= 0 AND now > 0 THEN 'golden' ELSE 'death' END AS "cross" FROM c WHERE (before <= 0 AND now > 0) OR (before >= 0 AND now < 0)""",
         ),
         "rsi": (
             _over_hours(indicators.rsi),
-            f"""WITH RECURSIVE {_HOURLY}, {_RSI} SELECT symbol, x, round(CASE WHEN x = 0 THEN 50 WHEN down = 0 THEN CASE WHEN up > 0 THEN 100 ELSE 0 END
+            f"""WITH RECURSIVE {HOURLY}, {_RSI} SELECT symbol, x, round(CASE WHEN x = 0 THEN 50 WHEN down = 0 THEN CASE WHEN up > 0 THEN 100 ELSE 0 END
             ELSE 100 - 100 / (1 + up / down) END, 6)::DOUBLE AS rsi FROM r""",
         ),
-        "kdj": (_over_hours(indicators.kdj), f"WITH RECURSIVE {_HOURLY}, {_KDJ} SELECT symbol, x, round(k, 6) AS k, round(d, 6) AS d, round(3 * k - 2 * d, 6) AS j FROM k"),
+        "kdj": (_over_hours(indicators.kdj), f"WITH RECURSIVE {HOURLY}, {_KDJ} SELECT symbol, x, round(k, 6) AS k, round(d, 6) AS d, round(3 * k - 2 * d, 6) AS j FROM k"),
         "bar_predicates": (
             _over_hours(_predicates),
-            f"""WITH {_HOURLY} SELECT symbol, x, CASE WHEN (high + low) / 2 < lag((high + low) / 2) OVER w THEN -1 ELSE 1 END AS dir,
+            f"""WITH {HOURLY} SELECT symbol, x, CASE WHEN (high + low) / 2 < lag((high + low) / 2) OVER w THEN -1 ELSE 1 END AS dir,
             coalesce(lead(low) OVER w > high OR lead(high) OVER w < low, false) AS gap, CASE WHEN x = 0 THEN 'first'
             WHEN lag(high) OVER w > high AND lag(low) OVER w > low THEN 'down' WHEN lag(high) OVER w < high AND lag(low) OVER w < low THEN 'up' ELSE 'combine' END AS stands
             FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY x)""",
         ),
         "bar_parents": (
             _parents,
-            f"""WITH {_HOURLY}, days AS (SELECT symbol, date_trunc('day', ts) + INTERVAL 15 HOUR AS ts, row_number() OVER (PARTITION BY symbol ORDER BY date_trunc('day', ts)) - 1 AS x
+            f"""WITH {HOURLY}, days AS (SELECT symbol, date_trunc('day', ts) + INTERVAL 15 HOUR AS ts, row_number() OVER (PARTITION BY symbol ORDER BY date_trunc('day', ts)) - 1 AS x
             FROM (SELECT DISTINCT symbol, date_trunc('day', ts) AS ts FROM ticks))
             SELECT b.symbol, b.x, b.ts, (SELECT min(d.x) FROM days d WHERE d.symbol = b.symbol AND d.ts >= b.ts) AS parent_x FROM bars b""",
         ),
         "bars_childless": (
             _childless,
-            f"""WITH {_HOURLY}, q AS (SELECT symbol, max(ts) AS ts FROM (SELECT symbol, ts, {_slot('240m')} AS slot FROM ticks) GROUP BY symbol, slot),
+            f"""WITH {HOURLY}, q AS (SELECT symbol, max(ts) AS ts FROM (SELECT symbol, ts, {slot_sql('240m')} AS slot FROM ticks) GROUP BY symbol, slot),
             used AS (SELECT DISTINCT q.symbol, (SELECT min(b.x) FROM bars b WHERE b.symbol = q.symbol AND b.ts >= q.ts) AS x FROM q)
             SELECT symbol, x, ts FROM bars b WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.symbol = b.symbol AND u.x = b.x)""",
         ),
         "stepped_highs": (
             _over_hours(_steps),
-            f"""WITH RECURSIVE {_HOURLY}, {_GROUPS}, {_FRACTALS} SELECT b.symbol, b.x, b.close, (SELECT arg_max(f.high, f.confirm_x) FROM fractals f
+            f"""WITH RECURSIVE {HOURLY}, {_GROUPS}, {_FRACTALS} SELECT b.symbol, b.x, b.close, (SELECT arg_max(f.high, f.confirm_x) FROM fractals f
             WHERE f.symbol = b.symbol AND f.confirm_x <= b.x) AS last_high FROM bars b""",
         ),
-        "volume_profile": (lambda s, d: _rounded(_profile(s, d)), f"WITH {_EVENTS}, {_PROFILE} SELECT symbol, bucket, s, b, w, bucket * 5.0::DOUBLE AS price, total FROM profile"),
+        "volume_profile": (lambda s, d: rounded(_profile(s, d)), f"WITH {EVENTS}, {_PROFILE} SELECT symbol, bucket, s, b, w, bucket * 5.0::DOUBLE AS price, total FROM profile"),
         "profile_labels": (
-            lambda s, d: _rounded(_labels(s, d)),
-            f"""WITH {_EVENTS}, {_PROFILE}, {_LABELS} SELECT symbol, bucket, bucket * 5.0::DOUBLE AS price, total,
+            lambda s, d: rounded(_labels(s, d)),
+            f"""WITH {EVENTS}, {_PROFILE}, {_LABELS} SELECT symbol, bucket, bucket * 5.0::DOUBLE AS price, total,
             (zone * row_number() OVER (PARTITION BY symbol, zone ORDER BY zone * bucket))::INTEGER AS label FROM zones WHERE zone IS NOT NULL""",
         ),
         "triangle_profile": (
-            lambda s, d: _rounded(profile.triangle(hourly(s, d), 1.0).groupBy("symbol", "bucket").agg(F.sum("b").alias("b"))),
-            f"""WITH {_HOURLY}, e AS (SELECT symbol, x, low AS lo, high AS hi, close AS mode, volume, unnest(range(CAST(floor(low) AS BIGINT), CASE WHEN high - low < 1e-12
+            lambda s, d: rounded(profile.triangle(hourly(s, d), 1.0).groupBy("symbol", "bucket").agg(F.sum("b").alias("b"))),
+            f"""WITH {HOURLY}, e AS (SELECT symbol, x, low AS lo, high AS hi, close AS mode, volume, unnest(range(CAST(floor(low) AS BIGINT), CASE WHEN high - low < 1e-12
             THEN CAST(floor(low) AS BIGINT) ELSE CAST(ceil(high) AS BIGINT) END + 1)) AS bucket FROM bars WHERE volume > 0),
             v AS (SELECT *, greatest(0, CASE WHEN hi - lo < 1e-12 THEN 1 WHEN mode - lo < 1e-12 THEN (hi - bucket) / (hi - lo) WHEN hi - mode < 1e-12 THEN (bucket - lo) / (hi - lo)
             WHEN bucket <= mode THEN (bucket - lo) / (mode - lo) ELSE (hi - bucket) / (hi - mode) END) AS weight FROM e),
@@ -281,25 +240,24 @@ def _all() -> dict[str, tuple[Callable, str]]:
         ),
         "merged_groups": (
             _over_hours(lambda b: structure.merged_groups(b).drop("closed")),
-            f"WITH RECURSIVE {_HOURLY}, {_GROUPS} SELECT symbol, seq::BIGINT AS seq, x1, x2, high, low, dir, n_units, born_high, born_low FROM groups",
+            f"WITH RECURSIVE {HOURLY}, {_GROUPS} SELECT symbol, seq::BIGINT AS seq, x1, x2, high, low, dir, n_units, born_high, born_low FROM groups",
         ),
         "fractals": (
             _over_hours(lambda b: structure.fractals(structure.merged_groups(b))),
-            f"WITH RECURSIVE {_HOURLY}, {_GROUPS}, {_FRACTALS} SELECT symbol, seq::BIGINT AS seq, fx, x1, x2, high, low, confirm_x FROM fractals",
+            f"WITH RECURSIVE {HOURLY}, {_GROUPS}, {_FRACTALS} SELECT symbol, seq::BIGINT AS seq, fx, x1, x2, high, low, confirm_x FROM fractals",
         ),
-        "pivots": (_over_hours(structure.pivots), f"WITH RECURSIVE {_HOURLY}, {_PIVOTS} SELECT symbol, seq::BIGINT AS seq, x1, x2, zg, zd, gg, dd, n_members, is_sure FROM pivots"),
+        "pivots": (_over_hours(structure.pivots), f"WITH RECURSIVE {HOURLY}, {_PIVOTS} SELECT symbol, seq::BIGINT AS seq, x1, x2, zg, zd, gg, dd, n_members, is_sure FROM pivots"),
         "first_class_points": (
             _over_hours(lambda b: structure.first_class_points(structure.pivots(b), b)),
-            f"WITH RECURSIVE {_HOURLY}, {_PIVOTS}, {_POINTS} SELECT symbol, seq::BIGINT AS seq, side, x, price FROM points",
+            f"WITH RECURSIVE {HOURLY}, {_PIVOTS}, {_POINTS} SELECT symbol, seq::BIGINT AS seq, side, x, price FROM points",
         ),
         "latest_points": (
             _latest,
-            f"""WITH RECURSIVE {_HOURLY}, {_PIVOTS}, {_POINTS} SELECT symbol, seq::BIGINT AS seq, side, x, price, n FROM
+            f"""WITH RECURSIVE {HOURLY}, {_PIVOTS}, {_POINTS} SELECT symbol, seq::BIGINT AS seq, side, x, price, n FROM
             (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY x DESC)::INTEGER AS n FROM points) WHERE n <= 10""",
         ),
-        "legs": (_over_hours(lambda b: structure.legs(structure.fractals(structure.merged_groups(b)))), ""),
     }
-    return out
+    return out | level_queries.entries()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import indicators, joins, profile, recurrence, resample, structure
+from barloom.operators import indicators, joins, levels, profile, recurrence, resample, structure
 from barloom.sources import bars as bar_files
 from barloom.sources.ticks import read_tick_files, symbol_code
 from barloom.streaming.bars import streamed_bars, streamed_groups
@@ -81,7 +81,7 @@ def test_legs_alternate(spark):
     for _ in range(300):
         price += rng.choice((-1.3, -0.4, 0.5, 1.2))
         ranges.append((price + rng.random(), price - rng.random()))
-    found = structure.legs(structure.fractals(structure.merged_groups(bars_of(spark, ranges)))).orderBy("idx").collect()
+    found = levels.lines(levels.confirms(levels.bar_units(bars_of(spark, ranges)))).orderBy("idx").collect()
     assert len(found) > 5
     for a, b in zip(found, found[1:]):
         assert a.end_x == b.begin_x and a.dir == -b.dir
