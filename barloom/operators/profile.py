@@ -64,3 +64,65 @@ def labelled(peaks_: DataFrame, low: str, high: str, *by: str) -> DataFrame:
     rows = peaks_.withColumn("zone", zone).where("zone IS NOT NULL")
     nearest = W.partitionBy(*by, "zone").orderBy(F.col("zone") * price)
     return rows.withColumn("label", F.col("zone") * F.row_number().over(nearest)).drop("zone")
+
+
+def with_bins(bars: DataFrame, ticks: DataFrame, slots: str = "slot") -> DataFrame:
+    """``bars`` with ``bins``, an array of ``price``, ``s``, ``b`` and ``w`` of the ticks of their slot; null without any.
+
+    ``ticks`` have the column ``slots``, the key that both share.
+    """
+    found = bins(ticks.where("price > 0 AND qty > 0"), "symbol", slots)
+    arrays = found.groupBy("symbol", slots).agg(F.array_sort(F.collect_list(F.struct("price", "s", "b", "w"))).alias("bins"))
+    return bars.join(arrays, ["symbol", slots], "left")
+
+
+def profile_to(bars: DataFrame, cutoff: int | None, step: float) -> DataFrame:
+    """Volume per bucket of the bars (with ``bins``) up to ``cutoff``, included: ``symbol``, ``bucket``, ``s``, ``b``, ``w``, ``total``.
+
+    A bar with bins counts by them; one of a single price at its close, all bought; others by a triangle.
+    """
+    step = max(step, LEAST_STEP)
+    bars = bars if cutoff is None else bars.where(F.col("x") <= cutoff)
+    empty = F.coalesce(F.size("bins"), F.lit(-1)) < 0
+    point = F.abs(F.col("high") - F.col("low")) < 1e-12
+    bucket = lambda price: F.floor(price / step).alias("bucket")
+    none = F.lit(0.0)
+    whole = bars.where(~empty).select("symbol", F.explode("bins").alias("p")).select("symbol", bucket(F.col("p.price")), *(F.greatest(f"p.{c}", none).alias(c) for c in "sbw"))
+    single = bars.where(empty & point & (F.col("volume") > 0)).select("symbol", bucket(F.col("close")), none.alias("s"), F.col("volume").alias("b"), none.alias("w"))
+    spread_ = triangle(bars.where(empty & ~point), step).select("symbol", "bucket", none.alias("s"), "b", none.alias("w"))
+    rows = whole.unionAll(single).unionAll(spread_).groupBy("symbol", "bucket").agg(*(F.sum(c).alias(c) for c in "sbw"))
+    rows = rows.withColumn("total", F.col("s") + F.col("b") + F.col("w"))
+    return rows.where("total > 0")
+
+
+def counts_to(bars: DataFrame, cutoff: int | None, step: float) -> DataFrame:
+    """As :func:`profile_to` for numbers of trades: by ``bins`` of trades, else all of a bar's (``trades``, ``bought``, ``sold``) at its close."""
+    step = max(step, LEAST_STEP)
+    bars = bars if cutoff is None else bars.where(F.col("x") <= cutoff)
+    has = F.coalesce(F.size("bins"), F.lit(0)) > 0
+    bucket = lambda price: F.floor(price / step).alias("bucket")
+    whole = bars.where(has).select("symbol", F.explode("bins").alias("p")).select("symbol", bucket(F.col("p.price")), *(F.greatest(f"p.{c}", F.lit(0.0)).alias(c) for c in "sbw"))
+    other = F.greatest(F.col("trades") - F.col("bought") - F.col("sold"), F.lit(0.0))
+    single = bars.where(~has & (F.col("trades") > 0)).select("symbol", bucket(F.col("close")), F.col("sold").alias("s"), F.col("bought").alias("b"), other.alias("w"))
+    rows = whole.unionAll(single).groupBy("symbol", "bucket").agg(*(F.sum(c).alias(c) for c in "sbw"))
+    return rows.withColumn("total", F.col("s") + F.col("b") + F.col("w")).where("total > 0")
+
+
+def merged_profiles(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Buckets of either profile (``symbol``, ``bucket``, ``s``, ``b``, ``w``), with the sum of both."""
+    columns = ["symbol", "bucket", "s", "b", "w"]
+    return a.select(columns).unionByName(b.select(columns)).groupBy("symbol", "bucket").agg(*(F.sum(c).alias(c) for c in "sbw"))
+
+
+def volume_by_side(bars: DataFrame) -> DataFrame:
+    """A bar's volume bought, sold and neither: in the shares of its ``bins``, else by its ``side``; and its number of trades.
+
+    The number is ``trades`` where there is one (0 too), else that of the bins' prices, else 1 for a side.
+    """
+    share = lambda c: F.aggregate("bins", F.lit(0.0), lambda a, p: a + p[c])
+    whole = share("s") + share("b") + share("w")
+    by_bins, side = whole > 0, F.col("side")
+    part = lambda c, own: F.when(by_bins, F.col("volume") * share(c) / whole).when(own, F.col("volume")).otherwise(0.0)
+    count = F.coalesce("trades", F.when(F.size("bins") > 0, 3.0 * F.size("bins")), F.when(side.isin("B", "S"), 1.0).otherwise(0.0))
+    neither = ~side.isin("B", "S") | side.isNull()
+    return bars.select("symbol", "x", part("b", side == "B").alias("bought"), part("s", side == "S").alias("sold"), part("w", neither).alias("neither"), count.alias("trades"))

@@ -92,3 +92,46 @@ def growing(bars: DataFrame, period: str) -> DataFrame:
         "symbol", "x", slot(F.col("ts"), period).alias("slot"), F.first("open").over(w).alias("open"), F.max("high").over(w).alias("high"),
         F.min("low").over(w).alias("low"), "close", F.sum("volume").over(w).alias("volume"),
     )
+
+
+def one_price_bars(ticks: DataFrame) -> DataFrame:
+    """Each tick as a bar of one price; the side stays."""
+    price = F.col("price")
+    rows = ticks.select("symbol", "ts", "seq", *(price.alias(c) for c in ("open", "high", "low", "close")), F.col("qty").alias("volume"), "side")
+    return rows.withColumn("x", (F.row_number().over(W.partitionBy("symbol").orderBy("ts", "seq")) - 1).cast("long"))
+
+
+def sided(ticks: DataFrame) -> DataFrame:
+    """Ticks of a day that have no side, merged: the first ones into the day's first sided tick, the last ones into its last.
+
+    Others count as bought. A day without a sided tick is left out. ``low`` and ``high`` are of the prices merged.
+    """
+    day = W.partitionBy("symbol", F.to_date("ts"))
+    has = F.col("side").isin("B", "S")
+    rows = ticks.withColumn("n", F.row_number().over(day.orderBy("ts", "seq")))
+    rows = rows.withColumns({"first": F.min(F.when(has, F.col("n"))).over(day), "last": F.max(F.when(has, F.col("n"))).over(day)}).where("first IS NOT NULL")
+    rows = rows.withColumn("to", F.greatest("first", F.least("last", "n")))
+    own = F.col("n") == F.col("to")
+    return rows.groupBy("symbol", F.to_date("ts").alias("day"), "to").agg(
+        *(F.max(F.when(own, F.col(c))).alias(c) for c in ("ts", "seq", "price")), F.sum("qty").alias("qty"),
+        F.max(F.when(own, F.when(has, F.col("side")).otherwise("B"))).alias("side"), F.min("price").alias("low"), F.max("price").alias("high"),
+    ).drop("to")
+
+
+def trade_counts(ticks: DataFrame, period: str) -> DataFrame:
+    """Trades (``trades`` of ticks with a price and quantity; an explicit 0 counts as none) per slot: all, bought, sold."""
+    usable = ticks.where("price > 0 AND qty > 0")
+    of = lambda s: F.sum(F.when(F.upper(F.trim("side")) == s, F.col("trades")).otherwise(0.0))
+    return usable.groupBy("symbol", slot(F.col("ts"), period).alias("slot")).agg(F.sum("trades").alias("trades"), of("B").alias("bought"), of("S").alias("sold"))
+
+
+def in_range(bars: DataFrame, begin: str | None, end: str | None) -> DataFrame:
+    """Bars between two times, both included and numbered anew; a bound that is a day alone is its first or last second."""
+    bound = lambda text, time: F.coalesce(
+        F.try_to_timestamp(F.lit(text), F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(F.lit(f"{text} {time}"), F.lit("yyyy-MM-dd HH:mm:ss")),
+        F.try_to_timestamp(F.lit(f"{text} {time}"), F.lit("yyyyMMdd HH:mm:ss")),
+    )
+    for text, time, test in ((begin, "00:00:00", F.Column.__ge__), (end, "23:59:59", F.Column.__le__)):
+        if text:
+            bars = bars.where(test(F.col("ts"), bound(text, time)))
+    return numbered(bars.drop("x"), "ts")

@@ -45,6 +45,13 @@ def merged_groups(bars: DataFrame) -> DataFrame:
     return ordered_fold(bars, Groups, ["x", "high", "low"], GROUP)
 
 
+def peak_bars(groups: DataFrame, bars: DataFrame) -> DataFrame:
+    """The last bar of each merged group that has the group's high (``high_x``) or low (``low_x``); null if none has."""
+    held = groups.select("symbol", "seq", F.col("high").alias("h"), F.col("low").alias("l"), F.explode(F.sequence("x1", "x2")).alias("x")).join(bars.select("symbol", "x", "high", "low"), ["symbol", "x"])
+    last = lambda c: F.max(F.when(c, F.col("x")))
+    return held.groupBy("symbol", "seq").agg(last(F.col("high") == F.col("h")).alias("high_x"), last(F.col("low") == F.col("l")).alias("low_x"))
+
+
 def fractals(groups: DataFrame) -> DataFrame:
     """Groups higher (``top``) or lower (``bottom``) than both neighbours in high and low.
 
