@@ -276,9 +276,9 @@ def entries(pivots_sql: str, groups_sql: str) -> dict[str, tuple[Callable, str]]
             lambda s, d: rounded(profile.counts_to(_counted(s, d), 300, 2.0)),
             f"""WITH {HOURLY}, {TRADES}, {BINS.format(q='trades', more='AND trades > 0')}, c AS (SELECT symbol, date_trunc('hour', ts) AS slot, sum(trades) AS t, sum(CASE WHEN side = 'B' THEN trades ELSE 0 END) AS bo,
             sum(CASE WHEN side = 'S' THEN trades ELSE 0 END) AS so FROM trades WHERE price > 0 AND qty > 0 GROUP BY ALL),
-            h AS (SELECT DISTINCT symbol, slot, 1 AS found FROM binned), parts AS (
-            SELECT symbol, CAST(floor(price / 2.0) AS BIGINT) AS bucket, s, b, w FROM bars JOIN binned USING (symbol, slot) WHERE x % 3 = 0 AND x <= 300
-            UNION ALL SELECT symbol, CAST(floor(close / 2.0) AS BIGINT), so, bo, greatest(t - bo - so, 0) FROM (SELECT symbol, x, close, slot, h.found FROM bars LEFT JOIN h USING (symbol, slot)) JOIN c USING (symbol, slot) WHERE x <= 300 AND t > 0 AND (x % 3 <> 0 OR found IS NULL))
+            parts AS (SELECT k.symbol, CAST(floor(coalesce(n.price, k.close) / 2.0) AS BIGINT) AS bucket, CASE WHEN n.price IS NULL THEN so ELSE n.s END AS s, CASE WHEN n.price IS NULL THEN bo ELSE n.b END AS b,
+            CASE WHEN n.price IS NULL THEN greatest(t - bo - so, 0) ELSE n.w END AS w FROM bars k LEFT JOIN binned n ON n.symbol = k.symbol AND n.slot = k.slot AND k.x % 3 = 0
+            LEFT JOIN c ON c.symbol = k.symbol AND c.slot = k.slot WHERE k.x <= 300 AND (n.price IS NOT NULL OR t > 0))
             SELECT symbol, bucket, sum(s) AS s, sum(b) AS b, sum(w) AS w, sum(s) + sum(b) + sum(w) AS total FROM parts GROUP BY ALL HAVING sum(s) + sum(b) + sum(w) > 0""",
         ),
         "profiles_merged": (
