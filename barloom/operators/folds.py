@@ -7,6 +7,7 @@ the rows of a key. The same states serve batches and streams.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from typing import Protocol
 
 import pyarrow as pa
@@ -49,3 +50,26 @@ def ordered_fold(rows: DataFrame, new: Callable[[], State], inputs: list[str], o
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def ordered_stream(rows: DataFrame, of: Callable[[Iterator[tuple]], Iterator[tuple]], inputs: list[str], output: str, by: str = "symbol", order: str = "x", batch: int = 4096) -> DataFrame:
+    """As :func:`ordered_fold` for what reads the rows of a key as it needs them: ``of`` takes them in order and gives rows."""
+    schema = T.StructType([rows.schema[by], *T.StructType.fromDDL(output).fields])
+    arrow = to_arrow_schema(schema)
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for one in batches:
+            columns = one.to_pydict()
+            yield from zip(columns[by], zip(*(columns[c] for c in inputs)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for key, some in groupby(flat(batches), key=lambda r: r[0]):
+            for row in of(r for _, r in some):
+                out.append((key, *row))
+                if len(out) >= batch:
+                    yield _batch(out, arrow)
+                    out = []
+        yield _batch(out, arrow)
+
+    return rows.select(by, order, *(c for c in inputs if c != order)).repartition(by).sortWithinPartitions(by, order).mapInArrow(run, schema)
