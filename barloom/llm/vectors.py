@@ -1,17 +1,19 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Vectors are described by their nearest reference points (pivots) in order. The inverted lists are kept for sets
-of ``SHARED`` pivots: a vector is listed under every such set among its ``NEAREST`` pivots, so two vectors meet
-in a list exactly if they have at least ``SHARED`` of their nearest pivots in common. What meets is verified by
-its cosine in double precision. Long lists are cut into blocks, and each pair of blocks is a task of its own.
+Vectors are described by their nearest reference points (pivots) in order, both less the vectors' common mean. The
+inverted lists are kept for sets of ``SHARED`` pivots: a vector is listed under every such set among its nearest
+pivots, so two vectors meet in a list exactly if they have at least ``SHARED`` of their nearest pivots in common.
+What meets is verified by its cosine in double precision. Long lists are cut into blocks, and each pair of blocks is
+a task of its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +22,17 @@ from barloom.llm.common import checkpoint
 from barloom.llm.components import connected_components
 
 COSINE = 0.9
-#: Pivots are a fixed sample of the distinct vectors.
-PIVOTS = 256
-SAMPLE, APART = 16, 0.7
-#: Nearest pivots that describe a vector, and how many of them two vectors must share. Of pairs with a cosine
-#: of just 0.9 in 64 dimensions these find 97 %, and nearly all of those above 0.95.
-NEAREST, SHARED = 6, 2
+#: Pivots grow with the square root of the distinct vectors between these bounds, so that lists keep their length up to the
+#: upper one, and what is broadcast is bounded by it.
+FEWEST_PIVOTS, MOST_PIVOTS = 64, 4096
+#: The index is fitted on so many vectors for each pivot, and on so many pairs of a cosine of about the threshold: made-up ones,
+#: and those between so many vectors of the sample, if there are some.
+SAMPLE, LEAST_SAMPLE, PAIRS, PAIRED, SOME = 4, 2048, 1000, 4096, 50
+#: No two pivots are closer than the first of these; where that leaves too few, than the next.
+APART = (0.7, 0.85, 0.95)
+#: How many of their nearest pivots two vectors must share, and the share of the made-up pairs that must do so: as many
+#: nearest pivots describe a vector as that takes, in these bounds.
+SHARED, RECALL, FEWEST_NEAREST, MOST_NEAREST = 2, 0.97, 4, 24
 #: Vectors of one list that one task compares with as many others, at most.
 BLOCK = 2048
 #: Rows of short lists that are compared list by list in one task, about.
@@ -41,16 +48,78 @@ def usable(vector: Column) -> Column:
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Unit vectors of a column of lists of equal length."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    return _unit(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1))
+
+
+def centred(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Unit vectors less their mean, as unit vectors again; one that is the mean itself is zero."""
+    x = x - mean
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
-    """Numbers of each unit vector's nearest pivots, nearest first; ties go to the lower number."""
+    """Numbers of each vector's nearest pivots, nearest first; ties go to the lower number."""
     return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :nearest]
 
 
+@dataclass(frozen=True)
+class Index:
+    """The mean of unit vectors, the pivots less it, and how many nearest ones describe a vector."""
+
+    mean: np.ndarray
+    pivots: np.ndarray
+    nearest: int
+    shared: int
+
+    def order(self, x: np.ndarray, nearest: int | None = None) -> np.ndarray:
+        return nearest_pivots(centred(x, self.mean), self.pivots, nearest or self.nearest)
+
+
+def _pairs(x: np.ndarray, cosine: float, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of just this cosine: partners in any direction, in directions in which the vectors differ, and found ones."""
+    one, other, third = (x[rng.integers(0, len(x), PAIRS)] for _ in range(3))
+    out = []
+    for way in (rng.normal(size=one.shape), other - third + 1e-9 * rng.normal(size=one.shape)):
+        way = way - (way * one).sum(1, keepdims=True) * one
+        way = way / np.maximum(np.linalg.norm(way, axis=1, keepdims=True), 1e-300)
+        out.append((one, cosine * one + np.sqrt(max(0.0, 1 - cosine * cosine)) * way))
+    y, a, b = x[:PAIRED], [], []
+    for at in range(0, len(y), 512):
+        c = y[at : at + 512] @ y.T
+        i, j = np.nonzero((c >= cosine) & (c < cosine + (1 - cosine) / 4))
+        a.append(i + at)
+        b.append(j)
+    i, j = np.concatenate(a), np.concatenate(b)
+    if len(i) >= SOME:
+        k = rng.permutation(len(i))[:PAIRS]
+        out.append((y[i[k]], y[j[k]]))
+    return out
+
+
+def fit(x: np.ndarray, pivots: int, shared: int = SHARED, cosine: float = COSINE, recall: float = RECALL, most: int = MOST_NEAREST, seed: int = 7) -> Index:
+    """The index of a sample of unit vectors in the order in which they may become pivots."""
+    mean = x.mean(axis=0)
+    y = centred(x, mean)
+    chosen = np.zeros((min(pivots, len(x)), x.shape[1]))
+    taken, n = np.zeros(len(y), dtype=bool), 0
+    for apart in APART:
+        for i in np.nonzero(~taken)[0].tolist():
+            if n < len(chosen) and (n == 0 or (chosen[:n] @ y[i]).max() < apart):
+                chosen[n], taken[i], n = y[i], True, n + 1
+        if n == len(chosen):
+            break
+    index = Index(mean, chosen[:n], 0, min(shared, n))
+    most = min(most, n)
+    orders = [(index.order(a, most), index.order(b, most)) for a, b in _pairs(x, cosine, np.random.default_rng(seed))]
+    nearest = min(FEWEST_NEAREST, most)
+    while nearest < most:
+        meet = [((a[:, :nearest, None] == b[:, None, :nearest]).sum((1, 2)) >= index.shared).mean() for a, b in orders]
+        if min(meet) >= recall:
+            break
+        nearest += 1
+    return replace(index, nearest=nearest)
+
+
 def set_numbers(order: np.ndarray, shared: int, pivots: int) -> np.ndarray:
     """A number for each set of ``shared`` pivots of a row, in a column of its own for each choice of places."""
     rows = np.sort(order, axis=1).astype(np.int64)
@@ -63,17 +132,20 @@ def set_numbers(order: np.ndarray, shared: int, pivots: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def _describe(vectors: DataFrame, pivots: np.ndarray, nearest: int, shared: int) -> DataFrame:
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _describe(vectors: DataFrame, index: Index) -> DataFrame:
     """``vectors`` (``node``, ``copies``, ``vector``) with ``sets``, the numbers of its pivot sets in order."""
-    sent = vectors.sparkSession.sparkContext.broadcast(pivots)
+    sent = vectors.sparkSession.sparkContext.broadcast(index)
 
-    @F.pandas_udf("array<long>")
-    def sets(column: pd.Series) -> pd.Series:
-        x = np.stack([np.asarray(v, dtype=np.float64) for v in column])
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        order = nearest_pivots(x, sent.value, min(nearest, len(sent.value)))
-        return pd.Series(list(np.sort(set_numbers(order, min(shared, order.shape[1]), len(sent.value)), axis=1)))
+    @F.arrow_udf("array<long>")
+    def sets(column: pa.Array) -> pa.Array:
+        index = sent.value
+        found = np.sort(set_numbers(index.order(_matrix(column)), index.shared, len(index.pivots)), axis=1)
+        return pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1], found.reshape(-1))
 
     return vectors.withColumn("sets", sets("vector"))
 
@@ -144,27 +216,15 @@ def _sets(column: pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def sample_pivots(vectors: DataFrame, pivots: int) -> np.ndarray:
-    """At most ``pivots`` unit vectors, taken in order of their hash from a sample of ``SAMPLE`` times as many.
-
-    A vector close to a pivot is none itself: pivots from one cluster would be ordered by noise alone.
-    """
-    rows = vectors.select("vector").orderBy(F.xxhash64("vector"), "node").limit(SAMPLE * pivots).toArrow()
-    chosen: list[np.ndarray] = []
-    for x in _matrix(rows["vector"]) if len(rows) else ():
-        if not chosen or max(np.stack(chosen) @ x) < APART:
-            chosen.append(x)
-        if len(chosen) == pivots:
-            break
-    return np.stack(chosen) if chosen else np.zeros((0, 0))
+def fitted(vectors: DataFrame, rows: int, threshold: float, shared: int, pivots: int | None) -> Index:
+    """The index for distinct ``vectors`` of one length, of which there are ``rows``: fitted on those of smallest hash."""
+    pivots = pivots or int(min(MOST_PIVOTS, max(FEWEST_PIVOTS, np.ceil(np.sqrt(rows)))))
+    sample = vectors.select("vector").orderBy(F.xxhash64("vector"), "node").limit(max(LEAST_SAMPLE, SAMPLE * pivots)).toArrow()
+    return fit(_matrix(sample["vector"]), pivots, shared, threshold)
 
 
-def _linked(vectors: DataFrame, pivots: np.ndarray, threshold: float, nearest: int, shared: int, block: int) -> DataFrame:
-    listed = (
-        _describe(vectors, pivots, nearest, shared)
-        .withColumn("key", F.explode("sets"))
-        .select("key", "node", "copies", "vector", "sets")
-    )
+def _linked(vectors: DataFrame, index: Index, threshold: float, block: int) -> DataFrame:
+    listed = _describe(vectors, index).withColumn("key", F.explode("sets")).select("key", "node", "copies", "vector", "sets")
     sizes = checkpoint(
         listed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").withColumn("n", F.ceil(F.col("rows") / block).cast("int"))
     )
@@ -188,7 +248,7 @@ def _linked(vectors: DataFrame, pivots: np.ndarray, threshold: float, nearest: i
 
 def near_vectors(
     vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = COSINE,
-    pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED, block: int = BLOCK,
+    pivots: int | None = None, shared: int = SHARED, block: int = BLOCK, hashed: Callable[..., Column] = F.xxhash64,
 ) -> DataFrame:
     """One row per row of ``vectors``: ``key``, ``n_links``, ``component_id`` and ``kept``.
 
@@ -197,22 +257,30 @@ def near_vectors(
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing. Vectors of
     different length don't link. Equal vectors are compared once, as one node with its number of copies. A row
     with a null key links as any other and has the id of its component, or null if it is alone. Repeated rows
-    are copies of each other. An empty table gives no rows.
+    are copies of each other. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
     kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
     rows = checkpoint(
         vectors.select(F.col(key).alias("id"), F.col(vector).cast(kind).alias("raw"))
         .withColumn("vector", F.when(usable(F.col("raw")), F.transform("raw", lambda x: F.when(x == 0, 0).otherwise(x)).cast(kind)))
-        .select("id", "vector", F.coalesce(F.size("vector"), F.lit(0)).alias("width"), F.xxhash64("vector").alias("node"))
+        .select("id", "vector", F.coalesce(F.size("vector"), F.lit(0)).alias("width"), hashed("vector").alias("node"))
+    )
+    # Different vectors of one hash, if there are any, are told apart by another hash.
+    several = checkpoint(
+        rows.where("vector IS NOT NULL").groupBy("node").agg(F.min(F.xxhash64("vector", F.lit(1))).alias("a"), F.max(F.xxhash64("vector", F.lit(1))).alias("b")).where("a < b").select("node")
     )
+    if not several.isEmpty():
+        rows = checkpoint(
+            rows.join(several.withColumn("again", F.lit(True)), "node", "left").withColumn("node", F.when(F.col("again"), F.xxhash64("vector", F.lit(1))).otherwise(F.col("node"))).drop("again")
+        )
     good = rows.where(F.col("vector").isNotNull())
     distinct = checkpoint(
         good.groupBy("width", "node", "vector").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     )
     found: DataFrame | None = None
-    for (width,) in distinct.select("width").distinct().collect():  # the lengths of vectors are few
+    for width, n in distinct.groupBy("width").count().collect():  # the lengths of vectors are few
         same_width = distinct.where(F.col("width") == width)
-        part = _linked(same_width, sample_pivots(same_width, pivots), threshold, nearest, shared, block)
+        part = _linked(same_width, fitted(same_width, n, threshold, shared, pivots), threshold, block)
         found = part if found is None else found.unionAll(part)
     if found is None:
         linked = distinct.select("node", F.lit(0).cast("long").alias("links"), F.col("node").alias("component"))

@@ -232,7 +232,7 @@ def test_vectors_link_as_by_brute_force(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     bad = [None, [], [0.0] * 16, [float("nan")] + [1.0] * 15, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15]
     rows += [(1000 + i, v) for i, v in enumerate(bad)] + [(2000, [1.0, 0.0]), (2001, [2.0, 0.0])]
-    got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), nearest=8, block=16).collect()}
+    got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=16).collect()}
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     close = unit @ unit.T >= 0.9
     np.fill_diagonal(close, False)
@@ -242,6 +242,41 @@ def test_vectors_link_as_by_brute_force(spark):
     assert (got[2001].n_links, got[2001].component_id, got[2001].kept) == (1, 2000, False)
 
 
+@pytest.mark.parametrize("kind", ["isotropic", "common_1", "common_1.5", "common_2", "clusters"])
+def test_recall_of_shipped_settings(spark, kind):
+    rng = np.random.default_rng(4)
+    n, d = 3000, 64
+    x = rng.normal(size=(n, d))
+    if kind.startswith("common"):
+        x = x + float(kind.split("_")[1]) * rng.normal(size=d)
+    if kind == "clusters":
+        x = 3 * rng.normal(size=(20, d))[rng.integers(0, 20, n)] + x
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    way = rng.normal(size=(n // 2, d)) if kind != "clusters" else x[rng.permutation(n)[: n // 2]] - x[: n // 2]
+    half = x[: n // 2]
+    way -= (way * half).sum(1)[:, None] * half
+    way /= np.linalg.norm(way, axis=1)[:, None]
+    c = rng.uniform(0.9005, 0.93, n // 2)[:, None]
+    x[n // 2 :] = c * half + np.sqrt(1 - c * c) * way
+    close = x @ x.T >= 0.9
+    np.fill_diagonal(close, False)
+    rows = spark.createDataFrame([(i, v.tolist(), "x", 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, node string, copies int")
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(rows).collect()}
+    found = sum(got.values())
+    assert 0.9 * close.sum() <= found <= close.sum()
+
+
+def test_vectors_of_one_hash_stay_apart(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 8))
+    x[30:] = x[:30]
+    rows = spark.createDataFrame([(None if i == 3 else i, v.tolist()) for i, v in enumerate(x)] + [(5, x[5].tolist())], "vec_id long, embedding array<double>")
+    plain, one_hash = ({(r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(rows, hashed=h).collect()} for h in (F.xxhash64, lambda v: F.pmod(F.xxhash64(v), F.lit(3))))
+    assert plain == one_hash and (5, 2, 5, True) in plain
+
+
 def test_packing_round_trip(docs):
     from tokenizers import Tokenizer
 
