@@ -3,7 +3,9 @@
 Lines marked by ``>`` are quotations, one level for each mark. Runs of lines of one level are passages. A passage
 is normalised and hashed and joined to the latest earlier message of the conversation that has it: as its
 whole text, as one of its paragraphs, or as consecutive lines of it; if none has, as consecutive words of it, so
-that a part of a line or a rewrapped part is found too. All of it is SQL.
+that a part of a line or a rewrapped part is found too. Lines are asked for by their first line, words by their first
+words, so only places where a passage may begin are compared. Conversations are put in reply order: each message is
+followed by its replies, each with its own replies behind it. All of it is SQL.
 """
 
 from __future__ import annotations
@@ -71,9 +73,10 @@ def parsed(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> D
         F.get("lines", r["start"])["level"].alias("level"),
         _joined(part(F.col("lines"), r)).alias("text"),
         F.size(F.filter(part(F.col("lines"), r), lambda x: ~blank(x))).alias("n_lines"),
+        normalised(F.get(F.filter(part(F.col("lines"), r), lambda x: ~blank(x)), F.lit(0))["body"]).alias("first"),
     )
     hashed = lambda p: F.struct(
-        p["level"].alias("level"), _hash(p["text"]).alias("hash"), p["n_lines"].alias("n_lines"),
+        p["level"].alias("level"), _hash(p["text"]).alias("hash"), p["n_lines"].alias("n_lines"), F.xxhash64(p["first"]).alias("first_line"),
         F.size(F.split(p["text"], " ")).alias("n_words"), F.xxhash64(F.substring_index(p["text"], " ", LEAD)).alias("lead"),
     )
     passages = F.filter(F.transform(F.filter("runs", lambda r: F.get("lines", r["start"])["level"] > 0), passage), lambda p: p["text"] != "")
@@ -86,7 +89,7 @@ def parsed(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> D
         F.regexp_replace(F.array_join(F.transform("mine", lambda x: x["body"]), "\n"), trim, "").alias("own"),
         F.transform(F.filter("mine", lambda x: ~blank(x)), lambda x: normalised(x["body"])).alias("own_lines"),
         F.transform(F.filter(F.array_distinct(units), lambda u: u != ""), _hash).alias("units"),
-        F.coalesce(F.transform(passages, hashed), F.array().cast("array<struct<level:int,hash:string,n_lines:int,n_words:int,lead:bigint>>")).alias("passages"),
+        F.coalesce(F.transform(passages, hashed), F.array().cast("array<struct<level:int,hash:string,n_lines:int,first_line:bigint,n_words:int,lead:bigint>>")).alias("passages"),
     )
 
 
@@ -109,18 +112,19 @@ def latest_before(asks: DataFrame, origins: DataFrame, by: list[str]) -> DataFra
     return here.join(carried, [*by, "block"]).select(*by, "turn", F.coalesce("here", "carried").alias("found"))
 
 
-def _origins(rows: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Hashes of what the messages of conversations with quotations can be quoted by: ``conv``, ``hash``, ``turn``."""
-    per_conv = lengths.groupBy("conv").agg(F.collect_set("n_lines").alias("sizes"))
-    said = rows.join(per_conv, "conv")
-    units = said.select("conv", F.explode("units").alias("hash"), "turn")
-    n = F.size("own_lines")
-    spans = (
-        said.withColumn("n_lines", F.explode(F.filter("sizes", lambda k: k <= n)))
-        .withColumn("at", F.explode(F.sequence(F.lit(1), n - F.col("n_lines") + 1)))
-        .select("conv", _hash(F.array_join(F.slice("own_lines", F.col("at"), F.col("n_lines")), " ")).alias("hash"), "turn")
-    )
-    return units.unionAll(spans).distinct()
+def _origins(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Hashes of what messages can be quoted by: ``conv``, ``hash``, ``turn``.
+
+    That is their text, their paragraphs, and their lines from each that some passage of ``asked`` (``conv``, ``first_line``,
+    ``n_lines``, distinct) begins with, as many as the passage has.
+    """
+    units = rows.join(asked.select("conv").distinct(), "conv", "left_semi").select("conv", F.explode("units").alias("hash"), "turn")
+    said = rows.where(F.size("own_lines") > 0).select("conv", "turn", "own_lines").distinct()
+    starts = said.select("conv", "turn", F.xxhash64("own_lines").alias("mark"), F.size("own_lines").alias("size"), F.posexplode(F.transform("own_lines", lambda x: F.xxhash64(x))).alias("at", "first_line"))
+    places = starts.join(asked, ["conv", "first_line"]).where("at + n_lines <= size").select("conv", "turn", "mark", "at", "n_lines")
+    lines = F.array_join(F.slice("own_lines", F.col("at") + 1, F.col("n_lines")), " ")
+    found = places.join(said.withColumn("mark", F.xxhash64("own_lines")), ["conv", "turn", "mark"])
+    return units.unionAll(found.select("conv", _hash(lines).alias("hash"), "turn")).distinct()
 
 
 def _places(rows: DataFrame, asked: DataFrame) -> DataFrame:
@@ -145,7 +149,7 @@ def linked(rows: DataFrame) -> DataFrame:
     """Passages of ``rows`` (of :func:`parsed`) with their origin: ``conv``, ``turn``, ``level``, ``hash``, ``origin``."""
     passages = rows.select("conv", "turn", F.explode("passages").alias("p")).select("conv", "turn", "p.*").distinct()
     asks = passages.select("conv", "hash", "turn").distinct()
-    origins = _origins(rows, passages.select("conv", "n_lines").distinct())
+    origins = _origins(rows, checkpoint(passages.select("conv", "first_line", "n_lines").distinct()))
     origins = origins.join(asks.select("conv", "hash").distinct(), ["conv", "hash"], "left_semi")
     found = checkpoint(latest_before(asks, origins, ["conv", "hash"]))
     missing = found.where("found IS NULL").select("conv", "hash", "turn")
@@ -170,15 +174,41 @@ def _paths(parents: DataFrame) -> DataFrame:
     return paths.drop("ended")
 
 
+def _places_in_order(parents: DataFrame) -> DataFrame:
+    """``conv``, ``turn`` and ``place``, from 0: each turn is followed by its replies in order of turns, each with its own behind it.
+
+    A walk enters each turn, goes through its replies and leaves it: every step's next one is known from a turn and its
+    siblings alone. How many turns are entered from a step to the end of the walk is told by pointer doubling.
+    """
+    among = W.partitionBy("conv", "reply_to").orderBy("turn")
+    rows = parents.select("conv", "turn", "reply_to", F.lead("turn").over(among).alias("after"))
+    first = parents.where("reply_to IS NOT NULL").groupBy("conv", F.col("reply_to").alias("turn")).agg(F.min("turn").alias("first"))
+    rows = checkpoint(rows.join(first, ["conv", "turn"], "left"))
+    step = lambda turn, leaves: F.struct(turn.alias("turn"), F.lit(leaves).alias("leaves"))
+    enters = F.when(F.col("first").isNotNull(), step(F.col("first"), False)).otherwise(step(F.col("turn"), True))
+    leaves = F.when(F.col("after").isNotNull(), step(F.col("after"), False)).when(F.col("reply_to").isNotNull(), step(F.col("reply_to"), True))
+    walk = rows.select("conv", step(F.col("turn"), False).alias("step"), enters.alias("next"), F.lit(1).cast("long").alias("n"))
+    walk = walk.unionAll(rows.select("conv", step(F.col("turn"), True).alias("step"), leaves.alias("next"), F.lit(0).cast("long").alias("n")))
+    walk = checkpoint(walk)
+    while not walk.where("next IS NOT NULL").isEmpty():
+        ahead = walk.select("conv", F.col("step").alias("next"), F.col("next").alias("beyond"), F.col("n").alias("more"))
+        moved = walk.where("next IS NOT NULL").join(ahead, ["conv", "next"]).select("conv", "step", F.col("beyond").alias("next"), (F.col("n") + F.col("more")).alias("n"))
+        walk = checkpoint(walk.where("next IS NULL").unionAll(moved))
+    total = walk.groupBy("conv").agg(F.max("n").alias("total"))
+    return walk.where("NOT step.leaves").join(total, "conv").select("conv", F.col("step.turn").alias("turn"), (F.col("total") - F.col("n")).alias("place"))
+
+
 def reply_order(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per row of ``messages``: ``conv``, ``turn``, ``role``, ``text`` without quotations, ``n_quoted`` (passages),
-    ``n_linked``, ``reply_to``, ``thread_turn`` and ``depth``. Reply order is by ``thread_turn``, ``depth`` and ``turn``.
+    ``n_linked``, ``reply_to``, ``thread_turn``, ``depth`` and ``place``. A conversation in reply order is its rows by ``place``.
 
     A message replies to the latest origin among its linked passages of the lowest level; without one, to the
     turn before it in its conversation. ``thread_turn`` is the turn its chain of replies begins with and ``depth`` the
-    length of the chain. Messages that share a turn are one message to others and reply as one. Null texts are
+    length of the chain; ``place`` counts the turns of the conversation from 0 so that each is followed by its replies.
+    Messages that share a turn are one message to others, reply as one and share a place. Null texts are
     empty, and so is the text of a message that only quotes. A row with a null conversation or turn replies to
-    nothing and its thread is its own turn. An empty table gives no rows.
+    nothing, its thread is its own turn and its place null. Texts of any length are parsed whole. Other columns are
+    ignored, whatever their names. An empty table gives no rows.
     """
     rows = checkpoint(parsed(messages, conv, turn, role, text))
     placed = rows.where("conv IS NOT NULL AND turn IS NOT NULL")
@@ -194,10 +224,10 @@ def reply_order(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
             "conv", "turn", F.coalesce("quoted", "previous").alias("reply_to"), F.coalesce("n_linked", F.lit(0)).alias("n_linked")
         )
     )
-    placing = parents.join(_paths(parents), ["conv", "turn"])
+    placing = parents.join(_paths(parents), ["conv", "turn"]).join(_places_in_order(parents), ["conv", "turn"])
     out = rows.select("conv", "turn", "role", "own", F.size("passages").cast("long").alias("n_quoted")).join(placing, ["conv", "turn"], "left")
     return out.select(
         F.col("conv").alias(conv), F.col("turn").alias(turn), F.col("role").alias(role), F.col("own").alias(text), "n_quoted",
         F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_to",
-        F.coalesce("thread_turn", F.col("turn")).alias("thread_turn"), F.coalesce("depth", F.lit(0)).alias("depth"),
+        F.coalesce("thread_turn", F.col("turn")).alias("thread_turn"), F.coalesce("depth", F.lit(0)).alias("depth"), "place",
     )

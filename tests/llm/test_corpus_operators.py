@@ -139,7 +139,11 @@ MESSAGES = [
 
 def test_quotations_link(spark):
     rows = spark.createDataFrame([(*m, 1, "x") for m in MESSAGES], "conv_id long, turn long, role string, text string, own int, lines string")
-    got = quotes.reply_order(rows).collect()
+    found = quotes.reply_order(rows)
+    places = [(r.conv_id, r.turn, r.place) for r in found.distinct().collect()]
+    assert sorted(p for p in places if p[0] == 1) == [(1, 0, 0), (1, 1, 1), (1, 2, 2), (1, 3, 3), (1, 4, 4)]
+    assert sorted(p for p in places if p[0] == 2 and p[1] is not None) == [(2, 0, 0), (2, 7, 1), (2, 9000, 2)]
+    got = found.drop("place").collect()
     want = [
         (1, 0, "user", "Hello there\nHow are you?\n\nSecond para here.", 0, 0, None, 0, 0), (1, 1, "bot", "Fine thanks.\nAnd you?", 1, 1, 0, 0, 1),
         (1, 2, "user", "Good.", 2, 2, 1, 0, 2), (1, 3, "bot", "That one.", 1, 1, 0, 0, 1), (1, 4, "user", "plain", 0, 0, 3, 0, 2),
