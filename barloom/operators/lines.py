@@ -52,7 +52,7 @@ def _window(poles_: DataFrame, size: int) -> DataFrame:
 
 
 def _slope(two):
-    return (two[1]["price"] - two[0]["price"]) / (two[1]["x"] - two[0]["x"])
+    return (two[1]["price"] - two[0]["price"]) / F.nullif(two[1]["x"] - two[0]["x"], F.lit(0).cast("long"))
 
 
 def parallel_rays(poles_: DataFrame) -> DataFrame:
@@ -101,3 +101,32 @@ def gated_volume(units: DataFrame, bars: DataFrame, amount: str = "volume") -> D
     run = F.sum(amount).over(W.partitionBy("symbol", "idx").orderBy("x"))
     shown = held.withColumn("gated", run).where("x >= shown_x").groupBy("symbol", "x").agg(F.max_by("gated", "idx").alias("gated"))
     return bars.select("symbol", "x").join(shown, ["symbol", "x"], "left").na.fill(0.0, ["gated"])
+
+
+def trend_lines(groups: DataFrame, inner: bool) -> DataFrame:
+    """Support (``inner``: through begins) or resistance lines of groups of lines: ``symbol``, ``seg_idx``, ``x0``, ``y0``, ``slope``.
+
+    ``groups`` are lines with their group (``seg_idx``), at least three in one. Points are those of every second line from
+    the last. From a point the line goes to the one of steepest (``inner``) or flattest slope that doesn't go against the
+    last line; the walk goes on from there, and of all lines the one nearest to all points is kept.
+    """
+    w = W.partitionBy("symbol", "seg_idx")
+    rows = groups.withColumns({"n": F.max("idx").over(w) - F.col("idx"), "size": F.count(F.lit(1)).over(w), "way": F.last("dir").over(w.orderBy("idx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
+    x, y = (F.col("begin_x"), F.col("begin_price")) if inner else (F.col("end_x"), F.col("end_price"))
+    points = rows.where("size >= 3 AND n % 2 = 0").select("symbol", "seg_idx", "way", (F.col("n") / 2).cast("int").alias("k"), x.cast("double").alias("x"), y.alias("y"))
+    one, other = points.alias("a"), points.select("symbol", "seg_idx", *(F.col(c).alias(f"{c}2") for c in ("k", "x", "y"))).alias("b")
+    # Groups are segments, of few lines each, so their points are paired.
+    slope = (F.col("y2") - F.col("y")) / F.nullif(F.col("x2") - F.col("x"), F.lit(0.0))
+    pairs = one.join(other, ["symbol", "seg_idx"]).where("k2 > k").withColumn("slope", slope).where("way * slope >= 0")
+    steep = F.col("way") * F.col("slope") * (1 if inner else -1)
+    best = pairs.where("slope <> 0" if inner else "true").groupBy("symbol", "seg_idx", "k").agg(F.max_by(F.struct("slope", "k2"), F.struct(steep, -F.col("k2"))).alias("b"))
+    steps = points.join(best, ["symbol", "seg_idx", "k"], "left").groupBy("symbol", "seg_idx").agg(
+        F.array_sort(F.collect_list(F.struct("k", "x", "y", F.coalesce("b.slope", F.lit(0.0)).alias("slope"), F.coalesce("b.k2", F.col("k") + 1).alias("to"), F.col("b").isNotNull().alias("real")))).alias("p")
+    )
+    walk = F.aggregate("p", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("seen")), lambda a, q: F.when(
+        q["k"] == a["at"], F.struct(q["to"].alias("at"), F.concat(a["seen"], F.array(q["k"])).alias("seen"))).otherwise(a))["seen"]
+    lines_ = steps.withColumn("k", F.explode(F.filter(walk, lambda k: (k < F.size("p") - 1) | (F.size("p") == 1)))).withColumn("q", F.element_at("p", F.col("k") + 1)).where("q.real")
+    away = F.aggregate("p", F.lit(0.0), lambda a, r: a + F.abs(F.col("q.slope") * (r["x"] - F.col("q.x")) - r["y"] + F.col("q.y")) / F.sqrt(F.col("q.slope") * F.col("q.slope") + 1))
+    return lines_.withColumn("away", away).groupBy("symbol", "seg_idx").agg(F.min_by(F.struct("q.x", "q.y", "q.slope"), F.struct("away", "k")).alias("l")).select(
+        "symbol", "seg_idx", F.col("l.x").alias("x0"), F.col("l.y").alias("y0"), F.col("l.slope").alias("slope")
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +53,39 @@ def tick_lines(lines: DataFrame, path: str = "path", line: str = "line", number:
     return rows.where("ts IS NOT NULL AND price IS NOT NULL AND qty IS NOT NULL")
 
 
-def read_tick_files(spark: SparkSession, path: str, charset: str = "UTF-8") -> DataFrame:
-    """Ticks of the text files ``YYYYMMDD_code.txt`` below a path. Lines are numbered in order of their file."""
+def _decoded(content: bytes, other: str) -> str:
+    try:
+        return content.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return content.decode(other, errors="replace")
+
+
+def read_tick_files(spark: SparkSession, path: str, begin: str | None = None, end: str | None = None, other: str = "GBK") -> DataFrame:
+    """Ticks of the text files ``YYYYMMDD_code.txt`` below a path, of the days between two. Lines are numbered in order of their file.
+
+    A file that isn't UTF-8 is read as ``other``. A file is one row, so it must be under 2 GB; files of other days aren't read.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path)
-    text = F.regexp_replace(F.decode("content", charset), "^﻿", "")
-    lines = files.select("path", F.posexplode(F.split(text, "\r?\n")).alias("number", "line"))
+    files = files_between(files, begin, end)
+
+    @F.arrow_udf("string")
+    def text(content: pa.Array) -> pa.Array:
+        return pa.array([_decoded(x, other) for x in content.to_pylist()], pa.string())
+
+    lines = files.select("path", F.posexplode(F.split(text("content"), "\r?\n")).alias("number", "line"))
     return tick_lines(lines)
+
+
+def files_between(files: DataFrame, begin: str | None = None, end: str | None = None, path: str = "path") -> DataFrame:
+    """Rows of ``files`` whose name begins with a day (``YYYYMMDD``) between two, both included; files of other names are left out."""
+    day = F.regexp_extract(F.col(path), FILE, 1)
+    rows = files.where(day != "")
+    rows = rows.where(day >= begin.replace("-", "")[:8]) if begin else rows
+    return rows.where(day <= end.replace("-", "")[:8]) if end else rows
+
+
+def catalog(spark: SparkSession, path: str) -> DataFrame:
+    """The codes that a path has tick files of, and the days of the first and last: ``symbol``, ``n_files``, ``first_day``, ``last_day``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path).select("path")
+    day, code = F.regexp_extract("path", FILE, 1), F.regexp_extract("path", FILE, 2)
+    return files.where(day != "").groupBy(symbol_code(code).alias("symbol")).agg(F.count(F.lit(1)).alias("n_files"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
