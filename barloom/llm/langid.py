@@ -28,7 +28,7 @@ SAMPLE_DOCS, SAMPLE_CHARS = 300, 5_000
 FEATURES, LEAST_COUNT = 200_000, 3
 WINDOW, ROUNDS, RATE, L2 = 16, 60, 0.15, 1e-5
 #: Words that are worked on in one row; longer texts are several, joined exactly.
-SEQUENCE = 2048
+SEQUENCE = 1024
 WORDS_AT_ONCE = 400_000
 #: Characters of a position; a longer word is several.
 LONGEST = 40
