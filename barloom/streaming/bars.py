@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,17 +30,20 @@ def streamed_groups(bars: DataFrame) -> DataFrame:
     """Closed merged groups of a stream of bars (``symbol``, ``x``, ``high``, ``low``); a bar that comes after a later one is an error."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, groups = pickle.loads(state.get[0]) if state.exists else (None, Groups())
+        last, groups = None, Groups()
+        if state.exists:
+            last, *opened = state.get
+            groups.seq, groups.open = opened[0], list(opened)
         out = []
         for row in pd.concat(batches).sort_values("x").itertuples():
             if last is not None and row.x <= last:
                 raise ValueError(f"bar {row.x} of {key[0]} comes after bar {last}")
             last = row.x
             out += groups.add(row.x, row.high, row.low)
-        state.update((pickle.dumps((last, groups)),))
+        state.update((last, *groups.open))
         names = [c.split()[0] for c in GROUP.split(", ")]
         yield pd.DataFrame(out, columns=names).assign(symbol=key[0])[["symbol", *names]]
 
     return bars.select("symbol", "x", "high", "low").groupBy("symbol").applyInPandasWithState(
-        step, f"symbol string, {GROUP}", "state binary", "append", GroupStateTimeout.NoTimeout
+        step, f"symbol string, {GROUP}", f"last_x long, {GROUP.removesuffix(', closed boolean')}", "append", GroupStateTimeout.NoTimeout
     )
