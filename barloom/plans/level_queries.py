@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,21 +77,31 @@ p AS (SELECT symbol, x, 0 AS seq, CASE WHEN abs(open - close) <= 1e-12 THEN open
     LATERAL (SELECT b.high >= p.zd AND b.low <= p.zg AS touches) c),
 pivots AS (SELECT symbol, seq, min(x) AS x1, max(x) AS x2, arg_max(zg, x) AS zg, arg_max(zd, x) AS zd, max(high) AS gg, min(low) AS dd,
   count(*) AS n_members, seq < max(seq) OVER (PARTITION BY symbol) AS is_sure FROM p GROUP BY symbol, seq)"""
-POINTS_OF_UNITS = """side AS (SELECT *, CASE WHEN zg < lag(zd) OVER w THEN 'buy' WHEN zd > lag(zg) OVER w THEN 'sell' END AS side FROM pivots WINDOW w AS (PARTITION BY symbol ORDER BY seq)),
+_SUFFIX = re.compile(r"suffix\((row_number\(\) OVER \([^()]*\)) - 1\)")
+_LETTER = "chr((97 + ({k}) % 26)::INT)"
+
+
+def _suffix(match: re.Match) -> str:
+    """Letters of a number from 0, up to two: ``a`` to ``z``, then ``aa``."""
+    k = f"{match[1]} - 1"
+    return f"CASE WHEN {k} < 26 THEN {_LETTER.format(k=k)} ELSE {_LETTER.format(k=f'({k}) // 26 - 1')} || {_LETTER.format(k=k)} END"
+
+
+POINTS_OF_UNITS = _SUFFIX.sub(_suffix, """side AS (SELECT *, CASE WHEN zg < lag(zd) OVER w THEN 'buy' WHEN zd > lag(zg) OVER w THEN 'sell' END AS side FROM pivots WINDOW w AS (PARTITION BY symbol ORDER BY seq)),
 member AS (SELECT s.symbol, s.seq, s.side, b.x, CASE WHEN s.side = 'buy' THEN b.low ELSE b.high END AS price FROM side s JOIN z b ON b.symbol = s.symbol AND b.x BETWEEN s.x1 AND s.x2
   WHERE s.side IS NOT NULL AND b.x > 0),
 far AS (SELECT *, CASE WHEN side = 'buy' THEN -price ELSE price END AS far FROM member),
 best AS (SELECT *, max(far) OVER (PARTITION BY symbol, seq ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM far),
 first_class AS (SELECT symbol, seq, side, x, price, 1 AS class, '1' || upper(left(replace(side, 'sell', 's'), 1)) || 'a' AS label FROM best WHERE best IS NULL OR far > best + 1e-12),
 marked AS (SELECT *, best IS NULL OR far > best + 1e-12 AS news FROM best),
-second_class AS (SELECT symbol, seq, side, x, price, 2 AS class, '2' || upper(left(side, 1)) || chr((96 + row_number() OVER (PARTITION BY symbol, seq, run ORDER BY x))::INT) AS label FROM
+second_class AS (SELECT symbol, seq, side, x, price, 2 AS class, '2' || upper(left(side, 1)) || suffix(row_number() OVER (PARTITION BY symbol, seq, run ORDER BY x) - 1) AS label FROM
   (SELECT *, sum(news::INT) OVER (PARTITION BY symbol, seq ORDER BY x) AS run FROM marked) WHERE NOT news),
 runs AS (SELECT *, sum(CASE WHEN side = lag_side AND side IS NOT NULL THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY seq) AS run FROM
   (SELECT *, lag(side) OVER (PARTITION BY symbol ORDER BY seq) AS lag_side FROM side)),
 chains AS (SELECT *, row_number() OVER (PARTITION BY symbol, run ORDER BY seq) + 2 AS class, first_value(lag_side) OVER (PARTITION BY symbol, run ORDER BY seq) AS origin FROM runs WHERE side IS NOT NULL),
 nth_class AS (SELECT c.symbol, c.seq, CASE WHEN c.side = 'sell' THEN 'buy' ELSE 'sell' END AS side, b.x, CASE WHEN c.side = 'sell' THEN b.low ELSE b.high END AS price, c.class::INT AS class,
-  c.class || CASE WHEN c.side = 'sell' THEN 'B' ELSE 'S' END || chr((96 + row_number() OVER (PARTITION BY c.symbol, c.seq ORDER BY b.x))::INT) AS label
-  FROM chains c JOIN z b ON b.symbol = c.symbol AND b.x BETWEEN c.x1 AND c.x2 WHERE c.origin IS NOT NULL AND b.x > 0)"""
+  c.class || CASE WHEN c.side = 'sell' THEN 'B' ELSE 'S' END || suffix(row_number() OVER (PARTITION BY c.symbol, c.seq ORDER BY b.x) - 1) AS label
+  FROM chains c JOIN z b ON b.symbol = c.symbol AND b.x BETWEEN c.x1 AND c.x2 WHERE c.origin IS NOT NULL AND b.x > 0)""")
 
 
 def _level(spark: SparkSession, sf_dir: str, n: int) -> tuple[DataFrame, DataFrame]:
