@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, exact_dedup, html_text, katz, langid, packing, quotes, secrets, simhash, vectors
+from barloom.llm import bpe, exact_dedup, html_text, katz, langid, packing, quotes, ranked, secrets, simhash, toxicity, turn_repair, vectors
 from barloom.llm.common import table, text_or_empty
 
 
@@ -82,6 +82,21 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.predict(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 OP1_SQL = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
@@ -102,8 +117,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_language_id": op9_language_id,
         "op10_katz": op10_katz,
+        "op11_ranked_search": op11_ranked_search,
+        "op12_turn_repair": op12_turn_repair,
+        "op13_toxicity": op13_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op11_ranked_search": ranked.SQL, "op12_turn_repair": turn_repair.ORACLE}
