@@ -2,7 +2,7 @@
 
 Two strings are alike by the triples of characters they share, in order, with others between them or not: a triple
 counts less the longer the stretch it takes, so letters put between others lower the likeness but don't end it. The
-strings are the words of a sentence, and its runs of words of one or two characters taken together (``i d i o t``).
+strings are the words of a sentence, and its runs of single characters taken together (``i d i o t``).
 The machine works in the Nyström coordinates of landmarks chosen among the words of the sample.
 
 Labels belong to texts, not to sentences: in turn the machine tells which strings of toxic texts are toxic, at least
@@ -33,8 +33,10 @@ APART = 4
 LANDMARKS, ROUNDS, COST = 256, 4, 10.0
 #: Strings of clean texts that are fitted on at once; all that the machine takes for toxic ones come in every round.
 CLEAN = 20_000
+#: The chance allowed for a string to be in toxic texts alone without being toxic, for it to be taken for toxic at first.
+CHANCE = 0.01
 #: What a character more takes of a triple's weight, and the longest stretch of a triple.
-DECAY, SPAN = 0.75, 7
+DECAY, SPAN = 0.85, 9
 #: Characters of a string; a longer word is several that overlap by half.
 LONGEST = 24
 #: Score from which a text is toxic.
@@ -42,7 +44,7 @@ TOXIC = 0.7
 REMEMBERED = 1 << 19
 _FIRST, _LAST = 62, 63
 _EDGE = "".join(chr(i) for i in range(128) if not chr(i).isalnum())
-_RUN = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2}){2,}(?!\S)")
+_RUN = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 
 
 def _code(ch: str) -> int:
@@ -72,7 +74,7 @@ def pieces(word: str) -> list[str]:
 
 
 def strings_of(text: str) -> set[str]:
-    """The distinct words of a text, in lower case as they stand, and its runs of very short words."""
+    """The distinct words of a text, in lower case as they stand, and its runs of single characters."""
     text = text.lower()
     return set(text.split()).union(" ".join(m.split()) for m in _RUN.findall(text))
 
@@ -84,7 +86,7 @@ def _places(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places and weights of the triples of a string of ``n`` characters."""
     if n not in _triples:
         at = [(i, j, k) for i in range(n) for j in range(i + 1, min(n, i + SPAN)) for k in range(j + 1, min(n, i + SPAN))]
-        i, j, k = (np.array(x, dtype=np.int64) for x in zip(*at))
+        i, j, k = np.array(at, dtype=np.int64).reshape(-1, 3).T
         _triples[n] = i, j, k, (DECAY ** (k - i + 1)).astype(np.float32)
     return _triples[n]
 
@@ -155,20 +157,22 @@ class _Landmarks:
         return (self.rows @ (self.project @ w))[self.column].astype(np.float32)
 
 
-def separate(x: np.ndarray, y: np.ndarray, cost: float = COST) -> tuple[np.ndarray, float]:
-    """Weights and bias of the linear machine with squared hinge loss, by Newton's steps on the rows within the margin."""
+def separate(x: np.ndarray, y: np.ndarray, times: np.ndarray, cost: float = COST) -> tuple[np.ndarray, float]:
+    """Weights and bias of the linear machine with squared hinge loss, by Newton's steps on the rows within the margin;
+    ``times`` is how often each row counts."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w = np.zeros(x.shape[1])
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-3
 
     def loss(v: np.ndarray) -> float:
-        return v @ ridge @ v / 2 + cost * (np.maximum(1 - y * (x @ v), 0) ** 2).sum()
+        return v @ ridge @ v / 2 + cost * (times * np.maximum(1 - y * (x @ v), 0) ** 2).sum()
 
     for _ in range(40):
         inside = y * (x @ w) < 1
         a = x[inside]
-        step = np.linalg.solve(ridge + 2 * cost * a.T @ a, 2 * cost * a.T @ y[inside]) - w
+        pull = 2 * cost * (a * times[inside, None]).T
+        step = np.linalg.solve(ridge + pull @ a, pull @ y[inside]) - w
         size = 1.0
         while size > 1e-3 and loss(w + size * step) > loss(w):
             size /= 2
@@ -215,35 +219,58 @@ def hash_of(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"))
 
 
+def evidence(n1: int, n0: int, share: float) -> float:
+    """How unlikely it is that a string which is in ``n1`` toxic and ``n0`` clean texts is so by chance: a bound of the
+    logarithm, 0 where clean texts have it more often."""
+    p = n1 / (n1 + n0)
+    if p <= share:
+        return 0.0
+    return (n1 + n0) * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if n0 else 0.0))
+
+
 def fit(texts: list[tuple[str, bool]]) -> Machine:
     """The machine of texts and their labels; of one label alone, or none, a constant score by its share."""
     docs = [d for d in _different(sorted(texts)) if d[0]]
     own = [d for n, d in enumerate(docs) if n % APART]
     apart = docs[::APART]
+    n1 = sum(t for _, t in docs)
+    share_alone = Machine(None, 0.0, 0.0, -math.log((n1 + 1) / (len(docs) - n1 + 1)))
     toxic, clean = [s for s, t in own if t], [s for s, t in own if not t]
     if not toxic or not clean or len({t for _, t in apart}) < 2:
-        n1 = sum(t for _, t in docs)
-        return Machine(None, 0.0, 0.0, -math.log((n1 + 1) / (len(docs) - n1 + 1)))
+        return share_alone
     in_toxic, in_clean = (Counter(s for doc in part for s in doc) for part in (toxic, clean))
-    contrast = {s: math.log((n + 0.5) / (len(toxic) + 1)) - math.log((in_clean[s] + 0.5) / (len(clean) + 1)) for s, n in in_toxic.items()}
+    share = len(toxic) / len(own)
+    strength = {s: evidence(n, in_clean[s], share) for s, n in in_toxic.items()}
     by_hash = sorted(in_clean, key=hash_of)
-    most = sorted(contrast, key=lambda s: (-contrast[s] * math.log1p(in_toxic[s]), s))[: LANDMARKS // 2]
+    most = sorted(strength, key=lambda s: (-strength[s], s))[: LANDMARKS // 2]
     landmarks = _Landmarks(list(dict.fromkeys(most + by_hash))[:LANDMARKS])
-    bags = [sorted(s) for s in toxic]
-    # A toxic text's own words that clean texts have are none of its toxic ones.
-    numbers = {s: n for n, s in enumerate(sorted({s for bag in bags for s in bag if not in_clean[s]} | {max(bag, key=lambda s: (contrast[s], s)) for bag in bags}))}
+    # Strings that stand for their text: those that toxic texts have more often, by more than half of what is possible.
+    numbers = {s: n for n, s in enumerate(sorted(s for s in strength if 2 * in_toxic[s] > (1 + share) * (in_toxic[s] + in_clean[s])))}
+    if not numbers:
+        return share_alone
     bags_x = landmarks(list(numbers))
-    places = [np.array([numbers[s] for s in bag if s in numbers]) for bag in bags]
-    told = np.array([contrast[s] * math.log1p(in_toxic[s]) for s in numbers])
-    picked = sorted({int(p[np.argmax(told[p])]) for p in places})
-    hard: dict[str, None] = dict.fromkeys(by_hash[:CLEAN])
+    places = [p for bag in toxic if len(p := np.array([numbers[s] for s in sorted(bag) if s in numbers], dtype=np.int64))]
+    told = np.array([strength[s] for s in numbers])
+    enough = math.log(len(in_toxic) / CHANCE)
+    sure, fair = told >= min(enough, told.max()), told >= min(enough / 2, told.max())
+
+    def stand(yes: np.ndarray, rank: np.ndarray) -> Counter:
+        """How many texts each string stands for: all that are told toxic, or else the first by rank with fair evidence."""
+        return Counter(int(n) for p in places for n in (p[yes[p]] if yes[p].any() else p[[np.argmax(rank[p])]]) if yes[n] or fair[n])
+
+    picked = stand(sure, told)
+    hard = dict.fromkeys(by_hash[:CLEAN])
+    clean_x = landmarks(list(hard))
     for _ in range(ROUNDS):
-        clean_x = landmarks(list(hard))
-        w, bias = separate(np.concatenate([bags_x[picked], clean_x]).astype(float), np.concatenate([np.ones(len(picked)), -np.ones(len(clean_x))]))
+        signs = np.concatenate([np.ones(len(picked)), -np.ones(len(clean_x))])
+        times = np.concatenate([list(picked.values()), np.ones(len(clean_x))])
+        w, bias = separate(np.concatenate([bags_x[list(picked)], clean_x]).astype(float), signs, times)
         decisions = bags_x @ w + bias
-        picked = sorted({int(n) for p in places for n in (p[decisions[p] > 0] if (decisions[p] > 0).any() else p[[np.argmax(decisions[p])]])})
+        picked = stand(decisions > 0, np.where(fair, decisions, -np.inf))
         machine = Machine(landmarks.table(w), bias, -1.0, 0.0)
-        hard |= dict.fromkeys(s for s, d in zip(by_hash, machine.decide(by_hash)) if d > -1)
+        new = dict.fromkeys(s for s, d in zip(by_hash, machine.decide(by_hash)) if d > -1 and s not in hard)
+        clean_x = np.concatenate([clean_x, landmarks(list(new))])
+        hard |= new
     scores = np.array([machine.decide(sorted(s)).max() for s, _ in apart])
     slope, offset = curve(scores, np.array([t for _, t in apart]))
     return Machine(machine.table, bias, min(slope, -1e-3), offset)

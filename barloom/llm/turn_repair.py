@@ -42,7 +42,8 @@ SPACE = " \t\n\x0b\x0c\r"
 class Repair:
     """One conversation's states; rows come in order, and edits are told as soon as all states share them."""
 
-    def __init__(self):
+    def __init__(self, settle: int = SETTLE):
+        self.settle = settle
         #: By state: cost and the edits not yet told, as a string.
         self.states: dict[int, tuple[int, str]] = {NOTHING: (0, "")}
         self.waiting: list[tuple[str, str]] = []  # rows that the strings' letters but I belong to
@@ -75,7 +76,10 @@ class Repair:
         self._close()
         self.waiting.append((role, text))
         self.rows += 1
-        if self.rows % SETTLE == 0:
+        if self.rows % self.settle == 0:
+            # What can follow the first two states can follow the last one, for a system's turn deleted at most.
+            last = self.states[ASSISTANT][0]
+            self.states = {s: p for s, p in self.states.items() if s in (USER, ASSISTANT) or p[0] <= last + (DELETE if s == NOTHING else 0)}
             least, most = min(a for _, a in self.states.values()), max(a for _, a in self.states.values())
             shared = next((i for i, (x, y) in enumerate(zip(least, most)) if x != y), min(len(least), len(most)))
             if shared:
