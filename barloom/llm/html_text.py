@@ -73,16 +73,47 @@ NAMED, HINTED, OUTSIDE, LEAST = 0.05, 0.15, 0.25, 0.08
 #: Weights of the smoothing over neighbouring blocks.
 KERNEL = np.exp(-0.5 * (np.arange(-2, 3) / 1.0) ** 2)
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">])*+|[^>]*)>""",
-    re.DOTALL,
-)
+_OPEN = re.compile(r"<!--|<!\[CDATA\[|<[!?]|</?[A-Za-z]")
+#: Ends of comments, sections and declarations; where there is none they go on to the end of the page.
+_ENDS = {"<!--": "-->", "<![CDATA[": "]]>", "<!": ">", "<?": ">"}
+_TAG = re.compile(r"""<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">])*+)>""")
+#: A tag whose quotes don't close: it ends at the next ``>``.
+_LOOSE = re.compile(r"<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>[^>]*)>")
+#: Characters that are read in vain for closing quotes, in all: so many, and so many times the page.
+VAIN, VAIN_TIMES = 1_000_000, 4
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _LABEL = re.compile(r"""\b(?:class|id)\s*=\s*["']?\s*([^\s"'>/]+)""", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in RAW}
 
 
+class Markup:
+    """The mark-up of a page, piece after piece, in time linear in the page's length."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">") + 1  # no tag begins behind the last that could end one
+        self.vain = VAIN + VAIN_TIMES * len(page)
+
+    def next(self, at: int) -> tuple[int, int, re.Match | None, str | None] | None:
+        """Begin and end of the next piece from ``at`` on, and its match if it is a tag or its text if it is a CDATA section."""
+        page = self.page
+        while m := _OPEN.search(page, at):
+            start, what = m.start(), m[0]
+            if what in _ENDS:
+                end = page.find(_ENDS[what], m.end())
+                stop = len(page) if end < 0 else end + len(_ENDS[what])
+                return start, stop, None, page[m.end() : len(page) if end < 0 else end] if what == "<![CDATA[" else None
+            if start < self.last:
+                tag = _TAG.match(page, start) if self.vain > 0 else None
+                if tag is None:
+                    self.vain -= len(page) - start
+                    tag = _LOOSE.match(page, start)
+                return start, tag.end(), tag, None
+            at = m.end()
+        return None
+
+
 class Paths:
     """Paths as numbers, each with its last tag, its parent and whether it goes through an article."""
 
@@ -205,19 +236,19 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], Paths, list[Piece]]:
     def text(raw: str) -> None:
         parts.append(html.unescape(raw) if "&" in raw else raw)
 
-    at, n = 0, len(page)
+    at, n, markup = 0, len(page), Markup(page)
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        found = markup.next(at)
+        if found is None:
             text(page[at:])
             break
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        if m["cdata"] is not None:
-            parts.append(m["cdata"])
-            continue
-        if m["name"] is None:
+        start, end, m, cdata = found
+        if start > at:
+            text(page[at:start])
+        at = end
+        if cdata is not None:
+            parts.append(cdata)
+        if m is None:
             continue
         name, attrs = m["name"].lower(), m["attrs"] or ""
         star = f"{name}*"

@@ -1,5 +1,6 @@
 """Main text of generated page templates against the known article."""
 
+import time
 import itertools
 import random
 
@@ -89,3 +90,26 @@ def test_table(spark):
     assert got.columns == ["page_id", "url", "text"]
     assert sorted((r.page_id or 0, len(r.text)) for r in got.collect()) == [(0, 0), (1, 4), (1, 4), (2, 0), (3, 50_000 * 19 - 1)]
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a" * 500_000, "<" + "x" * 1_000_000, '<a "' * 250_000, "<a '>" * 200_000, '<a">"' * 200_000, "<!--" * 250_000, "<![CDATA[" * 110_000, "</" * 500_000, "<a =" * 250_000 + ">", "<b class='" * 100_000],
+    ids=["tags", "name", "quotes", "closed", "pairs", "comments", "sections", "slashes", "marks", "classes"],
+)
+def test_hostile_pages_end(page):
+    """A megabyte of mark-up that never closes takes time in proportion to its length."""
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 8
+
+
+def test_markup_that_does_not_close():
+    def body(page):
+        return html_text.main_text(f"<article><p>{'word ' * 30}.</p>{page}")
+
+    plain = html_text.main_text(f"<article><p>{'word ' * 30}.</p></article>")
+    assert body("<!-- never > closed") == plain and body("<!-- a --><!x y></article>") == plain
+    assert body('<p title="a>b">more words, and more.</p></article>') == plain + "\nmore words, and more."
+    assert body('<p title="a>more words, and more.</p></article>') == plain + "\nmore words, and more."
+    assert body("<p>3 < 4, and a <b").endswith("3 < 4, and a <b")
