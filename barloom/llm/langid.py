@@ -13,6 +13,7 @@ import random
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ WORDS_AT_ONCE = 400_000
 #: Characters of a position; a longer word is several.
 LONGEST = 40
 REMEMBERED = 1 << 19
+#: Numbers of a worker's table of three characters.
+TABLE = 4_000_000
 #: Texts below this share of their language are rejected.
 LEAST_SCORE = 0.5
 _EDGE = "".join(chr(i) for i in range(128) if not chr(i).isalpha())
@@ -89,11 +92,61 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Crf | None:
     return crf
 
 
+class Emissions:
+    """Emissions of words by a fitted channel. N-grams of the characters that its features know best are looked up in
+    tables, for all words of a length at once; words with other characters go the plain way."""
+
+    def __init__(self, channel: Channel):
+        self.channel = channel
+        index, weights = channel.index, channel.weights
+        s = max(1, channel.labels)
+        counts = Counter(c for f in index if len(f) <= 3 for c in f)
+        most = int((TABLE / s) ** (1 / 3)) - 1
+        chars = sorted(counts, key=lambda c: (-counts[c], c))[: min(most, 254)]
+        self.size = size = len(chars) + 1
+        self.code = np.zeros(0x110000, dtype=np.uint8)  # 0: a character without a number
+        numbers = {c: n for n, c in enumerate(chars, 1)}
+        for c, n in numbers.items():
+            self.code[ord(c)] = n
+        self.tables = [np.zeros((size**n, s)) for n in (1, 2, 3)]
+        for f, i in index.items():
+            if len(f) <= 3 and all(c in numbers for c in f):
+                at = 0
+                for c in f:
+                    at = at * size + numbers[c]
+                self.tables[len(f) - 1][at] = weights[i]
+        self.weights = np.concatenate([weights, np.zeros((1, weights.shape[1]))])  # the last row: features that the fit doesn't know
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), self.channel.labels))
+        by_length: dict[int, list[int]] = {}
+        for n, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(n)
+        slow: list[int] = []
+        one, two, three = self.tables
+        get, size, none = self.channel.index.get, self.size, len(self.weights) - 1
+        for length, numbers in by_length.items():
+            for start in range(0, len(numbers), 8192):
+                part = np.array(numbers[start : start + 8192])
+                marked = [f"^{words[n]}$" for n in part.tolist()]
+                codes = self.code[np.frombuffer("".join(marked).encode("utf-32-le"), dtype="<u4")].reshape(len(part), length + 2).astype(np.int64)
+                pairs = codes[:, :-1] * size + codes[:, 1:]
+                e = one[codes[:, 1:-1]].sum(1) + two[pairs].sum(1) + three[pairs[:, :-1] * size + codes[:, 2:]].sum(1)
+                for some in (marked, [w[:5] for w in marked], [w[-5:] for w in marked]):
+                    e += self.weights[np.fromiter(map(get, some, repeat(none)), dtype=np.int64, count=len(some))]
+                out[part] = e
+                slow += part[(codes == 0).any(1)].tolist()
+        if slow:
+            out[slow] = self.channel.emissions([words[n] for n in slow])
+        return out
+
+
 class Predictor:
     """Predicts texts with a fitted model; remembers the emissions of words."""
 
     def __init__(self, crf: Crf):
         self.crf = crf
+        self.emissions = Emissions(crf.channels[0])
         self.forget(set())
 
     def forget(self, but: set[str]) -> None:
@@ -114,7 +167,7 @@ class Predictor:
         rows = {c: i for i, c in enumerate(lettered, len(self.table))} | {"": -1}
         self.number |= {w: rows[c] for w, c in cores.items()}
         if lettered:
-            self.table = np.concatenate([self.table, self.crf.channels[0].emissions(lettered)])
+            self.table = np.concatenate([self.table, self.emissions(lettered)])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)

@@ -1,5 +1,6 @@
 """Language ID sees all of a text that has no spaces."""
 
+import numpy as np
 import random
 
 from barloom.llm import langid
@@ -24,3 +25,12 @@ def test_positions_are_bounded_and_lose_nothing():
     words = langid.words_of(text)
     assert max(map(len, words)) <= langid.LONGEST and "".join(words) == text.replace(" ", "")
     assert langid.words_of("a bc  d") == ["a", "bc", "d"]
+
+
+def test_tables_give_the_channel_s_emissions():
+    """Looked up for many words at once, also where a word has characters that the fit doesn't know."""
+    rng = random.Random(3)
+    texts = [(" ".join("".join(rng.choices(letters, k=rng.randrange(1, 9))) for _ in range(200)), lang) for lang, letters in (("a", "abcdeéß"), ("b", "abfghñ")) for _ in range(30)]
+    crf = langid.fit(texts)
+    words = sorted({w for t, _ in texts for w in t.split()}) + ["日本語", "a", "x^y", "a$b", "ß", "😀b", "zzzz", "ab日"]
+    assert np.allclose(langid.Emissions(crf.channels[0])(words), crf.channels[0].emissions(words))
