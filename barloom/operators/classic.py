@@ -392,23 +392,26 @@ class Feature:
             return True
         return False
 
+    def turns(self, i: int) -> Iterator[Line]:
+        """The counter lines from ``i`` on at which a turn is seen, each read from the second line of the one before."""
+        while (line := self.lines.get(i)) is not None:
+            seen = self.add(line)
+            while seen:
+                yield line
+                seen = self.again()
+            i += 2
+
     def ends(self) -> bool | None:
-        """Whether the turn ends the segment; None if lines ran out before that is told. A turn over a gap needs the turn back."""
+        """Whether the turn ends the segment: at once without a gap between its first two elements, else by the first turn
+        back that ends itself. None if lines run out before that is told."""
         if not self.gap:
             return True
-        i = self.two.peak() + 2
-        first = self.lines.get(i)
-        back = Feature(-first.dir, self.lines)
-        while (line := self.lines.get(i)) is not None:
-            found = back.add(line)
-            while found:
-                told = back.ends()
-                if told is not False:
-                    self.evidence = line
-                    return told
-                found = back.again()
-            i += 2
-        return None
+        start = self.two.peak() + 2
+        back = Feature(-self.lines.get(start).dir, self.lines)
+        told = ((line, back.ends()) for line in back.turns(start))
+        line, answer = next(((line, answer) for line, answer in told if answer is not False), (self.evidence, None))
+        self.evidence = line
+        return answer
 
     def sure(self) -> bool:
         return self.evidence.is_sure and all(x.is_sure for x in self.seen)
@@ -423,15 +426,15 @@ class Segments:
         self.count, self.last = 0, None  # last: direction, end line
 
     def _peak(self, lines: Iterator[Line], high: bool) -> Line | None:
-        best = None
-        for line in lines:
-            if (line.dir > 0) != high:
-                continue
-            sign = 1 if high else -1
+        """The line up (or down) that ends furthest, the later read of equal ones; one that the line two before outdoes is none."""
+        sign = 1 if high else -1
+
+        def stands(line: Line) -> bool:
             before = self.lines.get(line.idx - 2) if line.idx >= 2 else None
-            if (best is None or sign * line.end_price >= sign * best.end_price) and not (before and sign * before.end_price > sign * line.end_price):
-                best = line
-        return best
+            return line.dir == sign and (before is None or sign * before.end_price <= sign * line.end_price)
+
+        ranked = ((sign * line.end_price, n, line) for n, line in enumerate(lines) if stands(line))
+        return max(ranked, default=(0, 0, None), key=lambda r: r[:2])[2]
 
     def add(self, end: int, sure: bool, way: int = 0, split: bool = True, reason: str = "normal") -> bool:
         get = self.lines.get
@@ -448,31 +451,38 @@ class Segments:
         if sure and way * (last.end_price - first.begin_price) < 0:
             if self.last is None:
                 return False
-            raise ValueError(f"segment {self.count} ends on the wrong side of its begin")
+            sure, reason = False, "wrong_side"  # told as it is, so that one symbol's odd lines end no query
         self.made.append((self.count, way, start, end, first.begin_price, last.end_price, first.begin_x, last.end_x, sure, reason))
         self.count, self.last = self.count + 1, (way, last)
         return True
 
     def _turn(self, begin: int) -> Feature | None:
-        up, down = Feature(1, self.lines), Feature(-1, self.lines)
-        way = self.last[0] if self.last else 0
+        """The first turn from line ``begin`` on.
+
+        ==================  =========================  ====================
+        looked for          the counter lines read     looked for from then
+        ==================  =========================  ====================
+        one way, told       any                        that way
+        both ways           two elements of a way      that way, tentatively
+        one way, tentative  two elements still         that way, tentatively
+        one way, tentative  back to one element        both ways
+        ==================  =========================  ====================
+
+        A way is told by the segment before; the first segment has none, and its direction isn't told by the first turn alone.
+        """
+        both = {way: Feature(way, self.lines) for way in (1, -1)}
+        told = {-self.last[0]} if self.last else set()
+        wanted = told or set(both)
         for line in self.lines.since(begin):
-            found = None
-            if line.dir < 0 and way <= 0 and up.add(line):
-                found = up
-            elif line.dir > 0 and way >= 0 and down.add(line):
-                found = down
-            if self.last is None:  # the first segment's direction isn't told by the first turn alone
-                if up.two and line.dir < 0:
-                    way = -1
-                    down.clear()
-                elif down.two and line.dir > 0:
-                    way = 1
-                    up.clear()
-                if not up.two and way < 0 and line.dir < 0 or not down.two and way > 0 and line.dir > 0:
-                    way = 0
-            if found:
-                return found
+            way = -line.dir
+            if way not in wanted:
+                continue
+            if both[way].add(line):
+                return both[way]
+            if not told:
+                wanted = {way} if both[way].two else set(both)
+                for other in set(both) - wanted:
+                    both[other].clear()
         return None
 
     def run(self) -> Iterator[tuple]:
@@ -505,32 +515,20 @@ class Segments:
                 self.add(peak.idx, False, 1 if high else -1, False, "0seg_find_high" if high else "0seg_find_low")
                 self._rest(lines[-1])
             return
-        while True:
-            way, end = self.last[0], self.last[1]
-            last = end
-            for last in self.lines.since(end.idx + 1):
-                pass
-            if last.idx - end.idx < 3:
-                return
-            down = end.dir < 0
-            if last.end_price <= end.end_price if down else last.end_price >= end.end_price:
-                peak = self._peak(self.lines.since(end.idx + 3), down)
-                if not peak:
-                    return
-                self.add(peak.idx, False, 1 if down else -1, reason="collectleft_find_high_force" if down else "collectleft_find_low_force")
-                continue
-            if not self.by_peak:
-                self._rest(last)
+        tail = deque(self.lines.since(self.last[1].idx), maxlen=1)[0]
+        forced = True  # lines that go on beyond the last segment are cut at a peak first; from the first free peak on no more
+        while not forced or tail.idx - self.last[1].idx >= 3:
+            end = self.last[1]
+            beyond = forced and end.dir * (tail.end_price - end.end_price) >= 0
+            high = end.dir < 0
+            peak = self._peak(self.lines.since(end.idx + 3), high) if beyond or self.by_peak else None
+            if peak:
+                self.add(peak.idx, False, 1 if high else -1, reason=f"collectleft_find_{'high' if high else 'low'}{'_force' if beyond else ''}")
+                forced = beyond
+            else:
+                if not beyond:
+                    self._rest(tail)
                 return
-            while True:
-                end = self.last[1]
-                down = end.dir < 0
-                peak = self._peak(self.lines.since(end.idx + 3), down)
-                if not peak:
-                    break
-                self.add(peak.idx, False, 1 if down else -1, reason="collectleft_find_high" if down else "collectleft_find_low")
-            self._rest(last)
-            return
 
     def _rest(self, last: Line) -> None:
         end = self.last[1]

@@ -1,9 +1,14 @@
-"""Counts of closes beyond earlier ones: runs of nine (setups) and the countdowns to thirteen that follow them."""
+"""Counts of closes beyond earlier ones: runs of nine (setups) and the countdowns to thirteen that follow them.
+
+A run is of consecutive bars, so a symbol has one live run at most, and one countdown: a run that reaches nine takes the
+place of whatever was counted before. The state is those two counters and the last bars.
+"""
 
 from __future__ import annotations
 
 from collections import deque
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
@@ -28,94 +33,71 @@ class Demark:
     breaks: bool = True
 
 
-class _Series:
-    """One setup and its countdown; prices are times ``dir``, so that both ways read as one."""
-
-    def __init__(self, way: int, recent: list[tuple], before: tuple):
-        self.way, self.recent, self.before = way, recent, before
-        self.bars: list[tuple] = []
-        self.over, self.n, self.counting, self.counted, self.count, self.peak = False, 0, False, False, 0, 0.0
-        self.window: deque = deque(recent, maxlen=64)
-
-    def update(self, bar: tuple, rules: Demark) -> list[tuple]:
-        x, close, high, low = bar
-        marks: list[tuple] = []
-        self.window.append(bar)
-        if not self.over:
-            earlier = self.window[-1 - rules.back][1]
-            if self.way * (close - earlier) > 0:
-                self.n += 1
-                self.bars.append(bar)
-                marks.append((x, "setup", self.way, self.n))
-            else:
-                self.over = True
-        if self.n == rules.run and not self.over and not self.counted and self._perfect(rules):
-            marks.append((x, "complete", self.way, rules.run))
-            self.counting, self.counted, self.peak = True, True, self._peak(rules)
-        if self.counting:
-            if self.count == rules.countdown or (high > self.peak if self.way < 0 else low < self.peak):
-                self.counting, self.over = False, True
-            else:
-                ref = self.window[-1 - rules.countdown_back]
-                if rules.strict:
-                    hit = close <= ref[3] if self.way < 0 else close >= ref[2]
-                else:
-                    hit = self.way * (close - ref[1]) > 0
-                if hit:
-                    self.count += 1
-                    marks.append((x, "countdown", self.way, self.count))
-                    if self.count == rules.countdown:
-                        marks.append((x, "complete", self.way, self.count))
-        return marks
-
-    def _perfect(self, rules: Demark) -> bool:
-        if not rules.perfect:
-            return True
-        highs, lows = [b[2] for b in self.bars], [b[3] for b in self.bars]
-        return min(lows[7:9]) < min(lows[5:7]) if self.way < 0 else max(highs[7:9]) > max(highs[5:7])
+class _Bar(NamedTuple):
+    """A bar as one direction sees it: ``far`` is its extreme that way, ``near`` the other one; rising is better in all."""
 
-    def _peak(self, rules: Demark) -> float:
-        first, before = self.bars[0], self.before[1]
-        if self.way < 0:
-            peak = max(b[2] for b in self.bars)
-            return max(peak, before) if rules.gap and first[2] < before else peak
-        peak = min(b[3] for b in self.bars)
-        return min(peak, before) if rules.gap and first[3] > before else peak
+    close: float
+    far: float
+    near: float
 
 
 class Demarks:
-    """Live series of both directions; a setup that is complete ends all others."""
+    """The counters of one symbol. Prices are turned round for falling runs, so that both directions read as one."""
 
     def __init__(self, rules: Demark):
-        self.rules, self.series = rules, []
-        self.recent: deque = deque(maxlen=rules.back + 2)
+        self.rules = rules
+        self.way, self.n = 0, 0  # the live run
+        self.counted, self.count, self.peak, self.own = 0, 0, 0.0, False  # the countdown: direction, count, edge, is the live run its own
+        self.bars: deque = deque(maxlen=max(rules.run + rules.back + 1, rules.countdown_back + 1))
+
+    def _seen(self, way: int, back: int = 0) -> _Bar:
+        close, high, low = self.bars[-1 - back]
+        return _Bar(close, high, low) if way > 0 else _Bar(-close, -low, -high)
 
-    def _tidy(self) -> None:
-        self.series = [s for s in self.series if not (s.over and not s.counting)]
+    def _perfect(self, way: int) -> bool:
+        far = [self._seen(way, back).far for back in range(4)]
+        return not self.rules.perfect or max(far[:2]) > max(far[2:])
+
+    def _edge(self, way: int) -> float:
+        """The worst price of the run, or of the close before it if it began behind a gap."""
+        edge = min(self._seen(way, back).near for back in range(self.rules.run))
+        before, first = self._seen(way, self.rules.run + self.rules.back).close, self._seen(way, self.rules.run - 1)
+        return min(edge, before) if self.rules.gap and first.near > before else edge
 
     def add(self, x, close, high, low) -> list[tuple]:
-        rules, bar = self.rules, (x, close, high, low)
-        self.recent.append(bar)
-        if len(self.recent) < rules.back + 2:
+        rules, marks = self.rules, []
+        self.bars.append((close, high, low))
+        if len(self.bars) < rules.back + 2:
+            return marks
+        change = close - self.bars[-1 - rules.back][0]
+        way = (change > 0) - (change < 0)
+        self.own = self.own and way == self.counted
+        self.way, self.n = way, self.n + 1 if way and way == self.way else abs(way)
+        if way:
+            marks.append((x, "setup", way, self.n))
+        whole = self.n == rules.run
+        if whole or rules.breaks and way == -self.counted:
+            self.counted = 0
+        if whole and self._perfect(way):
+            marks.append((x, "complete", way, rules.run))
+            self.counted, self.count, self.peak, self.own = way, 0, self._edge(way), True
+        if self.counted:
+            marks += self._countdown(x)
+        return marks
+
+    def _countdown(self, x: int) -> list[tuple]:
+        rules, way = self.rules, self.counted
+        bar, earlier = self._seen(way), self._seen(way, rules.countdown_back)
+        if self.count == rules.countdown or bar.near < self.peak:
+            self.counted = 0
+            if self.own:
+                self.n = 0
+            return []
+        if not (bar.close >= earlier.far if rules.strict else bar.close > earlier.close):
             return []
-        change = close - self.recent[1][1]
-        if change:
-            way = 1 if change > 0 else -1
-            if not any(s.way == way and not s.over for s in self.series):
-                self.series.append(_Series(way, list(self.recent)[1:-1], self.recent[0]))
-            for s in self.series:
-                if s.way != way:
-                    s.over = s.over or not s.counting
-                    if rules.breaks and s.counting:
-                        s.counting, s.over = False, True
-        self._tidy()
-        told = [(s, s.update(bar, rules)) for s in self.series]
-        whole = [s for s, marks in told if any(m[1:] == ("setup", s.way, rules.run) for m in marks)]
-        if whole:
-            told = [(s, m) for s, m in told if s is whole[-1]]
-            self.series = whole[-1:]
-        self._tidy()
-        return [m for _, marks in told for m in marks]
+        self.count += 1
+        told = [(x, "countdown", way, self.count)]
+        return told + [(x, "complete", way, self.count)] * (self.count == rules.countdown)
 
     def end(self) -> list[tuple]:
         return []

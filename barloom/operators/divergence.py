@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LEAST = 1e-7
+TYPES = ("1", "1p", "2", "2s", "3a", "3b")
 METRICS = ("area", "peak", "full_area", "diff", "slope", "amp", "volume", "amount", "volume_avg", "amount_avg", "rsi")
 
 
@@ -49,7 +50,11 @@ def strengths(strokes: DataFrame, bars: DataFrame) -> DataFrame:
 class PointRules:
     """``rate``: the most that a line out may have of the strength of the line in (over 100: any); ``least_pivots`` in a segment,
     of several lines only with ``several``; ``peak``: the line out must go furthest; ``retrace``: the most of the line before a
-    second-class point that it may take back; ``follow``: only behind a point of the first class."""
+    second-class point that it may take back; ``follow``: only behind a point of the first class.
+
+    ``follow_2s``: points like the second ones only behind one; ``most_2s``: how many at most; ``follow_3``: third-class
+    points only behind another point; ``strict_3``: only at the pivots next to the segment's end; ``peak_3``: only if they
+    reach the pivot's furthest price; ``pivots_3a``: how many pivots are looked at; ``buys`` and ``sells``: the types wanted."""
 
     metric: str = "peak"
     rate: float = float("inf")
@@ -58,6 +63,14 @@ class PointRules:
     peak: bool = True
     retrace: float = 0.9999
     follow: bool = True
+    follow_2s: bool = False
+    most_2s: int | None = None
+    follow_3: bool = True
+    strict_3: bool = False
+    peak_3: bool = False
+    pivots_3a: int = 1
+    buys: tuple[str, ...] = TYPES
+    sells: tuple[str, ...] = TYPES
 
 
 def _strength(lines: DataFrame, metric: str, out: bool, name: str, key: str) -> DataFrame:
@@ -69,13 +82,16 @@ def _strength(lines: DataFrame, metric: str, out: bool, name: str, key: str) ->
     )
 
 
-def exits(pivots: DataFrame, lines: DataFrame, metric: str = "peak", rate: float = float("inf"), out_line: str = "out_line") -> DataFrame:
-    """``pivots`` (with ``in_line`` and ``out_line``) and whether the line out leaves their range (``breaks``), its strength against
+def exits(pivots: DataFrame, lines: DataFrame, metric: str = "peak", rate: float = float("inf"), out_line: str = "out_line", until: str | None = None) -> DataFrame:
+    """With ``until``, lines of the pivot beyond that one don't count for the peak.
+
+    ``pivots`` (with ``in_line`` and ``out_line``) and whether the line out leaves their range (``breaks``), its strength against
     that of the line in (``ratio``), whether it ``diverges``, whether it goes furthest (``is_peak``) and how near the nearest inner end comes (``nearest``)."""
     rows = pivots.join(_strength(lines, metric, False, "in", "in_line"), ["symbol", "in_line"])
     rows = rows.join(_strength(lines, metric, True, "out", out_line), ["symbol", out_line])
     inner = lines.select("symbol", F.col("idx").alias("line"), F.greatest("begin_price", "end_price").alias("h"), F.least("begin_price", "end_price").alias("l"), F.col("end_price").alias("e"))
-    held = rows.select("symbol", "seq", "out_dir", "out_high", "out_low", "out_end", F.explode(F.sequence("begin_line", "end_line")).alias("line")).join(inner, ["symbol", "line"])
+    last = F.least("end_line", F.greatest("begin_line", until)) if until else F.col("end_line")
+    held = rows.select("symbol", "seq", "out_dir", "out_high", "out_low", "out_end", F.explode(F.sequence(F.col("begin_line"), last)).alias("line")).join(inner, ["symbol", "line"])
     beyond = F.when(F.col("out_dir") < 0, F.col("l") < F.col("out_low")).otherwise(F.col("h") > F.col("out_high"))
     peaks = held.groupBy("symbol", "seq").agg((~F.bool_or(beyond)).alias("is_peak"), F.min(F.abs(F.col("e") - F.col("out_end")) / F.col("out_end")).alias("nearest"))
     breaks = F.when(F.col("out_dir") < 0, F.col("out_low") < F.col("low")).otherwise(F.col("out_high") > F.col("high"))
@@ -85,13 +101,9 @@ def exits(pivots: DataFrame, lines: DataFrame, metric: str = "peak", rate: float
     return rows.select(*pivots.columns, "breaks", "ratio", "diverges", "is_peak", F.when(F.col("is_peak"), F.col("nearest")).alias("nearest"))
 
 
-def classic_points(lines: DataFrame, segments: DataFrame, pivots: DataFrame, rules: PointRules = PointRules()) -> DataFrame:
-    """Points at the ends of lines: ``symbol``, ``line``, ``type`` (``1``, ``1p``, ``2``), ``is_buy``, ``is_target``, ``ratio``, ``of_line`` (of the first class).
-
-    ``lines`` have their strengths, ``pivots`` their lines in and out and segment. The end of a segment is of class 1 if its last
-    pivot is of several lines and reaches that end, else ``1p`` if it goes beyond the line two before; it is a target if
-    strength diverges. The end of the line after next is of class 2 if it doesn't take too much back.
-    """
+def first_points(lines: DataFrame, segments: DataFrame, pivots: DataFrame, rules: PointRules) -> DataFrame:
+    """Points at the ends of segments: class ``1`` if the last pivot is of several lines and reaches that end, else ``1p`` if it
+    goes beyond the line two before; it is a target if strength diverges."""
     several = F.col("begin_line") < F.col("end_line")
     counts = pivots.where("segment IS NOT NULL").groupBy("symbol", "segment").agg(
         F.count(F.when(several, 1) if rules.several else F.lit(1)).alias("n_pivots"),
@@ -104,7 +116,7 @@ def classic_points(lines: DataFrame, segments: DataFrame, pivots: DataFrame, rul
     rows = rows.withColumns({"trend": trend, "enough": enough})
     with_end = rows.where("trend").select("symbol", "segment", "line", "seg_dir", "enough", "p.*").withColumn("end_out", F.col("line"))
     told = exits(with_end, lines, rules.metric, rules.rate, out_line="end_out")
-    own_peak = exits(with_end.where("out_line IS NOT NULL"), lines, rules.metric).select("symbol", "segment", F.col("is_peak").alias("out_peak"))
+    own_peak = exits(with_end.where("out_line IS NOT NULL"), lines, rules.metric, until="line").select("symbol", "segment", F.col("is_peak").alias("out_peak"))
     told = told.join(own_peak, ["symbol", "segment"], "left")
     fine = F.col("diverges") & F.col("enough") & (F.coalesce("out_peak", F.lit(False)) if rules.peak else F.lit(True))
     first = told.select("symbol", "line", F.lit("1").alias("type"), (F.col("seg_dir") < 0).alias("is_buy"), fine.alias("is_target"), F.when(F.col("breaks"), F.col("ratio")).alias("ratio"), F.lit(None).cast("long").alias("of_line"))
@@ -113,13 +125,134 @@ def classic_points(lines: DataFrame, segments: DataFrame, pivots: DataFrame, rul
     flat = flat.where("out_dir = seg_dir").where(F.when(F.col("out_dir") < 0, F.col("out_low") <= F.col("in_low")).otherwise(F.col("out_high") >= F.col("in_high")))
     passes = F.lit(True) if rules.rate == float("inf") else F.col("out_strength") <= rules.rate * F.col("in_strength")
     second = flat.select("symbol", "line", F.lit("1p"), F.col("out_dir") < 0, passes & F.col("enough"), F.col("out_strength") / (F.col("in_strength") + LEAST), F.lit(None).cast("long"))
-    ones = first.unionAll(second)
-    span = lines.select("symbol", F.col("idx").alias("line"), "dir", F.abs(F.col("end_price") - F.col("begin_price")).alias("span"))
-    after = segments.join(segments.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_segments")), "symbol").where("n_segments > 1")
-    after = after.select("symbol", F.col("end_line").alias("of_line"), (F.col("end_line") + 1).alias("break_line"), (F.col("end_line") + 2).alias("line"))
-    after = after.join(span, ["symbol", "line"]).join(span.select("symbol", F.col("line").alias("break_line"), F.col("span").alias("break_span")), ["symbol", "break_line"])
+    return first.unionAll(second)
+
+
+def _wanted(points: DataFrame, rules: PointRules) -> DataFrame:
+    """Points of the wanted types; those of the first class stay, but as no targets."""
+    wanted = F.when(F.col("is_buy"), F.col("type").isin(*rules.buys)).otherwise(F.col("type").isin(*rules.sells))
+    return points.withColumn("is_target", F.col("is_target") & wanted).where(F.col("is_target") | F.col("type").isin("1", "1p"))
+
+
+def classic_points(lines: DataFrame, segments: DataFrame, pivots: DataFrame, rules: PointRules = PointRules()) -> DataFrame:
+    """Points at the ends of lines: ``symbol``, ``line``, ``type`` (of ``TYPES``), ``is_buy``, ``is_target``, ``ratio``, ``of_line`` (of the first class).
+
+    ``lines`` have their strengths and segments (``seg_idx``), ``pivots`` their lines in and out and segment. Types that
+    a side doesn't want are left out; a point of the first class stays, but is no target then. A line has a row for
+    each type that its end is of.
+    """
+    ones = _wanted(first_points(lines, segments, pivots, rules), rules)
+    twos = _wanted(second_points(lines, segments, ones, rules), rules)
+    stored = ones.where("is_target").unionAll(twos).select("symbol", F.col("line").alias("of_line")).distinct()
+    threes = after_points(lines, segments, pivots, stored, rules).unionAll(before_points(lines, segments, pivots, stored, rules))
+    return ones.unionAll(twos).unionAll(_wanted(threes, rules))
+
+
+def _shaped(lines: DataFrame, prefix: str) -> DataFrame:
+    """Lines by number with their extremes, end and span, under names with ``prefix``."""
+    high, low = F.greatest("begin_price", "end_price"), F.least("begin_price", "end_price")
+    found = {"": F.col("idx"), "_dir": F.col("dir"), "_high": high, "_low": low, "_end": F.col("end_price"), "_span": high - low, "_seg": F.col("seg_idx")}
+    return lines.select("symbol", *(c.alias(f"{prefix}{n}") for n, c in found.items()))
+
+
+def _ends(segments: DataFrame) -> DataFrame:
+    """Segments with the number of their symbol's segments."""
+    size = (F.col("end_line") - F.col("begin_line") + 1).alias("seg_size")
+    rows = segments.select("symbol", F.col("idx").alias("segment"), F.col("dir").alias("seg_dir"), "is_sure", F.col("end_line").alias("of_line"), size)
+    return rows.join(segments.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_segments")), "symbol")
+
+
+def _told(rows: DataFrame, kind: str, line: str, ratio: Column) -> DataFrame:
+    return rows.select("symbol", F.col(line).alias("line"), F.lit(kind).alias("type"), (F.col(f"{line}_dir") < 0).alias("is_buy"), F.lit(True).alias("is_target"), ratio.alias("ratio"), "of_line")
+
+
+def second_points(lines: DataFrame, segments: DataFrame, ones: DataFrame, rules: PointRules) -> DataFrame:
+    """Points ``2``, where the line after next takes back little of the next one, and ``2s``: every second line behind, as long as
+    they overlap the first two of them, don't go past the next line and take back as little.
+
+    The lines looked at are of the point's own segment, or of the last one behind it: a segment's lines at most.
+    """
+    ends = _ends(segments)
+    starts = ends.where("n_segments > 1").select("symbol", "of_line", "n_segments", (F.col("of_line") + 1).alias("turn"), (F.col("of_line") + 2).alias("two"))
     if rules.follow:
-        after = after.join(ones.where("is_target").select("symbol", F.col("line").alias("of_line")), ["symbol", "of_line"], "left_semi")
-    twos = after.where(F.col("span") / F.col("break_span") <= rules.retrace)
-    return ones.unionAll(twos.select("symbol", "line", F.lit("2"), F.col("dir") < 0, F.lit(True), F.col("span") / F.col("break_span"), "of_line"))
+        starts = starts.join(ones.where("is_target").select("symbol", F.col("line").alias("of_line")).distinct(), ["symbol", "of_line"], "left_semi")
+    else:
+        none = F.lit(None).cast("long")
+        starts = starts.unionAll(ends.where("n_segments = 1").select("symbol", none, "n_segments", F.lit(0).cast("long"), F.lit(1).cast("long")))
+    rows = starts.join(_shaped(lines, "turn"), ["symbol", "turn"]).join(_shaped(lines, "two"), ["symbol", "two"])
+    rows = rows.withColumn("rate", F.col("two_span") / F.col("turn_span"))
+    twos = _told(rows.where(F.col("rate") <= rules.retrace), "2", "two", F.col("rate"))
+    sure = ends.select("symbol", F.col("segment").alias("two_seg"), F.col("is_sure").alias("two_sure"))
+    base = (rows.where(F.col("rate") <= rules.retrace) if rules.follow_2s else rows).join(sure, ["symbol", "two_seg"], "left")
+    near = base.withColumn("like_seg", F.explode(F.array(F.col("two_seg"), F.col("two_seg") + 1))).join(_shaped(lines, "like"), ["symbol", "like_seg"])
+    near = near.where("like > two AND (like - two) % 2 = 0").withColumn("level", (F.col("like") - F.col("two")) / 2)
+    chain = W.partitionBy("symbol", "turn")
+    at_first = lambda c: F.max(F.when(F.col("level") == 1, F.col(c))).over(chain)
+    near = near.withColumns({"first_high": at_first("like_high"), "first_low": at_first("like_low")})
+    one = F.col("level") == 1
+    low, high = F.when(one, F.col("two_low")).otherwise(F.greatest("two_low", "first_low")), F.when(one, F.col("two_high")).otherwise(F.least("two_high", "first_high"))
+    past = F.when(F.col("like_dir") < 0, F.col("like_low") < F.col("turn_low")).otherwise(F.col("like_high") > F.col("turn_high"))
+    back = F.abs(F.col("like_end") - F.col("turn_end")) / F.col("turn_span")
+    inside = (F.col("like_seg") == F.col("two_seg")) | ((F.col("like_seg") >= F.col("n_segments") - 1) & ~F.coalesce("two_sure", F.lit(False)))
+    good = inside & (F.col("like_high") > low) & (F.col("like_low") < high) & ~past & (back <= rules.retrace)
+    if rules.most_2s is not None:
+        good &= F.col("level") <= rules.most_2s
+    near = near.withColumns({"back": back, "stop": F.min(F.when(good, None).otherwise(F.col("level"))).over(chain)})
+    return twos.unionAll(_told(near.where("stop IS NULL OR level < stop"), "2s", "like", F.col("back")))
+
+
+def _several(pivots: DataFrame) -> DataFrame:
+    return pivots.where("segment IS NOT NULL AND begin_line < end_line").select("symbol", "segment", "seq", "in_line", "out_line", "low", "high", "peak_low", "peak_high")
+
+
+def _comes_back(line: str) -> Column:
+    return F.when(F.col(f"{line}_dir") < 0, F.col(f"{line}_low") < F.col("high")).otherwise(F.col(f"{line}_high") > F.col("low"))
+
+
+def after_points(lines: DataFrame, segments: DataFrame, pivots: DataFrame, stored: DataFrame, rules: PointRules) -> DataFrame:
+    """Points ``3a``: behind the line out of the next segment's first pivot (or first few), a line that doesn't come back to it."""
+    ends = _ends(segments)
+    many = ends.where("n_segments > 1")
+    if rules.follow_3:
+        many = many.join(stored, ["symbol", "of_line"], "left_semi")
+    nexts = many.select("symbol", "of_line", "n_segments", (F.col("segment") + 1).alias("segment"))
+    if not rules.follow_3:
+        nexts = nexts.unionAll(ends.where("n_segments = 1").select("symbol", F.lit(None).cast("long"), "n_segments", "segment"))
+    sizes = ends.select("symbol", F.col("segment").alias("three_seg"), F.col("seg_size").alias("three_size"))
+    rows = nexts.join(ends.select("symbol", "segment", "seg_dir"), ["symbol", "segment"]).join(_several(pivots), ["symbol", "segment"])
+    by = W.partitionBy("symbol", "segment").orderBy("seq")
+    rows = rows.withColumns({"rank": F.row_number().over(by), "first_in": F.first("in_line").over(by)})
+    if rules.strict_3:
+        rows = rows.where(F.col("first_in") == F.coalesce(F.col("of_line"), F.lit(-1)) + 1)
+    rows = rows.where(F.col("rank") <= rules.pivots_3a).withColumn("three", F.col("out_line") + 1)
+    rows = rows.join(_shaped(lines, "three"), ["symbol", "three"], "left").join(sizes, ["symbol", "three_seg"], "left")
+    other = F.when(F.col("three_size").isNull(), F.col("segment") != F.col("n_segments") - 1).otherwise((F.col("three_seg") != F.col("segment")) & (F.col("three_size") >= 3))
+    stops = F.col("three_dir").isNull() | other | (F.col("three_dir") == F.col("seg_dir")) | ((F.col("three_seg") != F.col("segment")) & (F.col("segment") < F.col("n_segments") - 2))
+    rows = rows.withColumn("stop", F.min(F.when(stops, F.col("rank"))).over(W.partitionBy("symbol", "segment"))).where("stop IS NULL OR rank < stop")
+    far = F.when(F.col("three_dir") < 0, F.col("three_high") >= F.col("peak_high")).otherwise(F.col("three_low") <= F.col("peak_low"))
+    rows = rows.where(~_comes_back("three") & (far if rules.peak_3 else F.lit(True)))
+    return _told(rows, "3a", "three", F.lit(None).cast("double"))
+
 
+def before_points(lines: DataFrame, segments: DataFrame, pivots: DataFrame, stored: DataFrame, rules: PointRules) -> DataFrame:
+    """Points ``3b``: of every second line behind a segment's end the first that doesn't come back to the segment's last pivot, up
+    to the line out of the next segment's first pivot."""
+    ends = _ends(segments)
+    rows = ends.where("n_segments > 1")
+    if rules.follow_3:
+        rows = rows.join(stored, ["symbol", "of_line"], "left_semi")
+    several = _several(pivots)
+    last = several.groupBy("symbol", "segment").agg(F.max_by(F.struct("out_line", "low", "high"), "seq").alias("p"))
+    rows = rows.join(last, ["symbol", "segment"]).select("symbol", "segment", "of_line", "n_segments", "p.*")
+    if rules.strict_3:
+        rows = rows.where("out_line = of_line")
+    first_out = several.groupBy("symbol", "segment").agg(F.min_by("out_line", F.when(F.col("out_line").isNotNull(), F.col("seq"))).alias("next_out"), F.count(F.lit(1)).alias("next_pivots"))
+    nexts = ends.select("symbol", "segment", F.col("of_line").alias("next_end")).join(first_out, ["symbol", "segment"], "left").withColumn("segment", F.col("segment") - 1)
+    rows = rows.join(nexts, ["symbol", "segment"], "left")
+    open_ = F.col("next_end").isNull() | (F.coalesce("next_pivots", F.lit(0)) == 0) & (F.col("segment") + 2 >= F.col("n_segments"))
+    until = F.when(~open_, F.coalesce("next_out", F.col("next_end") - 1))
+    reach = F.when(F.col("segment") + 3 >= F.col("n_segments"), F.col("n_segments")).otherwise(F.col("segment") + 1)
+    near = rows.withColumn("until", until).withColumn("three_seg", F.explode(F.sequence(F.col("segment") + 1, reach))).join(_shaped(lines, "three"), ["symbol", "three_seg"])
+    near = near.where("three >= of_line + 2 AND (three - of_line) % 2 = 0 AND (until IS NULL OR three <= until)").where(~_comes_back("three"))
+    found = near.groupBy("symbol", "segment", "of_line").agg(F.min_by(F.struct("three", "three_dir"), "three").alias("t")).select("symbol", "of_line", "t.*")
+    return _told(found, "3b", "three", F.lit(None).cast("double"))

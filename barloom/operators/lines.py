@@ -108,7 +108,8 @@ def trend_lines(groups: DataFrame, inner: bool) -> DataFrame:
 
     ``groups`` are lines with their group (``seg_idx``), at least three in one. Points are those of every second line from
     the last. From a point the line goes to the one of steepest (``inner``) or flattest slope that doesn't go against the
-    last line; the walk goes on from there, and of all lines the one nearest to all points is kept.
+    last line; the walk goes on from there, and of all lines the one nearest to all points is kept. Where no point lies that
+    way an inner line is flat and an outer one none; the walk goes on from the next point. Groups without a line have no row.
     """
     w = W.partitionBy("symbol", "seg_idx")
     rows = groups.withColumns({"n": F.max("idx").over(w) - F.col("idx"), "size": F.count(F.lit(1)).over(w), "way": F.last("dir").over(w.orderBy("idx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
@@ -125,7 +126,7 @@ def trend_lines(groups: DataFrame, inner: bool) -> DataFrame:
     )
     walk = F.aggregate("p", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("seen")), lambda a, q: F.when(
         q["k"] == a["at"], F.struct(q["to"].alias("at"), F.concat(a["seen"], F.array(q["k"])).alias("seen"))).otherwise(a))["seen"]
-    lines_ = steps.withColumn("k", F.explode(F.filter(walk, lambda k: (k < F.size("p") - 1) | (F.size("p") == 1)))).withColumn("q", F.element_at("p", F.col("k") + 1)).where("q.real")
+    lines_ = steps.withColumn("k", F.explode(F.filter(walk, lambda k: (k < F.size("p") - 1) | (F.size("p") == 1)))).withColumn("q", F.element_at("p", F.col("k") + 1)).where(F.lit(inner) | F.col("q.real"))
     away = F.aggregate("p", F.lit(0.0), lambda a, r: a + F.abs(F.col("q.slope") * (r["x"] - F.col("q.x")) - r["y"] + F.col("q.y")) / F.sqrt(F.col("q.slope") * F.col("q.slope") + 1))
     return lines_.withColumn("away", away).groupBy("symbol", "seg_idx").agg(F.min_by(F.struct("q.x", "q.y", "q.slope"), F.struct("away", "k")).alias("l")).select(
         "symbol", "seg_idx", F.col("l.x").alias("x0"), F.col("l.y").alias("y0"), F.col("l.slope").alias("slope")

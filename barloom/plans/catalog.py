@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions import predicates
 from barloom.operators import indicators, joins, profile, resample, structure
 from barloom.operators.indicators import by_x
-from barloom.plans import classic_queries, level_queries, small_queries, strategy_queries
+from barloom.plans import asof_queries, classic_queries, level_queries, small_queries, strategy_queries
 from barloom.plans.basis import DIGITS, EVENTS, HOURLY, ORDERS, bars_sql, hourly, rounded, slot_sql
 from barloom.sources.ticks import event_ticks, order_ticks
 
@@ -257,7 +257,7 @@ def _all() -> dict[str, tuple[Callable, str]]:
             (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY x DESC)::INTEGER AS n FROM points) WHERE n <= 10""",
         ),
     }
-    return out | level_queries.entries() | small_queries.entries(_PIVOTS, _GROUPS) | classic_queries.entries() | strategy_queries.entries()
+    return out | level_queries.entries() | small_queries.entries(_PIVOTS, _GROUPS) | classic_queries.entries() | strategy_queries.entries() | asof_queries.entries()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -83,7 +83,8 @@ def _exits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, segments, pivots = structure(spark, sf_dir)
-    return rounded(divergence.classic_points(written(strong(lines, hourly(spark, sf_dir))), segments, pivots))
+    placed = classic.in_segments(strong(lines, hourly(spark, sf_dir)), segments)
+    return rounded(divergence.classic_points(written(placed), segments, pivots))
 
 
 def _segment_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,9 +94,10 @@ def _segment_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     upper = written(classic.segments(lines))
     n = F.col("end_x") - F.col("begin_x") + 1
     slope = F.abs(F.col("end_price") - F.col("begin_price")) / F.greatest("begin_price", "end_price") / n
-    pivots = classic.in_and_out(classic.segment_pivots(classic.in_segments(lines, upper)), lines, upper)
+    placed = written(classic.in_segments(lines.withColumn("slope", slope), upper))
+    pivots = classic.in_and_out(classic.segment_pivots(placed), lines, upper)
     rules = divergence.PointRules(metric="slope", several=False)
-    return rounded(divergence.classic_points(lines.withColumn("slope", slope), upper, written(pivots), rules))
+    return rounded(divergence.classic_points(placed, upper, written(pivots), rules))
 
 
 def entries() -> dict[str, tuple[Callable, str]]:

@@ -39,6 +39,51 @@ def _trend_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sides[0].unionByName(sides[1]))
 
 
+def _level_trend_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trend lines of the lines that each line of the level above is made of."""
+    found = levels.levels(hourly(spark, sf_dir), 2)
+    upper = found[1][1].select("symbol", F.col("idx").alias("seg_idx"), F.col("begin_x").alias("from_x"), F.col("end_x").alias("to_x"))
+    groups = found[0][1].join(upper, "symbol").where("begin_x >= from_x AND end_x <= to_x")
+    sides = [lines.trend_lines(groups, inner).withColumn("side", F.lit(name)) for inner, name in ((True, "inner"), (False, "outer"))]
+    return rounded(sides[0].unionByName(sides[1]))
+
+
+def demark_sql(strict: bool = False, perfect: bool = False, breaks: bool = True) -> str:
+    """The counters as a recursion: the live run (``w``, ``n``) and the countdown (``cw``, ``cn``, its edge, whether the run is its own)."""
+    far = "CASE WHEN w > 0 THEN close >= high2 ELSE close <= low2 END" if strict else "w2 * (close - close2) > 0"
+    far = far.replace("w > 0", "w2 > 0")
+    whole = "(w < 0 AND least(low, low1) < least(low2, low3)) OR (w > 0 AND greatest(high, high1) > greatest(high2, high3))" if perfect else "true"
+    reverse = "OR w = -cw" if breaks else ""
+    return f"""WITH RECURSIVE {HOURLY}, d AS (SELECT symbol, x, close, high, low, CASE WHEN x >= 5 THEN sign(close - lag(close, 4) OVER s)::INT ELSE 0 END AS way, lag(close, 2) OVER s AS close2, lag(high, 1) OVER s AS high1,
+  lag(low, 1) OVER s AS low1, lag(high, 2) OVER s AS high2, lag(low, 2) OVER s AS low2, lag(high, 3) OVER s AS high3, lag(low, 3) OVER s AS low3, max(high) OVER nine AS most, min(low) OVER nine AS least_,
+  lag(close, 13) OVER s AS before, lag(high, 8) OVER s AS first_high, lag(low, 8) OVER s AS first_low FROM bars WINDOW s AS (PARTITION BY symbol ORDER BY x), nine AS (PARTITION BY symbol ORDER BY x ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)),
+r AS (SELECT symbol, x, 0 AS w, 0 AS n, 0 AS cw, 0 AS cn, 0.0::DOUBLE AS edge, false AS own, 0 AS run, false AS starts, 0 AS told_way, 0 AS told FROM d WHERE x = 0 UNION ALL
+  SELECT symbol, x, w, CASE WHEN over_ AND own2 THEN 0 ELSE n2 END, CASE WHEN over_ THEN 0 ELSE w2 END, cn2 + hit::INT, edge2, own2, n2, starts, CASE WHEN hit THEN w2 ELSE 0 END, CASE WHEN hit THEN cn2 + 1 ELSE 0 END
+  FROM (SELECT *, w2 <> 0 AND NOT over_ AND coalesce({far}, false) AS hit FROM (SELECT *, w2 <> 0 AND (cn2 = 13 OR CASE WHEN w2 > 0 THEN low < edge2 ELSE high > edge2 END) AS over_ FROM
+    (SELECT *, CASE WHEN starts THEN w WHEN n2 = 9 {reverse} THEN 0 ELSE cw END AS w2, CASE WHEN starts THEN 0 ELSE cn END AS cn2, starts OR (own AND w = cw) AS own2,
+      CASE WHEN NOT starts THEN edge WHEN w > 0 THEN CASE WHEN first_low > before THEN least(least_, before) ELSE least_ END ELSE CASE WHEN first_high < before THEN greatest(most, before) ELSE most END END AS edge2
+    FROM (SELECT *, n2 = 9 AND ({whole}) AS starts FROM (SELECT d.symbol, d.x, d.close, d.high, d.low, d.way AS w, CASE WHEN d.way = 0 THEN 0 WHEN d.way = r.w THEN r.n + 1 ELSE 1 END AS n2, r.cw, r.cn, r.edge, r.own,
+      d.* EXCLUDE (symbol, x, close, high, low, way) FROM r JOIN d ON d.symbol = r.symbol AND d.x = r.x + 1)))))),
+marks AS (SELECT symbol, x, 'setup' AS kind, w AS dir, run AS n FROM r WHERE w <> 0 UNION ALL SELECT symbol, x, 'complete', w, 9 FROM r WHERE starts
+  UNION ALL SELECT symbol, x, 'countdown', told_way, told FROM r WHERE told_way <> 0 UNION ALL SELECT symbol, x, 'complete', told_way, 13 FROM r WHERE told = 13)
+SELECT symbol, x, kind, dir::INTEGER AS dir, n::INTEGER AS n FROM marks"""
+
+
+TREND_LINES = """grouped AS (SELECT c.symbol, p.idx AS seg_idx, c.dir, c.idx, c.begin_x, c.begin_price, c.end_x, c.end_price, max(c.idx) OVER w - c.idx AS back, count(*) OVER w AS size, arg_max(c.dir, c.idx) OVER w AS way
+  FROM l0 c JOIN l1 p ON p.symbol = c.symbol AND c.begin_x >= p.begin_x AND c.end_x <= p.end_x WINDOW w AS (PARTITION BY c.symbol, p.idx)),
+pts AS (SELECT symbol, seg_idx, 'inner' AS side, way, back // 2 AS k, begin_x::DOUBLE AS x, begin_price AS y FROM grouped WHERE size >= 3 AND back % 2 = 0
+  UNION ALL SELECT symbol, seg_idx, 'outer', way, back // 2, end_x, end_price FROM grouped WHERE size >= 3 AND back % 2 = 0),
+far AS (SELECT a.symbol, a.seg_idx, a.side, a.k, b.k AS k2, (b.y - a.y) / (b.x - a.x) AS slope, a.way * (b.y - a.y) / (b.x - a.x) * CASE WHEN a.side = 'inner' THEN 1 ELSE -1 END AS rank
+  FROM pts a JOIN pts b ON b.symbol = a.symbol AND b.seg_idx = a.seg_idx AND b.side = a.side AND b.k > a.k WHERE b.x <> a.x AND a.way * (b.y - a.y) / (b.x - a.x) >= CASE WHEN a.side = 'inner' THEN 1e-300 ELSE 0 END),
+pick AS (SELECT symbol, seg_idx, side, k, arg_max(slope, (rank, -k2)) AS slope, arg_max(k2, (rank, -k2)) AS k2 FROM far GROUP BY ALL),
+step AS (SELECT p.*, c.slope AS told, coalesce(c.slope, 0) AS slope, coalesce(c.k2, p.k + 1) AS to_k, max(p.k) OVER (PARTITION BY p.symbol, p.seg_idx, p.side) AS last FROM pts p
+  LEFT JOIN pick c ON c.symbol = p.symbol AND c.seg_idx = p.seg_idx AND c.side = p.side AND c.k = p.k),
+walk AS (SELECT * FROM step WHERE k = 0 UNION ALL SELECT s.* FROM walk w JOIN step s ON s.symbol = w.symbol AND s.seg_idx = w.seg_idx AND s.side = w.side AND s.k = w.to_k WHERE s.k < s.last),
+away AS (SELECT w.symbol, w.seg_idx, w.side, w.k, w.x, w.y, w.slope, sum(abs(w.slope * (p.x - w.x) - p.y + w.y) / sqrt(w.slope * w.slope + 1)) AS away FROM walk w
+  JOIN pts p ON p.symbol = w.symbol AND p.seg_idx = w.seg_idx AND p.side = w.side WHERE w.side = 'inner' OR w.told IS NOT NULL GROUP BY ALL)
+SELECT symbol, seg_idx, arg_min(x, (away, k)) AS x0, round(arg_min(y, (away, k)), 6) AS y0, round(arg_min(slope, (away, k)), 6) AS slope, side FROM away GROUP BY symbol, seg_idx, side"""
+
+
 def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = hourly(spark, sf_dir).withColumn("mean", F.avg("close").over(indicators.trailing(20)))
     return backtest.trades(bars, backtest.condition(ENTRY), backtest.condition(EXIT))
@@ -59,8 +104,10 @@ trades AS (SELECT * FROM done UNION ALL SELECT p.symbol, p.entry_x, NULL, p.entr
 def entries() -> dict[str, tuple[Callable, str]]:
     of_lines = f"WITH RECURSIVE {HOURLY}, {BAR_UNITS}, {level_sql(0)}"
     return {
-        "demarks": (lambda s, d: demark.demarks(hourly(s, d)), ""),
-        "demarks_strict": (lambda s, d: demark.demarks(hourly(s, d), demark.Demark(strict=True, perfect=True, breaks=False)), ""),
+        "demarks": (lambda s, d: demark.demarks(hourly(s, d)), demark_sql()),
+        "demarks_strict": (lambda s, d: demark.demarks(hourly(s, d), demark.Demark(strict=True, perfect=True, breaks=False)), demark_sql(True, True, False)),
+        "demarks_kept": (lambda s, d: demark.demarks(hourly(s, d), demark.Demark(breaks=False)), demark_sql(breaks=False)),
+        "level_trend_lines": (_level_trend_lines, f"WITH RECURSIVE {HOURLY}, {BAR_UNITS}, {level_sql(0)}, {level_sql(1)}, {TREND_LINES}"),
         "trend_lines": (_trend_lines, ""),
         "line_means": (
             _line_means,

@@ -36,7 +36,8 @@ def test_a_turn_ends_counts(spark):
 
 
 def model_line(points, way, inner):
-    """The line by the rule: from each point of the walk to the one of most slope that goes with the last line."""
+    """The line by the rule: from each point of the walk to the one of most slope that goes with the last line. Where none does
+    an inner line is flat."""
     best, at = None, 0
     while True:
         x, y = points[at]
@@ -59,24 +60,29 @@ def model_line(points, way, inner):
 @pytest.mark.parametrize("inner", [True, False])
 def test_trend_lines(spark, inner):
     rows, want = [], {}
-    for seg in range(12):
-        rng = random.Random(seed := seg + 5)
+    hand = [[10, 20, 30, 40, 8, 9], [30, 60, 30, 60, 30, 60]]  # begins 10, 30, 8: the flat line through 8 is nearest
+    for seg in range(40):
+        rng = random.Random(seg + 5)
         price, prices = 50.0, [50.0]
         n = rng.choice((3, 5, 7, 9))
+        drift = rng.choice((-1.5, 0.0, 1.5))
         for i in range(n):
-            price += (1 if i % 2 == 0 else -1) * rng.uniform(1, 9) + 1.5
+            price += (1 if i % 2 == 0 else -1) * rng.choice((rng.uniform(1, 9), 4.0)) + drift
             prices.append(price)
-        made = [("s", i, 1 if i % 2 == 0 else -1, prices[i], prices[i + 1], 10 * i, 10 * i + 10, seg) for i in range(n)]
+        if seg < len(hand):
+            prices, n = [float(p) for p in hand[seg]], len(hand[seg]) - 1
+        made = [("s", i, 1 if prices[i + 1] > prices[i] else -1, prices[i], prices[i + 1], 10 * i, 10 * i + 10, seg) for i in range(n)]
         rows += [(f"s{seg}", *r[1:]) for r in made]
-        points = [((r[5], r[3]) if inner else (r[6], r[4])) for r in made[::-2]]
-        line = model_line(points, made[-1][2], inner)
-        if line and not (inner and line[2] == 0.0):
+        line = model_line([((r[5], r[3]) if inner else (r[6], r[4])) for r in made[::-2]], made[-1][2], inner)
+        if line:
             want[f"s{seg}"] = line
-        assert seed
     df = spark.createDataFrame(rows, "symbol string, idx long, dir int, begin_price double, end_price double, begin_x long, end_x long, seg_idx long")
     got = {r.symbol: (r.x0, r.y0, r.slope) for r in lines.trend_lines(df, inner).collect()}
+    assert got.keys() == want.keys()
     for k in want:
         assert got[k] == pytest.approx(want[k]), k
+    if inner:
+        assert want["s0"] == (40, 8, 0.0) and sum(line[2] == 0.0 for line in want.values()) > 3
 
 
 def test_trades(spark):
