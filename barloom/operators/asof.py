@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barloom.operators import indicators
 from barloom.operators.folds import ordered_fold
 from barloom.operators.levels import BOTTOM, UNIT, Level
 from barloom.operators.recurrence import recurrences
@@ -217,6 +218,42 @@ def line_rsi(line_bars: DataFrame, running: DataFrame, n: int = 14) -> DataFrame
     return found.select("symbol", "x", F.when(F.col("down") == 0, flat).otherwise(100 - 100 / (1 + F.col("up") / F.nullif("down", F.lit(0.0)))).alias("rsi"))
 
 
+def _with_last(line_bars: DataFrame, running: DataFrame, n: int, columns: list[str]) -> DataFrame:
+    """``running`` with ``last``, the last ``n - 1`` lines before it (an array of structs of ``columns``)."""
+    w = W.partitionBy("symbol").orderBy("n").rowsBetween(-(n - 2), 0)
+    rows = line_bars.select("symbol", (F.col("idx") + 1).alias("idx"), F.col("idx").alias("n"), *columns)
+    held = rows.select("symbol", "idx", (F.collect_list(F.struct(*columns)).over(w) if n > 1 else F.array().cast(f"array<struct<{','.join(f'{c}:double' for c in columns)}>>")).alias("last"))
+    return running.select("symbol", "x", "idx", *(c for c in ("high", "low", "close"))).join(held, ["symbol", "idx"])
+
+
+def line_trend(line_bars: DataFrame, running: DataFrame, n: int = 5) -> DataFrame:
+    """``symbol``, ``x``, ``mean``, ``channel_max`` and ``channel_min`` of the last ``n`` closes of a level, the running line's the last of them."""
+    closes = F.concat(F.transform("last", lambda r: r["close"]), F.array("close"))
+    rows = _with_last(line_bars, running, n, ["close"]).withColumn("closes", closes)
+    return rows.select("symbol", "x", (F.aggregate("closes", F.lit(0.0), lambda a, c: a + c) / F.size("closes")).alias("mean"), F.array_max("closes").alias("channel_max"), F.array_min("closes").alias("channel_min"))
+
+
+def line_bollinger(line_bars: DataFrame, running: DataFrame, n: int = 20) -> DataFrame:
+    """``symbol``, ``x`` and the bands (as :func:`indicators.bollinger`) of the last ``n`` closes of a level, the running line's the last."""
+    rows = _with_last(line_bars, running, n, ["close"]).withColumn("closes", F.concat(F.transform("last", lambda r: r["close"]), F.array("close")))
+    rows = rows.withColumn("m", F.aggregate("closes", F.lit(0.0), lambda a, c: a + c) / F.size("closes"))
+    rows = rows.withColumn("t", F.sqrt(F.aggregate("closes", F.lit(0.0), lambda a, c: a + (c - F.col("m")) * (c - F.col("m"))) / F.size("closes")))
+    theta = F.when(F.col("t") == 0, LEAST).otherwise(F.col("t"))
+    low = F.col("m") - 2 * theta
+    return rows.select("symbol", "x", F.col("m").alias("boll_mid"), (F.col("m") + 2 * theta).alias("boll_up"), F.when(low == 0, LEAST).otherwise(low).alias("boll_down"), theta.alias("theta"))
+
+
+def line_kdj(line_bars: DataFrame, running: DataFrame, n: int = 9) -> DataFrame:
+    """``symbol``, ``x``, ``k``, ``d`` and ``j`` of a level, the running line the last of its ``n``."""
+    before = indicators.kdj(line_bars.select("symbol", F.col("idx").alias("x"), "high", "low", "close"), n).select("symbol", (F.col("x") + 1).alias("idx"), F.col("k").alias("k0"), F.col("d").alias("d0"))
+    rows = _with_last(line_bars, running, n, ["high", "low"]).join(before, ["symbol", "idx"])
+    top = F.array_max(F.concat(F.transform("last", lambda r: r["high"]), F.array("high")))
+    bottom = F.array_min(F.concat(F.transform("last", lambda r: r["low"]), F.array("low")))
+    rows = rows.withColumn("rsv", F.when(top != bottom, 100 * (F.col("close") - bottom) / (top - bottom)).otherwise(0.0)).withColumn("k", F.col("k0") * 2 / 3 + F.col("rsv") / 3)
+    rows = rows.withColumn("d", F.col("d0") * 2 / 3 + F.col("k") / 3)
+    return rows.select("symbol", "x", "k", "d", (3 * F.col("k") - 2 * F.col("d")).alias("j"))
+
+
 def end_pairs(tails: DataFrame, running: DataFrame) -> DataFrame:
     """Which two lines are compared at each bar: ``symbol``, ``x``, ``mode``, ``in_idx``, ``out_idx``.
 

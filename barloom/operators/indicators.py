@@ -93,5 +93,6 @@ def signals(lines: DataFrame) -> DataFrame:
         "below_zero": up(-F.col("dif"), F.lit(0.0)), "overbought": up(F.col("rsi"), F.lit(70.0)), "oversold": up(-F.col("rsi"), F.lit(-30.0)),
         "touch_up": F.col("close") >= F.col("boll_up"), "touch_down": F.col("close") <= F.col("boll_down"),
     }
-    names = F.array_compact(F.array(*(F.when(c, n) for n, c in found.items())))
-    return lines.select("symbol", "x", F.explode(names).alias("signal"))
+    told = lines.select("symbol", "x", *(c.alias(n) for n, c in found.items()))
+    names = F.array_compact(F.array(*(F.when(F.col(n), F.lit(n)) for n in found)))
+    return told.select("symbol", "x", F.explode(names).alias("signal"))

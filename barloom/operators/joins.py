@@ -6,18 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barloom.operators.resample import placed
+
 
 def parents_of(children: DataFrame, parents: DataFrame) -> DataFrame:
     """``children`` with ``parent_x``, the first bar of ``parents`` whose time isn't before theirs; null after the last.
 
-    One sort of both sides by time; no range join.
+    One sort of both sides by time; no range join. It goes day by day, and a child behind its day's last parent takes
+    the first one of a later day, so that a symbol isn't one task's.
     """
     both = children.select("symbol", "ts", F.lit(0).alias("is_parent"), F.col("x").alias("child_x"), F.lit(None).cast("long").alias("own_x")).unionAll(
         parents.select("symbol", "ts", F.lit(1), F.lit(None).cast("long"), "x")
-    )
-    back = W.partitionBy("symbol").orderBy(F.desc("ts"), F.desc("is_parent"), F.desc("own_x")).rowsBetween(W.unboundedPreceding, 0)
+    ).withColumn("day", F.to_date("ts"))
+    back = W.partitionBy("symbol", "day").orderBy(F.desc("ts"), F.desc("is_parent"), F.desc("own_x")).rowsBetween(W.unboundedPreceding, 0)
+    firsts = both.groupBy("symbol", "day").agg(F.min(F.when(F.col("is_parent") == 1, F.struct("ts", "own_x"))).alias("first"))
+    later = W.partitionBy("symbol").orderBy("day").rowsBetween(1, W.unboundedFollowing)
+    firsts = firsts.select("symbol", "day", F.first("first", ignorenulls=True).over(later)["own_x"].alias("later_x"))
     found = both.withColumn("parent_x", F.last("own_x", ignorenulls=True).over(back)).where("is_parent = 0")
-    return found.select("symbol", F.col("child_x").alias("x"), "ts", "parent_x")
+    return found.join(firsts, ["symbol", "day"]).select("symbol", F.col("child_x").alias("x"), "ts", F.coalesce("parent_x", "later_x").alias("parent_x"))
 
 
 def childless(parents: DataFrame, children: DataFrame) -> DataFrame:
@@ -54,8 +60,7 @@ def other_days(children: DataFrame, parents: DataFrame) -> DataFrame:
 
 def by_ordinal(ticks: DataFrame, bars: DataFrame) -> DataFrame:
     """The k-th tick with the k-th bar of its symbol, as far as both go: ``symbol``, ``x``, ``seq``, ``price``, ``close``."""
-    place = F.row_number().over(W.partitionBy("symbol").orderBy("ts", "seq")) - 1
-    return ticks.withColumn("x", place.cast("long")).select("symbol", "x", "seq", "price").join(bars.select("symbol", "x", "close"), ["symbol", "x"])
+    return placed(ticks, ["ts", "seq"], F.to_date("ts"), "x").select("symbol", "x", "seq", "price").join(bars.select("symbol", "x", "close"), ["symbol", "x"])
 
 
 def spans_of(coarse: DataFrame, fine: DataFrame) -> DataFrame:

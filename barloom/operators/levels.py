@@ -20,6 +20,8 @@ CONFIRM = (
 )
 UNIT = ["uid", "x1", "x2", "high", "low", "top", "top_x", "bottom", "bottom_x", "confirm_x"]
 TOP, BOTTOM = "top", "bottom"
+#: Bars that long lines take in as one.
+BLOCK = 256
 
 
 class _Group:
@@ -151,18 +153,39 @@ def lines(confirms_: DataFrame) -> DataFrame:
     )
 
 
-def line_bars(lines_: DataFrame, bars: DataFrame) -> DataFrame:
+def _spans(lines_: DataFrame, bars: DataFrame, block: int) -> DataFrame:
+    """The bars that each line takes in, whole blocks of them as one row: ``symbol``, ``idx``, ``begin_x`` and for the row its first
+    ``x``, ``last_x``, extremes with their first bar, ``close`` and ``volume``.
+
+    So a line of any length reads its bars at both ends and a row for each block between, and a high level costs little.
+    """
+    x = F.col("x")
+    ones = bars.select("symbol", F.lit(0).alias("kind"), x.alias("n"), "x", "high", x.alias("high_x"), "low", x.alias("low_x"), "close", "volume")
+    blocks = bars.groupBy("symbol", F.floor(x / block).alias("n")).agg(
+        F.min("x").alias("x"), F.max("high").alias("high"), F.max_by("x", F.struct("high", -x)).alias("high_x"), F.min("low").alias("low"), F.min_by("x", F.struct("low", "x")).alias("low_x"),
+        F.max_by("close", "x").alias("close"), F.sum("volume").alias("volume"),
+    )
+    units = ones.unionByName(blocks.withColumn("kind", F.lit(1)))
+    first, last = F.floor(F.col("begin_x") / block) + 1, F.floor(F.col("end_x") / block) - 1
+    between = last >= first
+    each = lambda a, b, kind: F.transform(F.sequence(a, b), lambda n: F.struct(F.lit(kind).alias("kind"), n.cast("long").alias("n")))
+    ends = F.concat(each(F.col("begin_x"), first * block - 1, 0), each(first, last, 1), each((last + 1) * block, F.col("end_x"), 0))
+    rows = lines_.select("symbol", "idx", "begin_x", F.explode(F.when(between, ends).otherwise(each(F.col("begin_x"), F.col("end_x"), 0))).alias("u"))
+    return rows.select("symbol", "idx", "begin_x", "u.*").join(units, ["symbol", "kind", "n"])
+
+
+def line_bars(lines_: DataFrame, bars: DataFrame, block: int = BLOCK) -> DataFrame:
     """Lines as bars: they open at the begin's extreme; high, low and close are of the bars after the pole, volume counts the pole too.
 
     Also ``top``, ``bottom`` and their first bars over all bars of the line. A line without a bar after its pole is flat.
     """
-    held = lines_.withColumn("x", F.explode(F.sequence("begin_x", "end_x"))).join(bars.select("symbol", "x", "high", "low", "close", "volume"), ["symbol", "x"])
+    held = _spans(lines_, bars, block)
     body = F.col("x") > F.col("begin_x")
     after = lambda c: F.when(body, F.col(c))
     found = held.groupBy("symbol", "idx").agg(
         F.max(after("high")).alias("body_high"), F.min(after("low")).alias("body_low"), F.max_by(after("close"), F.when(body, F.col("x"))).alias("body_close"),
-        F.sum("volume").alias("volume"), F.max("high").alias("top"), F.max_by("x", F.struct("high", -F.col("x"))).alias("top_x"),
-        F.min("low").alias("bottom"), F.min_by("x", F.struct("low", "x")).alias("bottom_x"),
+        F.sum("volume").alias("volume"), F.max("high").alias("top"), F.max_by("high_x", F.struct("high", -F.col("high_x"))).alias("top_x"),
+        F.min("low").alias("bottom"), F.min_by("low_x", F.struct("low", "low_x")).alias("bottom_x"),
     )
     rows = lines_.join(found, ["symbol", "idx"]).withColumn("open", F.col("begin_price"))
     return rows.select(

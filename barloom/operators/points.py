@@ -21,11 +21,6 @@ def suffix(n: Column) -> Column:
     return F.when(n < 26, letter(n)).when(n < 702, F.concat(letter(two), letter(n))).otherwise(F.concat(letter(three), letter(two), letter(n)))
 
 
-def mark_x(pole: Column, begin_x: Column, end_x: Column, running_again: Column) -> Column:
-    """Where a point is drawn: at its line's end, or right behind the begin of a running line whose pivot has a point already."""
-    return F.when(running_again & (end_x > begin_x), F.greatest(pole, begin_x + 1)).otherwise(F.greatest(pole, end_x))
-
-
 def sides(pivots: DataFrame) -> DataFrame:
     """``pivots`` with ``side``: ``buy`` below the one before, ``sell`` above, else null."""
     w = W.partitionBy("symbol").orderBy("seq")

@@ -29,8 +29,22 @@ def slot(ts: Column, period: str) -> Column:
     return F.make_date((F.floor(F.year(ts) / n) * n).cast("int"), F.lit(1), F.lit(1)).cast("timestamp")
 
 
+def placed(rows: DataFrame, order: list[str], block: Column, name: str) -> DataFrame:
+    """``rows`` with their number per symbol from 0 in that order; ``block`` grows with the first of ``order``.
+
+    Rows are numbered block by block, and a running sum of the blocks' sizes tells where each begins, so that a
+    symbol's rows aren't one task's.
+    """
+    rows = rows.withColumn("_block", block)
+    before = W.partitionBy("symbol").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy("symbol", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select("symbol", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(W.partitionBy("symbol", "_block").orderBy(*order)) - 1
+    return rows.withColumn(name, own).join(starts, ["symbol", "_block"]).withColumn(name, (F.col(name) + F.col("_start")).cast("long")).drop("_block", "_start")
+
+
 def numbered(bars: DataFrame, order: str = "slot") -> DataFrame:
-    """``bars`` with ``x``, their number per symbol from 0."""
+    """``bars`` with ``x``, their number per symbol from 0. Bars are few against the ticks they are made of, so a symbol's are one window."""
     return bars.withColumn("x", (F.row_number().over(W.partitionBy("symbol").orderBy(order)) - 1).cast("long"))
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators import asof, levels
+from barloom.operators import asof, changes, features, levels, rhythm
 from barloom.operators.stages import written
 from barloom.plans.basis import HOURLY, hourly, rounded
 from barloom.plans.level_queries import BAR_UNITS, PIVOTS_OF_UNITS, level_sql
@@ -74,11 +75,83 @@ told AS (SELECT n.symbol, n.idx, n.upto, [{{'m': 'area', 'i': area_in, 'o': area
     FROM ends JOIN sums USING (symbol, idx)  WHERE ends.upto IS NOT DISTINCT FROM sums.upto) n),
 flat AS (SELECT symbol, idx, upto, u.m, u.i, u.o FROM (SELECT symbol, idx, upto, unnest(all_) AS u FROM told)),
 pair AS (SELECT symbol, x, CASE WHEN inside THEN 'contained' ELSE 'broke' END AS mode, CASE WHEN inside THEN two ELSE one END AS i, CASE WHEN inside THEN one ELSE idx END AS o, CASE WHEN inside THEN NULL ELSE x END AS upto FROM pairs)
-SELECT p.symbol, p.x, p.mode, a.m AS measure, round(a.i, 5) AS in_value, round(b.o, 5) AS out_value, CASE WHEN abs(b.o / a.i) < 1000 THEN round(b.o / a.i, 5) ELSE round(b.o / a.i, -2) END AS ratio, CASE WHEN b.o <= a.i THEN 1 ELSE -1 END AS flag
+SELECT p.symbol, p.x, p.mode, a.m AS measure, round(a.i, 5) AS in_value, round(b.o, 5) AS out_value, CASE WHEN abs(b.o / a.i) < 1000 THEN round(b.o / a.i + 1e-9, 5) ELSE round(b.o / a.i, -2) END AS ratio, CASE WHEN b.o <= a.i THEN 1 ELSE -1 END AS flag
 FROM pair p JOIN flat a ON a.symbol = p.symbol AND a.idx = p.i AND a.upto IS NULL JOIN flat b ON b.symbol = p.symbol AND b.idx = p.o AND b.upto IS NOT DISTINCT FROM p.upto AND b.m = a.m
 WHERE a.i <> 0 AND b.o IS NOT NULL"""
 
 
+LAST = """vals AS (SELECT r.symbol, r.x, r.idx, l.idx AS n, l.close, l.high, l.low FROM run0 r JOIN l0 l ON l.symbol = r.symbol AND l.idx < r.idx AND l.idx > r.idx - {n}
+  UNION ALL SELECT symbol, x, idx, idx, close, high, low FROM run0)"""
+KDJ = """ranged AS (SELECT symbol, idx, close, max(high) OVER w AS top, min(low) OVER w AS bottom FROM l0 WINDOW w AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)),
+rsv AS (SELECT symbol, idx, CASE WHEN top <> bottom THEN 100 * (close - bottom) / (top - bottom) ELSE 0.0 END AS rsv FROM ranged),
+kd AS (SELECT symbol, idx, 100.0 / 3 + rsv / 3 AS k, 100.0 / 3 + (100.0 / 3 + rsv / 3) / 3 AS d FROM rsv WHERE idx = 0 UNION ALL
+  SELECT r.symbol, r.idx, kd.k * 2 / 3 + r.rsv / 3, kd.d * 2 / 3 + (kd.k * 2 / 3 + r.rsv / 3) / 3 FROM kd JOIN rsv r ON r.symbol = kd.symbol AND r.idx = kd.idx + 1),
+live AS (SELECT v.symbol, v.x, any_value(v.idx) AS idx, arg_max(close, n) AS close, max(high) AS top, min(low) AS bottom FROM vals v GROUP BY v.symbol, v.x),
+lived AS (SELECT l.symbol, l.x, kd.d, kd.k * 2 / 3 + CASE WHEN top <> bottom THEN 100 * (close - bottom) / (top - bottom) ELSE 0.0 END / 3 AS k FROM live l JOIN kd ON kd.symbol = l.symbol AND kd.idx = l.idx - 1)"""
+RHYTHM = f"""{ONE}, {level_sql(1)},
+par AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY confirm_x) AS grp, confirm_x AS start_x, CASE WHEN fx = 'top' THEN -1 ELSE 1 END AS way, pole_x, CASE WHEN fx = 'top' THEN fx_high ELSE fx_low END AS origin FROM c1
+  UNION ALL SELECT symbol, 0, -1, dir, begin_x, begin_price FROM l0 WHERE idx = 0),
+every AS (SELECT symbol, idx, dir, begin_x FROM l0 UNION SELECT symbol, idx, dir, begin_x FROM run0),
+grouped AS (SELECT p.*, (SELECT min(idx) FROM every e WHERE e.symbol = p.symbol AND e.dir = p.way AND e.begin_x >= p.pole_x) AS first_idx FROM par p),
+told AS (SELECT r.symbol, r.x, r.idx, CASE WHEN r.dir > 0 THEN r.high ELSE r.low END AS end_now, g.* EXCLUDE (symbol, pole_x) FROM run0 r ASOF JOIN grouped g ON g.symbol = r.symbol AND r.x >= g.start_x),
+open_ AS (SELECT t.*, (t.idx - t.first_idx) // 2 AS n FROM told t ASOF LEFT JOIN c0 c ON c.symbol = t.symbol AND t.x >= c.confirm_x
+  WHERE c.confirm_x IS NULL OR c.confirm_x <= t.start_x OR c.fx = CASE WHEN way > 0 THEN 'bottom' ELSE 'top' END),
+refs AS (SELECT *, unnest(range(0, n)) AS ref FROM open_ WHERE n >= 1),
+priced AS (SELECT r.*, b.end_price AS b, c.end_price AS c, CASE WHEN first_idx + 2 * n = r.idx THEN end_now ELSE d.end_price END AS d FROM refs r JOIN l0 b ON b.symbol = r.symbol AND b.idx = first_idx + 2 * ref
+  JOIN l0 c ON c.symbol = r.symbol AND c.idx = first_idx + 2 * ref + 1 LEFT JOIN l0 d ON d.symbol = r.symbol AND d.idx = first_idx + 2 * n),
+rhythm AS (SELECT p.symbol, p.x, grp AS group_, way AS dir, n - 1 AS round_, ref, (b - c) / (b - origin) AS ratio, d - (d - origin) * (b - c) / (b - origin) AS price, c + (b - c) * 1.382 AS threshold,
+  CASE WHEN way > 0 THEN q.high >= c + (b - c) * 1.382 ELSE q.low <= c + (b - c) * 1.382 END AS hit FROM priced p JOIN bars q ON q.symbol = p.symbol AND q.x = p.x WHERE abs(b - origin) > 1e-12 AND (b - c) / (b - origin) >= 0)"""
+
+
+#: Lines as they run and are frozen, and pivots where they are another thing than at the bar before.
+CHANGES = f"""{TAILS}, run_seen AS (SELECT symbol, x, seq, x1, x2, zg, zd, gg, dd, n, dir, is_sure, lag((x1, x2, zg, zd, gg, dd, n, is_sure)) OVER w AS old, lag(x) OVER w AS old_x, min(x) FILTER (is_sure) OVER (PARTITION BY symbol, seq) AS sure_x FROM tails WINDOW w AS (PARTITION BY symbol, seq ORDER BY x)),
+before AS (SELECT symbol, x, lag(x) OVER (PARTITION BY symbol ORDER BY x) AS last_x FROM (SELECT DISTINCT symbol, x FROM tails)),
+gone AS (SELECT b.symbol, b.x, t.seq FROM before b JOIN tails t ON t.symbol = b.symbol AND t.x = b.last_x WHERE t.seq > (SELECT max(seq) FROM tails q WHERE q.symbol = b.symbol AND q.x = b.x)),
+changes AS (SELECT symbol, confirm_x AS x, 'line' AS what, idx AS key, 'freeze' AS op, dir, begin_x AS x1, end_x AS x2, open, high, low, close, volume, NULL::DOUBLE AS top, NULL::DOUBLE AS bottom, NULL::BIGINT AS n FROM l0
+  UNION ALL SELECT symbol, x, 'line', idx, 'set', dir, begin_x, x, open, high, low, close, volume, NULL, NULL, NULL FROM run0
+  UNION ALL SELECT r.symbol, r.x, 'pivot', seq, CASE WHEN is_sure THEN 'freeze' ELSE 'set' END, dir, x1, x2, NULL, zg, zd, NULL, NULL, gg, dd, n FROM run_seen r JOIN before b ON b.symbol = r.symbol AND b.x = r.x
+    WHERE (old_x IS DISTINCT FROM b.last_x OR old IS DISTINCT FROM (x1, x2, zg, zd, gg, dd, n, is_sure)) AND NOT (is_sure AND r.x > sure_x)
+  UNION ALL SELECT symbol, x, 'pivot', seq, 'drop', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM gone)
+SELECT symbol, x, what, key::BIGINT AS key, op, dir::INTEGER AS dir, x1, x2, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume,
+  round(top, 6) AS top, round(bottom, 6) AS bottom, n::BIGINT AS n FROM changes"""
+
+
+_CTES = {"held0", "run0", "z", "t", "p", "pivots", "so_far", "final", "now", "boxes", "tails", "m", "macd", "g", "rsi", "states", "tried", "judged"}
+
+
+def features_sql(levels_: int) -> str:
+    """The wide rows of each level by joins; the CTEs of a level are those of the first, under names of its own."""
+    out, parts = [f"WITH RECURSIVE {HOURLY}, {BAR_UNITS}, " + ", ".join(level_sql(n) for n in range(levels_ + 1))], []
+    judged = JUDGED.split("states AS")[1].rsplit("\nSELECT", 1)[0]
+    pieces = [RUNNING, f"z AS{TAILS.split('z AS', 1)[1]}", STRENGTH, f"states AS{judged}"]
+    for n in range(levels_):
+        names = {"c0": f"c{n}", "l0": f"l{n}", "s1": f"s{n + 1}"}
+        # Names of CTEs stand behind FROM, JOIN and a comma, and before AS (; what else is spelled so is a column or an alias.
+        def named(sql: str, n: int = n, names: dict = names) -> str:
+            sql = re.sub(r"\b(\w+)( AS \((?:SELECT|\n))", lambda m: f"{names.get(m[1], f'{m[1]}_{n}')}{m[2]}", sql)
+            known = set(re.findall(rf"\b(\w+)_{n} AS \(", sql)) | _CTES
+            def of_level(m: re.Match) -> str:
+                name = names.get(m[2]) or (f"{m[2]}_{n}" if m[2] in known else m[2])
+                bare = name != m[2] and not re.match(r" +(?!ON|JOIN|WHERE|GROUP|WINDOW|UNION|LEFT|ASOF|USING)\w", sql[m.end() :])
+                return f"{m[1]}{name} {m[2]}" if bare else f"{m[1]}{name}"
+
+            return re.sub(r"(\b(?:FROM|JOIN) +)(\w+)\b", of_level, sql)
+
+        out += [named(piece) for piece in pieces]
+        parts.append(f"""SELECT b.symbol, b.x, {n} AS n, round(b.close, 6) AS close, r.idx AS line_idx, r.dir AS line_dir, r.begin_x AS line_begin_x, round(r.high, 6) AS line_high, round(r.low, 6) AS line_low,
+  round(CASE WHEN r.x - r.begin_x >= 1 THEN r.dir * (r.high - r.low) / (r.x - r.begin_x) END, 6) AS line_slope,
+  round((r.high - r.low) / nullif(abs(f.end_price - f.begin_price), 0), 6) AS adjacent_ratio, CASE k.fx WHEN 'top' THEN -1 WHEN 'bottom' THEN 1 END AS fractal, k.pole_x AS fractal_pole_x,
+  CASE j.fx WHEN 'top' THEN -1 WHEN 'bottom' THEN 1 END AS judgment, CASE WHEN j.fx IS NOT NULL THEN j.truncated END AS judgment_cut, t.seq::BIGINT AS pivot_seq, round(t.zg, 6) AS pivot_high, round(t.zd, 6) AS pivot_low,
+  (SELECT max(value)::INTEGER FROM (SELECT x1, min(x) AS x, arg_min(value, x) AS value FROM tails_{n} q WHERE q.symbol = b.symbol AND is_sure GROUP BY x1) q WHERE q.x = b.x) AS pivot_confirm,
+  (SELECT arg_max(value, x1)::INTEGER FROM (SELECT x1, min(x) AS x, arg_min(value, x) AS value FROM tails_{n} q WHERE q.symbol = b.symbol AND is_sure GROUP BY x1
+     UNION ALL SELECT x1, x, value FROM tails_{n} q WHERE q.symbol = b.symbol AND back = 1 AND NOT is_sure) q WHERE q.x = b.x) AS pivot_judgment,
+  round(m.dif, 6) AS dif, round(m.dea, 6) AS dea, round(2 * (m.dif - m.dea), 6) AS hist, round(s.rsi, 6) AS rsi
+FROM bars b LEFT JOIN run0_{n} r ON r.symbol = b.symbol AND r.x = b.x LEFT JOIN l{n} f ON f.symbol = r.symbol AND f.idx = r.idx - 1 ASOF LEFT JOIN c{n} k ON k.symbol = b.symbol AND b.x >= k.confirm_x
+LEFT JOIN judged_{n} j ON j.symbol = b.symbol AND j.x = b.x LEFT JOIN tails_{n} t ON t.symbol = b.symbol AND t.x = b.x AND t.back = 0 LEFT JOIN macd_{n} m ON m.symbol = b.symbol AND m.x = b.x
+LEFT JOIN rsi_{n} s ON s.symbol = b.symbol AND s.x = b.x""")
+    return ", ".join(out) + "\n" + "\nUNION ALL ".join(f"({p})" for p in parts)
+
+
 def _level(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The first level's confirmed fractals, lines and running line, and the bars."""
     bars = hourly(spark, sf_dir)
@@ -108,7 +181,14 @@ def _divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, made, running, bars = _level(spark, sf_dir)
     found = asof.divergences(made, running, bars)
     large = F.abs("ratio") >= 1000  # a strength against nothing but the least one: few of its digits count
-    return rounded(found.withColumn("ratio", F.when(large, F.round("ratio", -2)).otherwise(F.col("ratio"))), 5)
+    return rounded(found.withColumn("ratio", F.when(large, F.round("ratio", -2)).otherwise(F.col("ratio") + 1e-9)), 5)  # so that ties round up in SQL, too
+
+
+def _rhythm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = hourly(spark, sf_dir)
+    found = levels.levels(bars, 2)
+    (confirms, made), (upper, _) = found[0], found[1]
+    return rhythm.step_rhythm(made, written(asof.running_lines(confirms, bars)), confirms, upper, bars)
 
 
 def entries() -> dict[str, tuple[Callable, str]]:
@@ -126,4 +206,29 @@ def entries() -> dict[str, tuple[Callable, str]]:
         ),
         "running_line_rsi": (_strength(asof.line_rsi), f"{ONE}, {STRENGTH} SELECT symbol, x, round(rsi, 6) AS rsi FROM rsi"),
         "level_divergences": (_divergences, DIVERGENCE),
+        "running_line_trend": (
+            _strength(asof.line_trend),
+            f"{ONE}, {LAST.format(n=5)} SELECT symbol, x, round(avg(close), 6) AS mean, round(max(close), 6) AS channel_max, round(min(close), 6) AS channel_min FROM vals GROUP BY symbol, x",
+        ),
+        "running_line_bands": (
+            _strength(asof.line_bollinger),
+            f"""{ONE}, {LAST.format(n=20)}, bands AS (SELECT symbol, x, avg(close) AS m, CASE WHEN min(close) = max(close) THEN 1e-7 ELSE stddev_pop(close) END AS t FROM vals GROUP BY symbol, x)
+            SELECT symbol, x, round(m, 6) AS boll_mid, round(m + 2 * t, 6) AS boll_up, round(CASE WHEN m - 2 * t = 0 THEN 1e-7 ELSE m - 2 * t END, 6) AS boll_down, round(t, 6) AS theta FROM bands""",
+        ),
+        "running_line_kdj": (
+            _strength(asof.line_kdj),
+            f"{ONE}, {LAST.format(n=9)}, {KDJ} SELECT symbol, x, round(k, 6) AS k, round(d * 2 / 3 + k / 3, 6) AS d, round(3 * k - 2 * (d * 2 / 3 + k / 3), 6) AS j FROM lived",
+        ),
+        "feature_rows": (lambda s, d: rounded(features.feature_rows(hourly(s, d))), features_sql(2)),
+        "step_rhythm": (
+            lambda s, d: rounded(_rhythm(s, d)),
+            f"""{RHYTHM} SELECT symbol, x, group_::BIGINT AS "group", dir::INTEGER AS dir, round_::INTEGER AS "round", ref::INTEGER AS ref, ref || '-' || (round_ - ref) AS label, round(ratio, 6) AS ratio,
+            round(price, 6) AS price, round(threshold, 6) AS threshold, hit FROM rhythm""",
+        ),
+        "rhythm_hits": (
+            lambda s, d: rounded(rhythm.rhythm_hits(_rhythm(s, d))),
+            f'{RHYTHM} SELECT symbol, group_::BIGINT AS "group", ref::INTEGER AS ref, min(x) AS x, round(arg_min(threshold, x), 6) AS threshold FROM rhythm WHERE hit GROUP BY symbol, group_, ref',
+        ),
+        "level_changes": (lambda s, d: rounded(changes.change_log(hourly(s, d))), CHANGES),
+        "level_snapshots": (lambda s, d: rounded(changes.snapshots(changes.change_log(hourly(s, d)), hourly(s, d), skip=24)), ""),
     }

@@ -193,6 +193,16 @@ def _all() -> dict[str, tuple[Callable, str]]:
             f"""WITH RECURSIVE {HOURLY}, {_MACD}, c AS (SELECT symbol, x, dif - dea AS now, lag(dif - dea) OVER (PARTITION BY symbol ORDER BY x) AS before FROM macd)
             SELECT symbol, x, CASE WHEN before <= 0 AND now > 0 THEN 'golden' ELSE 'death' END AS "cross" FROM c WHERE (before <= 0 AND now > 0) OR (before >= 0 AND now < 0)""",
         ),
+        "indicator_signals": (
+            _signals,
+            f"""WITH RECURSIVE {HOURLY}, {_MACD}, {_RSI}, m AS (SELECT symbol, x, avg(close) {w20} AS m, stddev_pop(close) {w20} AS t FROM bars),
+            i AS (SELECT b.symbol, b.x, b.close, c.dif, c.dea, CASE WHEN r.x = 0 THEN 50 WHEN down = 0 THEN CASE WHEN up > 0 THEN 100 ELSE 0 END ELSE 100 - 100 / (1 + up / down) END AS rsi, m + 2 * t AS band_up,
+              CASE WHEN m - 2 * t = 0 THEN 1e-7 ELSE m - 2 * t END AS band_down FROM bars b JOIN macd c ON c.symbol = b.symbol AND c.x = b.x JOIN r ON r.symbol = b.symbol AND r.x = b.x JOIN m ON m.symbol = b.symbol AND m.x = b.x),
+            l AS (SELECT *, lag(dif - dea) OVER w AS d0, lag(dif) OVER w AS z0, lag(rsi) OVER w AS r0 FROM i WINDOW w AS (PARTITION BY symbol ORDER BY x))
+            SELECT symbol, x, unnest(list_filter([CASE WHEN d0 <= 0 AND dif > dea THEN 'golden' END, CASE WHEN d0 >= 0 AND dif < dea THEN 'death' END, CASE WHEN z0 <= 0 AND dif > 0 THEN 'above_zero' END,
+              CASE WHEN z0 >= 0 AND dif < 0 THEN 'below_zero' END, CASE WHEN r0 <= 70 AND rsi > 70 THEN 'overbought' END, CASE WHEN r0 >= 30 AND rsi < 30 THEN 'oversold' END, CASE WHEN close >= band_up THEN 'touch_up' END,
+              CASE WHEN close <= band_down THEN 'touch_down' END], lambda s: s IS NOT NULL)) AS signal FROM l""",
+        ),
         "rsi": (
             _over_hours(indicators.rsi),
             f"""WITH RECURSIVE {HOURLY}, {_RSI} SELECT symbol, x, round(CASE WHEN x = 0 THEN 50 WHEN down = 0 THEN CASE WHEN up > 0 THEN 100 ELSE 0 END
@@ -260,6 +270,14 @@ def _all() -> dict[str, tuple[Callable, str]]:
     return out | level_queries.entries() | small_queries.entries(_PIVOTS, _GROUPS) | classic_queries.entries() | strategy_queries.entries() | asof_queries.entries()
 
 
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = hourly(spark, sf_dir)
+    rows = bars.select("symbol", "x", "close")
+    for one in (indicators.macd(bars), indicators.rsi(bars), indicators.bollinger(bars)):
+        rows = rows.join(one, ["symbol", "x"])
+    return indicators.signals(rows)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: query for name, (query, _) in _all().items()}
 

@@ -105,12 +105,6 @@ def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(lines.nearest_rays(lines.pair_rays(lines.poles(_confirms(spark, sf_dir))), focus))
 
 
-def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = hourly(spark, sf_dir)
-    rows = indicators.macd(bars).join(indicators.rsi(bars), ["symbol", "x"]).join(indicators.bollinger(bars), ["symbol", "x"]).join(bars.select("symbol", "x", "close"), ["symbol", "x"])
-    return indicators.signals(rows).where("signal IN ('overbought', 'oversold', 'touch_up', 'touch_down')")
-
-
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = structure.first_class_points(structure.pivots(hourly(spark, sf_dir)), hourly(spark, sf_dir)).select("symbol", "seq", "x")
     return records.appended(points.where("x < 300 AND x % 2 = 0").select("symbol", "seq", "x").dropDuplicates(["symbol", "seq"]).select("symbol", "seq", F.lit(0).cast("long").alias("x")), points, ["symbol", "seq"], "x")
