@@ -152,6 +152,14 @@ LEFT JOIN rsi_{n} s ON s.symbol = b.symbol AND s.x = b.x""")
     return ", ".join(out) + "\n" + "\nUNION ALL ".join(f"({p})" for p in parts)
 
 
+SNAPSHOTS = f"""{CHANGES.rsplit("SELECT", 1)[0]}, versions AS (SELECT *, lead(x) OVER (PARTITION BY symbol, what, key ORDER BY x, op = 'freeze') AS until FROM changes),
+born AS (SELECT symbol, what, key, min(x) AS x FROM changes WHERE op <> 'drop' GROUP BY ALL)
+SELECT v.symbol, b.x AS at_x, v.what, v.key::BIGINT AS key, v.op, v.dir::INTEGER AS dir, v.x1, v.x2, round(v.open, 6) AS open, round(v.high, 6) AS high, round(v.low, 6) AS low, round(v.close, 6) AS close,
+  round(v.volume, 6) AS volume, round(v.top, 6) AS top, round(v.bottom, 6) AS bottom, v.n::BIGINT AS n
+FROM versions v LEFT JOIN born g ON g.symbol = v.symbol AND g.what = v.what AND g.key = v.key + 2 JOIN bars b ON b.symbol = v.symbol AND b.x >= greatest(v.x, 24) AND (until IS NULL OR b.x < until) AND (g.x IS NULL OR b.x < g.x)
+WHERE v.op <> 'drop'"""
+
+
 def _level(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The first level's confirmed fractals, lines and running line, and the bars."""
     bars = hourly(spark, sf_dir)
@@ -230,5 +238,5 @@ def entries() -> dict[str, tuple[Callable, str]]:
             f'{RHYTHM} SELECT symbol, group_::BIGINT AS "group", ref::INTEGER AS ref, min(x) AS x, round(arg_min(threshold, x), 6) AS threshold FROM rhythm WHERE hit GROUP BY symbol, group_, ref',
         ),
         "level_changes": (lambda s, d: rounded(changes.change_log(hourly(s, d))), CHANGES),
-        "level_snapshots": (lambda s, d: rounded(changes.snapshots(changes.change_log(hourly(s, d)), hourly(s, d), skip=24)), ""),
+        "level_snapshots": (lambda s, d: rounded(changes.snapshots(changes.change_log(hourly(s, d)), hourly(s, d), skip=24)), SNAPSHOTS),
     }
