@@ -125,7 +125,8 @@ def _encoder(data: bytes, pattern: str) -> Encoder:
 class ByteBpe:
     """Columns that encode and decode with one rank file, which is sent to the executors once.
 
-    The file's size bounds what is broadcast; executors don't read its path.
+    The file's size bounds what is broadcast; executors don't read its path. Rows are worked on one by one, so repeated
+    rows and other columns are no matter; texts of any length are encoded whole; an empty table gives no rows.
     """
 
     def __init__(self, spark: SparkSession, rank_file: str, pattern: str):

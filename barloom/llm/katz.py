@@ -349,8 +349,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train: str =
     and ``score``; the model learns from the rows with ``train``.
 
     Tokens are the words of a text, A-Z lowered, and one end. Null and empty texts are the end alone. A null
-    ``train`` counts as false. Repeated rows are counted and scored one by one; null keys are kept. Without
-    training rows every text scores zero. An empty table gives no rows.
+    ``train`` counts as false. Repeated rows are counted and scored one by one; null keys are kept. A long text
+    stays whole in one block, which it ends. Other columns are left out, whatever their names. Words and pairs whose
+    64-bit hashes clash count as one. Without training rows every text scores zero. An empty table gives no rows.
     """
     rows = docs.select(F.col(key).alias("id"), text_or_empty(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     blocks = bucketed(encoded(rows, block_tokens), "block")

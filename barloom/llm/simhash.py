@@ -99,7 +99,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Documents link at two or fewer differing bits; ``component_id`` is the smallest key reachable. Null
     and wordless texts have fingerprint zero and link like any other. Null keys take part; a component
     of null keys alone has a null id. Links are made between distinct fingerprints only, so exact copies
-    cost nothing. An empty table gives no rows.
+    cost nothing. Repeated rows have a row each. Texts of any length are read whole. Other columns are left out,
+    whatever their names. An empty table gives no rows.
     """
     return _labelled(docs, key, text).select(
         F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"

@@ -256,7 +256,8 @@ def near_vectors(
     by it); ``component_id`` is the smallest key reachable by links, itself included.
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing. Vectors of
     different length don't link. Equal vectors are compared once, as one node with its number of copies. A row
-    with a null key links as any other and has the id of its component, or null if it is alone. Repeated rows
+    with a null key links as any other and has the id of its component, or null if it is alone. A cosine of exactly
+    ``threshold`` in double precision links; one that rounding alone keeps below it doesn't. Repeated rows
     are copies of each other. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
     kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
