@@ -30,10 +30,10 @@ FEATURES, LEAST_COUNT = 200_000, 3
 WINDOW, ROUNDS, RATE, L2 = 16, 60, 0.15, 1e-5
 #: Words that are worked on in one row; longer texts are several, joined exactly.
 SEQUENCE = 1024
-WORDS_AT_ONCE = 400_000
+WORDS_AT_ONCE = 150_000
 #: Characters of a position; a longer word is several.
 LONGEST = 40
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 #: Numbers of a worker's table of three characters.
 TABLE = 4_000_000
 #: Texts below this share of their language are rejected.
