@@ -26,7 +26,7 @@ LENGTH = 2048
 #: Bytes of text that a group holds, about (documents are dealt by hash), and rows equal in key and text that go together.
 GROUP_CHARS, EQUAL_ROWS = 4_000_000, 16
 #: Words that a worker remembers, words of texts that are worked on at once, and new words at once.
-REMEMBERED, WORDS_AT_ONCE, AT_ONCE = 3 << 18, 400_000, 20_000
+REMEMBERED, WORDS_AT_ONCE, AT_ONCE = 3 << 17, 200_000, 20_000
 MARKS, LATIN = ".,;:!?", "\xff"
 #: Byte-level tokenizers write bytes that are no visible character as the characters from 256 on.
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}

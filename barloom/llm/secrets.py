@@ -39,7 +39,7 @@ SAMPLE_DOCS, SAMPLE_CHARS = 1200, 20_000
 WINDOWS, FEATURES = 30_000, 20_000
 WINDOW, ROUNDS, RATE, L2 = 16, 60, 0.15, 1e-5
 #: Words that are worked on in one row (longer texts are several, joined exactly) and at once, and that are remembered.
-SEQUENCE, WORDS_AT_ONCE, REMEMBERED = 2048, 400_000, 1 << 19
+SEQUENCE, WORDS_AT_ONCE, REMEMBERED = 2048, 150_000, 1 << 18
 #: Characters of a position; longer words are cut behind marks that end a value, and then at this length.
 LONGEST = 256
 OUTSIDE, BEGIN, INSIDE = range(3)
