@@ -13,11 +13,17 @@ TYPES = ("1", "1p", "2", "2s", "3a", "3b")
 METRICS = ("area", "peak", "full_area", "diff", "slope", "amp", "volume", "amount", "volume_avg", "amount_avg", "rsi")
 
 
+def _over(a: Column, b: Column) -> Column:
+    """``a / b``; null where ``b`` is zero."""
+    return a / F.nullif(b, F.lit(0.0))
+
+
 def strengths(strokes: DataFrame, bars: DataFrame) -> DataFrame:
     """Strokes (with ``from_x`` to ``to_x``, the bars of their groups) and their strength by each of ``METRICS``.
 
     ``bars`` have ``hist``, ``rsi``, ``volume`` and ``amount``. ``area_in`` and ``area_out`` are the histogram's areas of one sign
-    from the begin on and back from the end; the others are those of ``METRICS``.
+    from the begin on and back from the end; the others are those of ``METRICS``. What is measured against a price of zero
+    (``slope``, ``amp``) is null.
     """
     line = W.partitionBy("symbol", "idx")
     keep = ["symbol", "idx", "dir", "begin_x", "end_x", "begin_price", "end_price"]
@@ -40,8 +46,8 @@ def strengths(strokes: DataFrame, bars: DataFrame) -> DataFrame:
     n = F.col("end_x") - F.col("begin_x") + 1
     begin, end = F.col("begin_price"), F.col("end_price")
     return found.select(
-        "symbol", "idx", "area_in", "area_out", "peak", "full_area", "diff", (F.abs(end - begin) / F.when(up, end).otherwise(begin) / n).alias("slope"),
-        (F.abs(end - begin) / begin).alias("amp"), "volume", "amount", (F.col("volume") / n).alias("volume_avg"), (F.col("amount") / n).alias("amount_avg"),
+        "symbol", "idx", "area_in", "area_out", "peak", "full_area", "diff", (_over(F.abs(end - begin), F.when(up, end).otherwise(begin)) / n).alias("slope"),
+        _over(F.abs(end - begin), begin).alias("amp"), "volume", "amount", (F.col("volume") / n).alias("volume_avg"), (F.col("amount") / n).alias("amount_avg"),
         F.when(up, F.col("high_rsi")).otherwise(10000.0 / (F.col("low_rsi") + LEAST)).alias("rsi"),
     )
 

@@ -181,6 +181,14 @@ def test_strengths_by_hand(spark):
     assert (r.slope, r.amp) == pytest.approx((10 / 20 / 5, 1.0))
 
 
+def test_strengths_from_and_to_a_price_of_zero(spark):
+    bars = spark.createDataFrame([("s", x, 1.0, 50.0, 1.0, 2.0) for x in range(5)], "symbol string, x long, hist double, rsi double, volume double, amount double")
+    rows = [("s", 0, 1, 0, 1, 0.0, 20.0, 0, 1), ("s", 1, -1, 1, 2, 20.0, 0.0, 1, 2), ("s", 2, 1, 2, 3, -4.0, 0.0, 2, 3)]
+    lines = spark.createDataFrame(rows, "symbol string, idx long, dir int, begin_x long, end_x long, begin_price double, end_price double, from_x long, to_x long")
+    got = [(r.slope, r.amp, r.volume) for r in divergence.strengths(lines, bars).orderBy("idx").collect()]
+    assert got == [(0.5, None, 2), (0.5, 1, 2), (None, -1, 2)]
+
+
 def test_letters(spark):
     got = [r.s for r in spark.range(30).select(points.suffix(F.col("id")).alias("s")).collect()]
     assert got[:3] == ["a", "b", "c"] and got[25:28] == ["z", "aa", "ab"]
