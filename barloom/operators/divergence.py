@@ -92,17 +92,20 @@ def exits(pivots: DataFrame, lines: DataFrame, metric: str = "peak", rate: float
     """With ``until``, lines of the pivot beyond that one don't count for the peak.
 
     ``pivots`` (with ``in_line`` and ``out_line``) and whether the line out leaves their range (``breaks``), its strength against
-    that of the line in (``ratio``), whether it ``diverges``, whether it goes furthest (``is_peak``) and how near the nearest inner end comes (``nearest``)."""
+    that of the line in (``ratio``), whether it ``diverges``, whether it goes furthest (``is_peak``) and how near the nearest inner end comes (``nearest``).
+
+    What would be divided by zero is null: ``ratio`` against no strength, ``nearest`` to an end at a price of zero. A line without a
+    strength diverges only if any strength passes."""
     rows = pivots.join(_strength(lines, metric, False, "in", "in_line"), ["symbol", "in_line"])
     rows = rows.join(_strength(lines, metric, True, "out", out_line), ["symbol", out_line])
     inner = lines.select("symbol", F.col("idx").alias("line"), F.greatest("begin_price", "end_price").alias("h"), F.least("begin_price", "end_price").alias("l"), F.col("end_price").alias("e"))
     last = F.least("end_line", F.greatest("begin_line", until)) if until else F.col("end_line")
     held = rows.select("symbol", "seq", "out_dir", "out_high", "out_low", "out_end", F.explode(F.sequence(F.col("begin_line"), last)).alias("line")).join(inner, ["symbol", "line"])
     beyond = F.when(F.col("out_dir") < 0, F.col("l") < F.col("out_low")).otherwise(F.col("h") > F.col("out_high"))
-    peaks = held.groupBy("symbol", "seq").agg((~F.bool_or(beyond)).alias("is_peak"), F.min(F.abs(F.col("e") - F.col("out_end")) / F.col("out_end")).alias("nearest"))
+    peaks = held.groupBy("symbol", "seq").agg((~F.bool_or(beyond)).alias("is_peak"), F.min(_over(F.abs(F.col("e") - F.col("out_end")), F.col("out_end"))).alias("nearest"))
     breaks = F.when(F.col("out_dir") < 0, F.col("out_low") < F.col("low")).otherwise(F.col("out_high") > F.col("high"))
-    ratio = F.col("out_strength") / F.col("in_strength")
-    passes = F.lit(True) if rate > 100 else F.col("out_strength") <= rate * F.col("in_strength")
+    ratio = _over(F.col("out_strength"), F.col("in_strength"))
+    passes = F.lit(True) if rate > 100 else F.coalesce(F.col("out_strength") <= rate * F.col("in_strength"), F.lit(False))
     rows = rows.withColumns({"breaks": breaks, "ratio": ratio, "diverges": breaks & passes}).join(peaks, ["symbol", "seq"])
     return rows.select(*pivots.columns, "breaks", "ratio", "diverges", "is_peak", F.when(F.col("is_peak"), F.col("nearest")).alias("nearest"))
 

@@ -189,6 +189,16 @@ def test_strengths_from_and_to_a_price_of_zero(spark):
     assert got == [(0.5, None, 2), (0.5, 1, 2), (None, -1, 2)]
 
 
+def test_exits_to_a_price_of_zero_and_from_no_strength(spark):
+    prices, peaks = [10.0, 4.0, 8.0, 5.0, 0.0, 6.0, 12.0], [0.0, 1.0, 2.0, None, 3.0, 1.0]
+    rows = [("s", i, 1 if b > a else -1, a, b, p) for i, (a, b, p) in enumerate(zip(prices, prices[1:], peaks))]
+    lines = spark.createDataFrame(rows, "symbol string, idx long, dir int, begin_price double, end_price double, peak double")
+    pivots = spark.createDataFrame([("s", 0, 1, 2, 0, 3, 5.0, 8.0), ("s", 1, 1, 2, 1, 4, 5.0, 8.0)], "symbol string, seq long, begin_line long, end_line long, in_line long, out_line long, low double, high double")
+    told = lambda rate: [(r.breaks, r.ratio, r.diverges, r.is_peak, r.nearest) for r in divergence.exits(pivots, lines, rate=rate).orderBy("seq").collect()]
+    assert told(float("inf")) == [(True, None, True, True, None), (False, 3, False, False, None)]
+    assert told(0.9) == [(True, None, False, True, None), (False, 3, False, False, None)]
+
+
 def test_letters(spark):
     got = [r.s for r in spark.range(30).select(points.suffix(F.col("id")).alias("s")).collect()]
     assert got[:3] == ["a", "b", "c"] and got[25:28] == ["z", "aa", "ab"]
