@@ -70,12 +70,12 @@ sums AS (SELECT n.symbol, n.idx, n.upto, coalesce(sum(abs(hist)) FILTER (s.x < c
 told AS (SELECT n.symbol, n.idx, n.upto, [{{'m': 'area', 'i': area_in, 'o': area_out}}, {{'m': 'peak', 'i': peak, 'o': peak}}, {{'m': 'full_area', 'i': full_area, 'o': full_area}}, {{'m': 'diff', 'i': diff, 'o': diff}},
     {{'m': 'slope', 'i': slope, 'o': slope}}, {{'m': 'amp', 'i': amp, 'o': amp}}, {{'m': 'amount', 'i': amount, 'o': amount}}, {{'m': 'volume', 'i': volume, 'o': volume}}, {{'m': 'amount_avg', 'i': amount_avg, 'o': amount_avg}},
     {{'m': 'volume_avg', 'i': volume_avg, 'o': volume_avg}}, {{'m': 'rsi', 'i': rsi, 'o': rsi}}, {{'m': 'line_slope', 'i': steep, 'o': steep}}] AS all_
-  FROM (SELECT *, CASE WHEN dir > 0 THEN top_rsi ELSE low_rsi END AS rsi, CASE WHEN dir > 0 THEN (eh - bl) / eh / (e - b + 1) ELSE (bh - el) / bh / (e - b + 1) END AS slope,
-    CASE WHEN dir > 0 THEN (eh - bl) / bl ELSE (bh - el) / bh END AS amp, CASE WHEN span >= 1 THEN CASE WHEN abs(change / span) < 1e-12 THEN 1e-7 ELSE abs(change / span) END END AS steep
+  FROM (SELECT *, CASE WHEN dir > 0 THEN top_rsi ELSE low_rsi END AS rsi, CASE WHEN dir > 0 THEN (eh - bl) / nullif(eh, 0) / (e - b + 1) ELSE (bh - el) / nullif(bh, 0) / (e - b + 1) END AS slope,
+    CASE WHEN dir > 0 THEN (eh - bl) / nullif(bl, 0) ELSE (bh - el) / nullif(bh, 0) END AS amp, CASE WHEN span >= 1 THEN CASE WHEN abs(change / span) < 1e-12 THEN 1e-7 ELSE abs(change / span) END END AS steep
     FROM ends JOIN sums USING (symbol, idx)  WHERE ends.upto IS NOT DISTINCT FROM sums.upto) n),
 flat AS (SELECT symbol, idx, upto, u.m, u.i, u.o FROM (SELECT symbol, idx, upto, unnest(all_) AS u FROM told)),
 pair AS (SELECT symbol, x, CASE WHEN inside THEN 'contained' ELSE 'broke' END AS mode, CASE WHEN inside THEN two ELSE one END AS i, CASE WHEN inside THEN one ELSE idx END AS o, CASE WHEN inside THEN NULL ELSE x END AS upto FROM pairs)
-SELECT p.symbol, p.x, p.mode, a.m AS measure, round(a.i, 5) AS in_value, round(b.o, 5) AS out_value, CASE WHEN abs(b.o / a.i) < 1000 THEN round(b.o / a.i + 1e-9, 5) ELSE round(b.o / a.i, -2) END AS ratio, CASE WHEN b.o <= a.i THEN 1 ELSE -1 END AS flag
+SELECT p.symbol, p.x, p.mode, a.m AS measure, round(a.i + 1e-9, 5) AS in_value, round(b.o + 1e-9, 5) AS out_value, CASE WHEN abs(b.o / a.i) < 1000 THEN round(b.o / a.i + 1e-9, 5) ELSE round(b.o / a.i, -2) END AS ratio, CASE WHEN b.o <= a.i THEN 1 ELSE -1 END AS flag
 FROM pair p JOIN flat a ON a.symbol = p.symbol AND a.idx = p.i AND a.upto IS NULL JOIN flat b ON b.symbol = p.symbol AND b.idx = p.o AND b.upto IS NOT DISTINCT FROM p.upto AND b.m = a.m
 WHERE a.i <> 0 AND b.o IS NOT NULL"""
 
@@ -189,7 +189,8 @@ def _divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, made, running, bars = _level(spark, sf_dir)
     found = asof.divergences(made, running, bars)
     large = F.abs("ratio") >= 1000  # a strength against nothing but the least one: few of its digits count
-    return rounded(found.withColumn("ratio", F.when(large, F.round("ratio", -2)).otherwise(F.col("ratio") + 1e-9)), 5)  # so that ties round up in SQL, too
+    up = lambda c: F.col(c) + 1e-9  # noqa: E731  # so that ties round up in SQL, too
+    return rounded(found.withColumns({"ratio": F.when(large, F.round("ratio", -2)).otherwise(up("ratio")), "in_value": up("in_value"), "out_value": up("out_value")}), 5)
 
 
 def _rhythm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,3 +40,15 @@ def test_query_equals_sql(spark, duck, name):
     got, want = catalog.queries()[name](spark, str(DATA)).toPandas(), duck.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert plain(got) == plain(want)
+
+
+def test_divergences_equal_sql_with_prices_of_zero(spark, tmp_path):
+    # Lines from or to a price of zero have no slope or amplitude: no row, neither here nor there.
+    c = duckdb.connect()
+    c.execute("set TimeZone='UTC'")
+    c.execute(f"""copy (select event_id, ts, user_id, event_type, case when event_type = 'click' and value < 0.5 then 0 else value end as value, props
+      from '{DATA.parent}/sf0.01/events.parquet' where event_type in ('click', 'purchase')) to '{tmp_path}/events.parquet' (format parquet)""")
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    got, want = catalog.queries()["level_divergences"](spark, str(tmp_path)).toPandas(), c.execute(SQL["level_divergences"]).df()
+    assert plain(got) == plain(want)
+    assert len(got.query("measure == 'amp'")) < len(got.query("measure == 'diff'"))
