@@ -132,8 +132,8 @@ def first_points(lines: DataFrame, segments: DataFrame, pivots: DataFrame, rules
     flat = rows.where("NOT trend").withColumn("before", F.col("line") - 2).where("before >= begin_line")
     flat = flat.join(_strength(lines, rules.metric, False, "in", "before"), ["symbol", "before"]).join(_strength(lines, rules.metric, True, "out", "line"), ["symbol", "line"])
     flat = flat.where("out_dir = seg_dir").where(F.when(F.col("out_dir") < 0, F.col("out_low") <= F.col("in_low")).otherwise(F.col("out_high") >= F.col("in_high")))
-    passes = F.lit(True) if rules.rate == float("inf") else F.col("out_strength") <= rules.rate * F.col("in_strength")
-    second = flat.select("symbol", "line", F.lit("1p"), F.col("out_dir") < 0, passes & F.col("enough"), F.col("out_strength") / (F.col("in_strength") + LEAST), F.lit(None).cast("long"))
+    passes = F.lit(True) if rules.rate == float("inf") else F.coalesce(F.col("out_strength") <= rules.rate * F.col("in_strength"), F.lit(False))
+    second = flat.select("symbol", "line", F.lit("1p"), F.col("out_dir") < 0, passes & F.col("enough"), _over(F.col("out_strength"), F.col("in_strength") + LEAST), F.lit(None).cast("long"))
     return first.unionAll(second)
 
 
@@ -179,7 +179,8 @@ def second_points(lines: DataFrame, segments: DataFrame, ones: DataFrame, rules:
     """Points ``2``, where the line after next takes back little of the next one, and ``2s``: every second line behind, as long as
     they overlap the first two of them, don't go past the next line and take back as little.
 
-    The lines looked at are of the point's own segment, or of the last one behind it: a segment's lines at most.
+    The lines looked at are of the point's own segment, or of the last one behind it: a segment's lines at most. Of a flat line
+    nothing is taken back, so behind one there are none.
     """
     ends = _ends(segments)
     starts = ends.where("n_segments > 1").select("symbol", "of_line", "n_segments", (F.col("of_line") + 1).alias("turn"), (F.col("of_line") + 2).alias("two"))
@@ -189,7 +190,7 @@ def second_points(lines: DataFrame, segments: DataFrame, ones: DataFrame, rules:
         none = F.lit(None).cast("long")
         starts = starts.unionAll(ends.where("n_segments = 1").select("symbol", none, "n_segments", F.lit(0).cast("long"), F.lit(1).cast("long")))
     rows = starts.join(_shaped(lines, "turn"), ["symbol", "turn"]).join(_shaped(lines, "two"), ["symbol", "two"])
-    rows = rows.withColumn("rate", F.col("two_span") / F.col("turn_span"))
+    rows = rows.withColumn("rate", _over(F.col("two_span"), F.col("turn_span")))
     twos = _told(rows.where(F.col("rate") <= rules.retrace), "2", "two", F.col("rate"))
     sure = ends.select("symbol", F.col("segment").alias("two_seg"), F.col("is_sure").alias("two_sure"))
     base = (rows.where(F.col("rate") <= rules.retrace) if rules.follow_2s else rows).join(sure, ["symbol", "two_seg"], "left")
@@ -201,9 +202,9 @@ def second_points(lines: DataFrame, segments: DataFrame, ones: DataFrame, rules:
     one = F.col("level") == 1
     low, high = F.when(one, F.col("two_low")).otherwise(F.greatest("two_low", "first_low")), F.when(one, F.col("two_high")).otherwise(F.least("two_high", "first_high"))
     past = F.when(F.col("like_dir") < 0, F.col("like_low") < F.col("turn_low")).otherwise(F.col("like_high") > F.col("turn_high"))
-    back = F.abs(F.col("like_end") - F.col("turn_end")) / F.col("turn_span")
+    back = _over(F.abs(F.col("like_end") - F.col("turn_end")), F.col("turn_span"))
     inside = (F.col("like_seg") == F.col("two_seg")) | ((F.col("like_seg") >= F.col("n_segments") - 1) & ~F.coalesce("two_sure", F.lit(False)))
-    good = inside & (F.col("like_high") > low) & (F.col("like_low") < high) & ~past & (back <= rules.retrace)
+    good = inside & (F.col("like_high") > low) & (F.col("like_low") < high) & ~past & F.coalesce(back <= rules.retrace, F.lit(False))
     if rules.most_2s is not None:
         good &= F.col("level") <= rules.most_2s
     near = near.withColumns({"back": back, "stop": F.min(F.when(good, None).otherwise(F.col("level"))).over(chain)})

@@ -4,6 +4,7 @@ import random
 from collections import namedtuple
 
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.operators import classic, divergence
 
@@ -289,3 +290,14 @@ def test_wanted_types(lines, segments):
     got = divergence.classic_points(placed, segments, pivots, rules).collect()
     assert {(r.type, r.is_buy) for r in got if r.is_target} <= {("1", True), ("2", True), ("1p", False), ("3a", False), ("3b", False)}
     assert any(r.type == "1" and not r.is_buy and not r.is_target for r in got)
+
+
+def test_second_points_behind_a_flat_line(spark):
+    prices = [10.0, 8.0, 12.0, 6.0, 6.0, 7.0, 6.5]
+    rows = [("s", i, -1 if i % 2 == 0 else 1, a, b, i // 3) for i, (a, b) in enumerate(zip(prices, prices[1:]))]
+    lines = spark.createDataFrame(rows, "symbol string, idx long, dir int, begin_price double, end_price double, seg_idx long")
+    segments = spark.createDataFrame([("s", 0, -1, 0, 2, True), ("s", 1, 1, 3, 5, True)], "symbol string, idx long, dir int, begin_line long, end_line long, is_sure boolean")
+    ones = spark.createDataFrame([("s", 2, True)], "symbol string, line long, is_target boolean")
+    assert divergence.second_points(lines, segments, ones, divergence.PointRules()).collect() == []
+    rising = lines.withColumn("end_price", F.when(F.col("idx") == 3, 9.0).otherwise(F.col("end_price")))
+    assert [(r.line, r.type, r.ratio) for r in divergence.second_points(rising, segments, ones, divergence.PointRules()).collect()] == [(4, "2", pytest.approx(1 / 3))]
