@@ -1,8 +1,9 @@
 """Near copies: texts whose sets of word shingles overlap by four fifths or more (Jaccard), linked transitively.
 
-Candidates agree on a band of minhash values; each is verified on the two whole sets. Members of a bucket are
-held against its least member first; only those that are then still in different components meet in pairs,
-so that a group of copies of its least member costs its size, and only members apart from it cost pairs.
+Candidates agree on a band of minhash values or have SimHash fingerprints within two bits; each is verified on the two
+whole sets. Members of a bucket are held against its least member. Those that are then still in different components
+are compared by a prefix filter: two sets that overlap enough share one of their rarest shingles, so that
+only such pairs meet, no pair at ``LEAST`` or more is lost, and a large group of texts less alike costs its size.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.llm.common import checkpoint, rows_kept, text_or_empty
 from barloom.llm.components import connected_components
+from barloom.llm.simhash import close_pairs, simhash
 
 #: Words of a shingle, and the least overlap of near copies.
 SHINGLE, LEAST = 5, 0.8
@@ -86,12 +89,13 @@ def node_of(words: list[bytes]) -> int:
 
 
 def _signed(text: Column, shingle: int) -> Column:
-    @F.pandas_udf("node long, keys array<long>")
+    @F.pandas_udf("node long, fp long, keys array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = _Words()
         for texts in batches:
             words = [_words(t) for t in texts]
-            yield pd.DataFrame({"node": [node_of(w) for w in words], "keys": [bands(shingles(w, hashes, shingle)) for w in words]})
+            fps = np.array([simhash(t) for t in texts], dtype=np.int64)
+            yield pd.DataFrame({"node": [node_of(w) for w in words], "fp": fps, "keys": [bands(shingles(w, hashes, shingle)) for w in words]})
 
     return of(text)
 
@@ -117,27 +121,58 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(common / (sizes - common) >= LEAST).select("a", "b")
 
 
+def _fingerprinted(rows: DataFrame) -> DataFrame:
+    """Pairs of nodes with fingerprints within two bits; of equal fingerprints the least node stands for the others."""
+    nodes = rows.select("node", "fp").distinct()
+    fps = checkpoint(nodes.groupBy("fp").agg(F.min("node").alias("node")))
+    equal = nodes.join(fps.withColumnRenamed("node", "least"), "fp").where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return close_pairs(fps).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionAll(equal)
+
+
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``key``, ``node`` and ``part`` (component by ``links``) of the members of keys that hold more than one component."""
+    parts = connected_components(links, "a", "b")
+    placed = checkpoint(members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")))
+    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    return checkpoint(placed.join(mixed, "key"))
+
+
+def _sharing(sets: DataFrame) -> DataFrame:
+    """Pairs ``a`` < ``b`` of ``sets`` (``node``, ``part``, ``parts``) in different parts that can overlap by four fifths or more.
+
+    Shingles are put in order, the rarest first. Of sets of ``n`` and ``m <= n`` shingles, the larger must share one of its
+    first ``n - ceil(4n / 5) + 1`` with the first ``m - ceil(8m / 9) + 1`` of the smaller; else the overlap is less. Behind the first
+    shingle that two sets share there must be enough others in both.
+    """
+    each = checkpoint(sets.select("node", "part", F.size("parts").alias("n"), F.explode("parts").alias("token")))
+    often = each.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    rows = each.join(often, "token", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    rows = rows.withColumn("place", F.row_number().over(W.partitionBy("node").orderBy("often", "token")))
+    rows = checkpoint(rows.where("often > 1 AND place <= n - (4 * n + 4) div 5 + 1").select("node", "part", "n", "token", "place"))
+    small = rows.where("place <= n - (8 * n + 8) div 9 + 1").select("token", F.col("node").alias("s"), F.col("part").alias("s_part"), F.col("n").alias("m"), F.col("place").alias("s_place"))
+    large = rows.select("token", F.col("node").alias("l"), F.col("part").alias("l_part"), "n", F.col("place").alias("l_place"))
+    both = (F.col("s_part") != F.col("l_part")) & (F.col("m") <= F.col("n")) & (5 * F.col("m") >= 4 * F.col("n"))
+    both &= 9 * (1 + F.least(F.col("n") - F.col("l_place"), F.col("m") - F.col("s_place"))) >= 4 * (F.col("n") + F.col("m"))
+    return small.join(large.withColumnRenamed("token", "t"), (F.col("token") == F.col("t")) & both).select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
+
+
 def _links(rows: DataFrame, docs: DataFrame, body: Column, shingle: int) -> DataFrame:
     """Pairs of nodes that link all near copies: every verified candidate, but for those already in one component."""
     keys = rows.groupBy("node").agg(F.any_value("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
     heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("top")).where("head < top").drop("top")
     members = checkpoint(keys.join(heads, "key"))
-    near = members.select("node").distinct()
+    star = members.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    star = checkpoint(star.unionAll(_fingerprinted(rows)).distinct())
+    near = star.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = checkpoint(rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("r")).join(near, "node").select("node", "r.id", "r.mark"))
     d = docs.select(F.col(docs.columns[0]).alias("id"), F.xxhash64(body).alias("mark"), body.alias("body"))
     sets = checkpoint(
         d.join(texts, d["id"].eqNullSafe(texts["id"]) & (d["mark"] == texts["mark"]), "left_semi")
         .select(_sets(F.col("body"), shingle).alias("s")).select("s.*").dropDuplicates(["node"])
     )
-    star = checkpoint(members.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
-    first = checkpoint(_verified(star, sets))
-    parts = checkpoint(connected_components(first, "a", "b"))
-    placed = members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    placed = checkpoint(placed.join(mixed, "key"))
-    left, right = (placed.select("key", F.col("node").alias(c), F.col("part").alias(f"{c}_part")) for c in "ab")
-    rest = left.join(right, "key").where("a < b AND a_part <> b_part").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    return first.unionAll(checkpoint(_verified(rest, sets)))
+    links = checkpoint(_verified(star, sets))
+    open_ = _open(members.select("key", "node"), links).select("node", "part").distinct()
+    return links.unionAll(checkpoint(_verified(checkpoint(_sharing(sets.join(open_, "node"))), sets)))
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:

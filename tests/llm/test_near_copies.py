@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from barloom.llm import near_copies
 
 LEAST = 0.8
 
@@ -43,3 +44,29 @@ def test_near_dedup_finds_all_planted_copies(spark):
     kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
     assert kept == [i for i in range(len(texts)) if find(i) == i]
     assert len(kept) < 0.6 * len(texts)
+
+
+def test_fingerprints_within_two_bits_and_equal_ones_are_candidates(spark):
+    rows = spark.createDataFrame([(1, 0), (2, 3), (3, 7), (4, 3), (4, 3), (5, 1 << 40)], "node long, fp long")
+    assert {(r.a, r.b) for r in near_copies._fingerprinted(rows).collect()} == {(1, 2), (2, 3), (2, 4), (1, 5)}
+
+
+def test_only_sets_that_share_rare_shingles_meet_and_no_near_copy_is_lost(spark):
+    rng = random.Random(5)
+    sets = []
+    for size in (1, 2, 5, 9, 10, 40, 90):
+        base = rng.sample(range(10**6), size)
+        for k in range(12):
+            some = set(base)
+            for _ in range(rng.randrange(0, max(2, size // 12 + 1))):
+                some.discard(rng.choice(base))
+                if rng.random() < 0.7:
+                    some.add(rng.randrange(10**6, 10**7))
+            sets.append(some or {k})
+    far = rng.sample(range(10**7, 10**8), 60)  # a large group of texts that are two thirds alike
+    sets += [set(far[12:]) | set(rng.sample(range(10**8, 10**9), 12)) for _ in range(60)]
+    df = spark.createDataFrame([(i, i, sorted(x)) for i, x in enumerate(sets)], "node long, part long, parts array<long>")
+    got = {(r.a, r.b) for r in near_copies._sharing(df).collect()}
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert alike and alike <= got
+    assert not any(a >= len(sets) - 60 for a, _ in got)
