@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,13 @@ def held(mark, make: Callable):
     return _held[mark]
 
 
+def slices(batches: Iterable[pa.Array], rows: int = 256) -> Iterator[pa.Array]:
+    """The batches in parts of ``rows`` rows, so that a batch is never whole in Python's objects, which take many times its bytes."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def text_or_empty(col: Column | str) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

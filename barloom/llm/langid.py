@@ -12,7 +12,7 @@ from __future__ import annotations
 import random
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -169,21 +169,30 @@ class Predictor:
         if lettered:
             self.table = np.concatenate([self.table, self.emissions(lettered)])
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    def predict(self, texts: Iterable[str | None]) -> tuple[list[str], list[float]]:
+        """Languages and scores. Texts are taken as they are needed."""
+        labels: list[str] = []
+        scores: list[float] = []
         batch: list[tuple[int, list[str]]] = []
         size = 0
+
+        def told() -> None:
+            self.learn(set().union(*(w for _, w in batch)))
+            get = self.number.__getitem__
+            rows = [(k, np.fromiter(map(get, w), dtype=np.int64, count=len(w))) for k, w in batch]
+            rows = [(k, r[r >= 0]) for k, r in rows]
+            self._run([(k, r) for k, r in rows if len(r)], labels, scores)
+
         for i, text in enumerate(texts):
+            labels.append(UNKNOWN)
+            scores.append(0.0)
             words = words_of(text or "")
             batch.append((i, words))
             size += len(words)
-            if size > WORDS_AT_ONCE or i == len(texts) - 1:
-                self.learn(set().union(*(w for _, w in batch)))
-                get = self.number.__getitem__
-                rows = [(k, np.fromiter(map(get, w), dtype=np.int64, count=len(w))) for k, w in batch]
-                rows = [(k, r[r >= 0]) for k, r in rows]
-                self._run([(k, r) for k, r in rows if len(r)], labels, scores)
+            if size > WORDS_AT_ONCE:
+                told()
                 batch, size = [], 0
+        told()
         return labels, scores
 
     def _run(self, batch: list[tuple[int, np.ndarray]], labels: list[str], scores: list[float]) -> None:
@@ -217,7 +226,7 @@ def predict(
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         p = held(mark, lambda: Predictor(model.value) if model.value else None)
         for texts in batches:
-            found = p.predict(texts.to_pylist()) if p else ([UNKNOWN] * len(texts), [0.0] * len(texts))
+            found = p.predict(t.as_py() for t in texts) if p else ([UNKNOWN] * len(texts), [0.0] * len(texts))
             yield pa.StructArray.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.float64())], names=["pred", "score"])
 
     (own,) = fresh(docs, "_lang")

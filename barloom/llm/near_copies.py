@@ -8,16 +8,16 @@ only such pairs meet, no pair at ``LEAST`` or more is lost, and a large group of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.llm.common import checkpoint, rows_kept, text_or_empty
+from barloom.llm.common import checkpoint, held, rows_kept, slices, text_or_empty
 from barloom.llm.components import connected_components
 from barloom.llm.simhash import close_pairs, simhash
 
@@ -27,7 +27,7 @@ SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 32, 5
 BLOCK = 1 << 12
 SEED = 42
-#: Words whose hashes a task remembers, and the longest of them in bytes.
+#: Words whose hashes a worker remembers, and the longest of them in bytes.
 REMEMBERED, LONGEST = 1 << 18, 64
 _RNG = np.random.default_rng(SEED)
 _TIMES = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -88,25 +88,37 @@ def node_of(words: list[bytes]) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _told(batches: Iterator[pa.Array], of: Callable[[str], tuple], kind: pa.StructType) -> Iterator[pa.Array]:
+    """A struct of ``kind`` for each text, whose words and sets go before the next text is taken."""
+    for texts in slices(batches):
+        columns = zip(*[of(t.as_py()) for t in texts])
+        yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], fields=list(kind))
+
+
 def _signed(text: Column, shingle: int) -> Column:
-    @F.pandas_udf("node long, fp long, keys array<long>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hashes = _Words()
-        for texts in batches:
-            words = [_words(t) for t in texts]
-            fps = np.array([simhash(t) for t in texts], dtype=np.int64)
-            yield pd.DataFrame({"node": [node_of(w) for w in words], "fp": fps, "keys": [bands(shingles(w, hashes, shingle)) for w in words]})
+    @F.arrow_udf("node long, fp long, keys array<long>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hashes = held("near words", _Words)
+
+        def one(t: str) -> tuple:
+            words = _words(t)
+            return node_of(words), simhash(t), bands(shingles(words, hashes, shingle))
+
+        yield from _told(batches, one, pa.struct([("node", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))]))
 
     return of(text)
 
 
 def _sets(text: Column, shingle: int) -> Column:
-    @F.pandas_udf("node long, parts array<long>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hashes = _Words()
-        for texts in batches:
-            words = [_words(t) for t in texts]
-            yield pd.DataFrame({"node": [node_of(w) for w in words], "parts": [shingles(w, hashes, shingle).view(np.int64) for w in words]})
+    @F.arrow_udf("node long, parts array<long>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hashes = held("near words", _Words)
+
+        def one(t: str) -> tuple:
+            words = _words(t)
+            return node_of(words), shingles(words, hashes, shingle).view(np.int64)
+
+        yield from _told(batches, one, pa.struct([("node", pa.int64()), ("parts", pa.list_(pa.int64()))]))
 
     return of(text)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import excerpts, fresh, held
+from barloom.llm.common import excerpts, fresh, held, slices
 from barloom.llm.crf import Channel, Crf, Cut, windows_of
 
 # Kinds in the order of their listing, and their patterns.
@@ -377,8 +377,8 @@ def scan(
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scanner = held(mark, lambda: Scanner(model.value))
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
-            texts = batch.to_pylist()
+        for part in slices(batches):
+            texts = part.to_pylist()
             found = scanner.scan(texts)
             out = [pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in s] for s in found], span)]
             if mask:

@@ -70,3 +70,28 @@ def test_only_sets_that_share_rare_shingles_meet_and_no_near_copy_is_lost(spark)
     alike = {(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
     assert alike and alike <= got
     assert not any(a >= len(sets) - 60 for a, _ in got)
+
+
+def test_words_of_one_text_at_a_time_are_held():
+    import tracemalloc
+
+    import pyarrow as pa
+    from barloom.llm.common import slices
+
+    rng = random.Random(8)
+    texts = pa.array([" ".join(f"w{rng.randrange(4000)}" for _ in range(400)) for _ in range(1500)])
+    kind = pa.struct([("node", pa.int64()), ("parts", pa.list_(pa.int64()))])
+    hashes = near_copies._Words()
+
+    def one(text):
+        words = near_copies._words(text)
+        return near_copies.node_of(words), near_copies.shingles(words, hashes).view("int64")
+
+    all_at_once = [one(t) for t in texts.to_pylist()]
+    tracemalloc.start()
+    parts = list(near_copies._told(iter([texts]), one, kind))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(x["node"], x["parts"]) for p in parts for x in p.to_pylist()] == [(a, b.tolist()) for a, b in all_at_once]
+    assert peak < 3e6  # the words of all texts take over 20 MB
+    assert [len(x) for x in slices([texts, texts[:0], texts[:3]], 1000)] == [1000, 500, 3]
