@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import math
 import os
+import re
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,29 @@ LENGTH = 2048
 GROUP_CHARS, EQUAL_ROWS = 4_000_000, 16
 #: Words that a worker remembers, words of texts that are worked on at once, and new words at once.
 REMEMBERED, WORDS_AT_ONCE, AT_ONCE = 3 << 17, 200_000, 20_000
-MARKS, LATIN = ".,;:!?", "\xff"
+#: Marks at the end of a word that follow a Latin-1 letter or digit.
+MARKS = re.compile("[.,;:!?](?<=[%s].)[.,;:!?]*(?=[ \n]|\\Z)" % "".join(c for c in map(chr, range(256)) if c.isalnum()))
 #: Byte-level tokenizers write bytes that are no visible character as the characters from 256 on.
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
 
 
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _bytes_as_characters(word: str) -> str | None:
+    """The word as a byte-level tokenizer writes it; None if it isn't all Latin-1."""
+    if word.isascii():
+        return word
+    return word.encode().decode("latin-1").translate(BYTES) if _is_latin(word) else None
+
+
 class WordTokenizer:
     """Ids of texts by a tokenizer that drops white space, word by word, with words remembered.
 
@@ -46,6 +63,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_str(data)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4"
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {"": b""}
 
     def learn(self, texts: list[list[str]]) -> None:
@@ -54,56 +72,48 @@ class WordTokenizer:
         used = set().union(*texts)
         new = used.difference(known)
         if len(known) + len(new) > REMEMBERED:
-            known = self.known = {w: ids for w, ids in known.items() if w in used} | {"": b""}
-        # Marks after a Latin-1 letter or digit are never merged with it, nor changed by it: the parts make the whole.
-        parts: dict[str, tuple[str, str]] = {}
-        plain: set[str] = set()
-        others: set[str] = set()
+            known = self.known = {w: known[w] for w in used if w in known} | {"": b""}
+        others: list[str] = []
+        merges, code = self.tokenizer.model.tokenize, "HI"[self.kind == "<u4"]
         for w in new:
-            core = w.rstrip(MARKS)
-            if core and core[-1] <= LATIN and core[-1].isalnum():
-                # Latin-1 letters alone need no splitting and are in normal form once lowered: the model's merges will do.
-                if core.isalpha() and (core.isascii() or max(core) <= LATIN):
-                    core_ = core.lower()
-                    if core_ not in known:
-                        plain.add(core_)
-                else:
-                    core_ = core
-                    if core not in known:
-                        others.add(core)
-                if core_ != w:
-                    marks = w[len(core) :]
-                    parts[w] = core_, marks
-                    if marks not in known:
-                        others.add(marks)
+            # Latin-1 letters alone need no splitting and are in normal form once lowered: the model's merges will do.
+            if w.isalpha() and (raw := _bytes_as_characters(w.lower())) is not None:
+                known[w] = array(code, [x.id for x in merges(raw)]).tobytes()
             else:
-                others.add(w)
-        merges, code = self.tokenizer.model.tokenize, "HI"[self.kind == "<u4"]
-        for w in plain:
-            raw = w if w.isascii() else w.encode().decode("latin-1").translate(BYTES)
-            known[w] = array(code, [x.id for x in merges(raw)]).tobytes()
-        rest = list(others)
-        for at in range(0, len(rest), AT_ONCE):
-            some = rest[at : at + AT_ONCE]
-            got = self.tokenizer.encode_batch(some, add_special_tokens=False)
+                others.append(w)
+        for at in range(0, len(others), AT_ONCE):
+            some = others[at : at + AT_ONCE]
+            got = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
             known.update((w, array(code, x.ids).tobytes()) for w, x in zip(some, got))
-        known.update([(w, known[a] + known[b]) for w, (a, b) in parts.items()])
 
-    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        """The ids of each text and ``end``."""
+    def words(self, text: str) -> list[str]:
+        """Parts of a text whose ids, one after the other, are those of the text; lowered if nothing but Latin-1 is in it."""
+        # The tokenizer drops spaces and line ends and merges nothing across them. Marks after a Latin-1 letter or digit
+        # are never merged with it, nor changed by it.
+        if text.isascii() or _is_latin(text):
+            low = text.lower()
+            if not any(name in low for name in self.special):
+                text = low
+        return MARKS.sub(r" \g<0>", text).replace("\n", " ").split(" ")
+
+    def encode(self, texts: Iterable[str], end: bytes) -> list[bytes]:
+        """The ids of each text and ``end``. Texts are taken as they are needed."""
         out: list[bytes] = []
         split: list[list[str]] = []
         size = 0
-        for i, text in enumerate(texts):
-            # The tokenizer drops spaces and line ends and merges nothing across them.
-            split.append(text.replace("\n", " ").split(" "))
+
+        def told() -> Iterator[bytes]:
+            self.learn(split)
+            known = self.known.__getitem__
+            return (b"".join(map(known, words)) + end for words in split)
+
+        for text in texts:
+            split.append(self.words(text))
             size += len(split[-1])
-            if size > WORDS_AT_ONCE or i == len(texts) - 1:
-                self.learn(split)
-                known = self.known.__getitem__
-                out += [b"".join(map(known, words)) + end for words in split]
+            if size > WORDS_AT_ONCE:
+                out += told()
                 split, size = [], 0
-        return out
+        return out + list(told())
 
 
 def _tokenizer(data: str) -> WordTokenizer:
@@ -165,7 +175,7 @@ def token_ids(spark: SparkSession, tokenizer_file: str, text: Column, row: Colum
             for row in rows.to_pylist():
                 nth.append(seen[row])
                 seen[row] += 1
-            found = pa.array(tokenizer.encode(texts.to_pylist(), end), pa.binary())
+            found = pa.array(tokenizer.encode((t.as_py() for t in texts), end), pa.binary())
             yield pa.StructArray.from_arrays([found, pa.array(nth, pa.int64())], names=["ids", "nth"])
 
     return ids(text, row), kind

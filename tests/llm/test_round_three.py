@@ -260,3 +260,12 @@ def test_odd_toxicity_tables(spark):
     assert [r.score for r in none] == [0.5]
     assert toxicity.predict(docs.limit(0), labels).count() == 0
     assert toxicity.predict(docs, labels.where("toxic = 0")).agg(F.max("predicted")).first()[0] == 0
+
+
+def test_packing_knows_words_apart_from_marks_and_case():
+    import public_tokenizers
+    from barloom.llm import packing
+
+    own = packing.WordTokenizer(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    one, other = own.encode(iter(["Word, word; WORD.", "word , word ; word ."]), b"")
+    assert one == other and set(own.known) <= {"", "word", ",", ";", "."}
