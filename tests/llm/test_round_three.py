@@ -269,3 +269,19 @@ def test_packing_knows_words_apart_from_marks_and_case():
     own = packing.WordTokenizer(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
     one, other = own.encode(iter(["Word, word; WORD.", "word , word ; word ."]), b"")
     assert one == other and set(own.known) <= {"", "word", ",", ";", "."}
+
+
+def test_pieces_merged_at_once_equal_those_merged_alone():
+    import random
+    import struct
+
+    import public_tokenizers
+    from barloom.llm import bpe
+
+    ranks = bpe.parse_ranks(open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read())
+    rng, pairs, longest = random.Random(4), bpe.Pairs(ranks), max(map(len, ranks))
+    for most in (2, 3, 8, 9, 64):
+        pieces = ["".join(rng.choices("theingaé日\U0001f600 -", k=most)).encode()[:most] for _ in range(500)]
+        pieces = [p for p in pieces if p not in ranks]
+        alone = [struct.pack(f"<{len(x)}I", *x) for x in (bpe.merge(p, ranks, longest) for p in pieces)]
+        assert bpe.merge_many(pieces, pairs) == alone
