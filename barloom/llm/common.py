@@ -33,6 +33,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again. A checkpoint keeps the estimated size of its plan, which joins multiply
+    in every round until planning takes minutes; the size of files is known."""
+    folder = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def bucketed(df: DataFrame, column: str) -> DataFrame:
     """Write ``df`` to the shared folder by buckets of ``column``, so that joins and groups by it don't shuffle it again."""
     spark = df.sparkSession

@@ -2,8 +2,9 @@
 
 Candidates agree on a band of minhash values or have SimHash fingerprints within two bits; each is verified on the two
 whole sets. Members of a bucket are held against its least member. Those that are then still in different components
-are compared by a prefix filter: two sets that overlap enough share one of their rarest shingles, so that
-only such pairs meet, no pair at ``LEAST`` or more is lost, and a large group of texts less alike costs its size.
+are told by what sets them off from the shingles that most texts of their group hold: two sets that overlap enough share
+one of their rarest differences, so that only such pairs meet, no pair at ``LEAST`` or more is lost, and a large group
+of edited copies of one text costs its size.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.llm.common import checkpoint, held, rows_kept, slices, text_or_empty
+from barloom.llm.common import checkpoint, held, rows_kept, slices, text_or_empty, written
 from barloom.llm.components import connected_components
 from barloom.llm.simhash import close_pairs, simhash
 
@@ -142,30 +143,57 @@ def _fingerprinted(rows: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``key``, ``node`` and ``part`` (component by ``links``) of the members of keys that hold more than one component."""
+    """``members`` with their ``part`` (component by ``links``), of the keys that hold more than one component."""
     parts = connected_components(links, "a", "b")
-    placed = checkpoint(members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")))
+    placed = checkpoint(members.join(parts, "node", "left").select(*members.columns, F.coalesce("component", "node").alias("part")))
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    return checkpoint(placed.join(mixed, "key"))
+    return written(placed.join(mixed, "key"))
 
 
-def _sharing(sets: DataFrame) -> DataFrame:
-    """Pairs ``a`` < ``b`` of ``sets`` (``node``, ``part``, ``parts``) in different parts that can overlap by four fifths or more.
+def _moved(sets: DataFrame, group: str | None) -> tuple[DataFrame, DataFrame]:
+    """What sets each of ``sets`` off from the shingles that over half of its group hold: ``tokens``, those it has besides
+    and those it lacks, ``d`` in all. ``far`` is ``9 * d - n``, ``near`` the least ``far`` of the group and ``mid`` its node.
 
-    Shingles are put in order, the rarest first. Of sets of ``n`` and ``m <= n`` shingles, the larger must share one of its
-    first ``n - ceil(4n / 5) + 1`` with the first ``m - ceil(8m / 9) + 1`` of the smaller; else the overlap is less. Behind the first
-    shingle that two sets share there must be enough others in both.
+    Then how often: ``often`` counts the sets of the group that differ by ``token``; where it is 1 there may be no row.
     """
-    each = checkpoint(sets.select("node", "part", F.size("parts").alias("n"), F.explode("parts").alias("token")))
-    often = each.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    rows = each.join(often, "token", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    rows = sets.select((F.col(group) if group else F.lit(0)).alias("group"), "node", "part", "parts", F.size("parts").alias("n"))
+    rows = checkpoint(rows.join(rows.groupBy("group").agg(F.count(F.lit(1)).alias("size")), "group"))
+    held_by = rows.select("group", "size", F.explode("parts").alias("token")).groupBy("group", "size", "token").agg(F.count(F.lit(1)).alias("held"))
+    held_by = checkpoint(held_by.where("held > 1"))
+    usual = held_by.where("2 * held > size").groupBy("group").agg(F.collect_list("token").alias("usual"))
+    both = rows.join(usual, "group", "left").withColumn("usual", F.coalesce("usual", F.array().cast("array<bigint>")))
+    tokens = F.concat(F.array_except("parts", "usual"), F.array_except("usual", "parts"))
+    moved = both.select("group", "node", "part", "n", tokens.alias("tokens")).withColumn("d", F.size("tokens"))
+    moved = checkpoint(moved.withColumn("far", F.expr("9 * d - n")))
+    least = moved.groupBy("group").agg(F.min(F.struct("far", "node", "part")).alias("l"))
+    least = least.select("group", F.col("l.far").alias("near"), F.col("l.node").alias("mid"), F.col("l.part").alias("mid_part"))
+    often = F.expr("if(2 * held > size, size - held, held)")
+    return moved.join(least, "group"), held_by.select("group", "token", often.alias("often"))
+
+
+def _sharing(sets: DataFrame, group: str | None = None) -> DataFrame:
+    """Pairs ``a`` < ``b`` of ``sets`` (``node``, ``part``, ``parts``) in different parts and one ``group`` (a column; else all are one)
+    that link all which overlap by four fifths or more.
+
+    Sets of ``n`` and ``m`` shingles that differ from the usual ones of their group by ``d`` and ``e`` shingles, ``o`` of them the same, overlap
+    so if ``9 * (d + e - 2 * o) <= n + m``, thus if ``18 * o`` is the sum of both ``far`` or more. Where that sum is 0 or less nothing need be
+    shared: all such pairs hang together by the set nearest to the usual one, which is paired with each of them. For the others, differences
+    are put in order, the rarest first. The one less far must share one of its first differences with the first of the other,
+    which isn't linked to the nearest set; else the overlap is less. Behind the first that two share there must be enough others in both.
+    """
+    moved, often = _moved(sets, group)
+    sure = moved.where("far + near <= 0 AND part != mid_part").select(F.least("node", "mid").alias("a"), F.greatest("node", "mid").alias("b"))
+    rows = moved.select("group", "node", "part", "n", "d", "far", "near", F.explode("tokens").alias("token")).join(often, ["group", "token"], "left")
+    rows = rows.withColumn("often", F.coalesce("often", F.lit(1)))
     rows = rows.withColumn("place", F.row_number().over(W.partitionBy("node").orderBy("often", "token")))
-    rows = checkpoint(rows.where("often > 1 AND place <= n - (4 * n + 4) div 5 + 1").select("node", "part", "n", "token", "place"))
-    small = rows.where("place <= n - (8 * n + 8) div 9 + 1").select("token", F.col("node").alias("s"), F.col("part").alias("s_part"), F.col("n").alias("m"), F.col("place").alias("s_place"))
-    large = rows.select("token", F.col("node").alias("l"), F.col("part").alias("l_part"), "n", F.col("place").alias("l_place"))
-    both = (F.col("s_part") != F.col("l_part")) & (F.col("m") <= F.col("n")) & (5 * F.col("m") >= 4 * F.col("n"))
-    both &= 9 * (1 + F.least(F.col("n") - F.col("l_place"), F.col("m") - F.col("s_place"))) >= 4 * (F.col("n") + F.col("m"))
-    return small.join(large.withColumnRenamed("token", "t"), (F.col("token") == F.col("t")) & both).select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
+    rows = rows.withColumn("short", F.expr("place <= d + 1 - greatest(1, (far + 8) div 9, (far - near) div 18 + 1)"))
+    rows = rows.withColumn("long", F.expr("far + near > 0 AND place <= d + 1 - greatest(1, (far + near + 17) div 18, d - n div 4)"))
+    rows = rows.where("often > 1 AND (short OR long)").withColumn("rest", F.expr("d - place"))
+    rows = checkpoint(rows.select("group", "token", "node", "part", "n", "far", "rest", "short", "long"))
+    x, y = rows.where("short").alias("x"), rows.where("long").alias("y")
+    both = F.expr("x.part != y.part AND x.far <= y.far AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n AND 18 * (1 + least(x.rest, y.rest)) >= x.far + y.far")
+    met = x.join(y, (F.col("x.group") == F.col("y.group")) & (F.col("x.token") == F.col("y.token")) & both)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).unionAll(sure).distinct()
 
 
 def _links(rows: DataFrame, docs: DataFrame, body: Column, shingle: int) -> DataFrame:
@@ -183,8 +211,10 @@ def _links(rows: DataFrame, docs: DataFrame, body: Column, shingle: int) -> Data
         .select(_sets(F.col("body"), shingle).alias("s")).select("s.*").dropDuplicates(["node"])
     )
     links = checkpoint(_verified(star, sets))
-    open_ = _open(members.select("key", "node"), links).select("node", "part").distinct()
-    return links.unionAll(checkpoint(_verified(checkpoint(_sharing(sets.join(open_, "node"))), sets)))
+    open_ = _open(members, links)
+    groups = written(connected_components(open_, "head", "node").withColumnRenamed("component", "group"))
+    apart = sets.join(open_.select("node", "part").distinct(), "node").join(groups, "node")
+    return links.unionAll(checkpoint(_verified(checkpoint(_sharing(apart, "group")), sets)))
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:

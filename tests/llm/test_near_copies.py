@@ -72,6 +72,37 @@ def test_only_sets_that_share_rare_shingles_meet_and_no_near_copy_is_lost(spark)
     assert not any(a >= len(sets) - 60 for a, _ in got)
 
 
+def test_edited_copies_of_one_text_meet_by_their_edits_and_no_link_is_lost(spark):
+    rng = random.Random(6)
+    base = list(range(150))
+    sets = []
+    for i in range(300):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 8])):
+            words[rng.randrange(len(words))] = rng.randrange(1000, 10**6)
+        sets.append({hash(tuple(words[j : j + 5])) for j in range(146)})
+    rows = [(i, i, sorted(x), 1) for i, x in enumerate(sets)] + [(1000 + i, 1000 + i, [7000 + i, 8000 + i], 2) for i in range(5)]
+    df = spark.createDataFrame(rows, "node long, part long, parts array<long>, place long")
+    got = [(r.a, r.b) for r in near_copies._sharing(df, "place").collect()]
+    alike = [(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+
+    def parts(pairs):
+        root = list(range(len(sets)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in pairs:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+        return [find(i) for i in range(len(sets))]
+
+    assert len(alike) > 3000 and len(got) < 2 * len(sets)  # all alike were met in pairs before
+    assert parts(set(got) & set(alike)) == parts(alike) and len(set(parts(alike))) > 3
+
+
 def test_words_of_one_text_at_a_time_are_held():
     import tracemalloc
 
